@@ -21,6 +21,9 @@ NAMED_PATTERNS = {
 # A character every match of a pattern holds; a cell without it is not searched.
 _REQUIRED = {"ipv4": ".", "ipv6": ":", "email": "@", "uuid": "-"}
 
+# Patterns that start and end in a word character.
+_WORD_TO_WORD = frozenset({"ipv4", "ipv6", "mac", "http-err", "uuid"})
+
 # Named patterns that a printed number can match; the others need characters no number has.
 NUMERIC_PATTERNS = frozenset({"http-err"})
 
@@ -166,8 +169,22 @@ def is_valid(spark: SparkSession, java: str) -> bool:
 
 
 def named(id: str) -> str:
-    """A named pattern in Java syntax."""
-    return translate(NAMED_PATTERNS[id], "i").java
+    """A named pattern in Java syntax.
+
+    Between word characters at both ends ``\\b`` is one look to either side, which is cheaper.
+    """
+    source = NAMED_PATTERNS[id]
+    if id in _WORD_TO_WORD:
+        return rf"(?i)(?<!\w){source[2:-2]}(?!\w)"
+    return "(?i)" + translate(source).java
+
+
+def has_match(c: Column, id: str) -> Column:
+    """Whether a named pattern occurs in a cell; false for a missing one."""
+    found = c.rlike(named(id))
+    if id in _REQUIRED:
+        found = F.contains(c, F.lit(_REQUIRED[id])) & found
+    return F.coalesce(found, F.lit(False))
 
 
 def matches(c: Column, java: str, id: str | None = None) -> Column:

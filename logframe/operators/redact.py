@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from logframe.functions import patterns, values
 from logframe.operators.ordering import with_position
-from logframe.schema import ROW_ID, Field, fields_of, has_row_id, ref
+from logframe.schema import ROW_ID, Field, any_of, fields_of, has_row_id, ref
 from logframe.session import materialize
 
 # The classes in order of precedence, and their tokens. A MAC address also looks
@@ -86,24 +86,35 @@ def _pieces(c: Column, chosen: list[str]) -> Column:
     """
     out = F.array(_piece(F.lit(None), c))
     for id in chosen:
-        java = patterns.named(id)
+        out = F.flatten(F.transform(out, _cutter(patterns.named(id), TOKENS[id])))
+    return out
 
-        def cut(piece: Column, java=java, token=TOKENS[id]) -> Column:
-            literals = F.transform(F.split(piece["text"], java, -1), lambda s: _piece(F.lit(None), s))
-            found = F.transform(F.regexp_extract_all(piece["text"], F.lit(java), F.lit(0)), lambda s: _piece(F.lit(token), s))
-            woven = F.flatten(F.transform(literals, lambda s, i: F.array_compact(F.array(s, F.get(found, i)))))
-            return F.when(piece["token"].isNull(), woven).otherwise(F.array(piece))
 
-        out = F.flatten(F.transform(out, cut))
-    return out
+def _cutter(java: str, token: str):
+    """Cut a literal piece at every match, so that literals and matches alternate."""
+
+    def cut(piece: Column) -> Column:
+        literals = F.split(piece["text"], java, -1)
+        found = F.regexp_extract_all(piece["text"], F.lit(java), F.lit(0))
+        pair = lambda s, i: F.array(_piece(F.lit(None), s), _piece(F.lit(token), F.get(found, i)))
+        woven = F.flatten(F.transform(literals, pair))
+        # The last literal has no match after it.
+        return F.when(piece["token"].isNull(), F.slice(woven, 1, F.size(woven) - 1)).otherwise(F.array(piece))
+
+    return cut
+
+
+def _spots(i: int) -> Column:
+    """The pieces of one cell with their places."""
+    spot = lambda p, at: F.struct(
+        F.lit(i).alias("cell"), at.alias("at"), p["token"].alias("token"), p["text"].alias("value")
+    )
+    return F.transform(F.coalesce(F.col(f"_p{i}"), F.array().cast(_PIECE)), spot)
 
 
 def _consistent(df: DataFrame, chosen: list[str], cells: list[Field]) -> DataFrame:
-    any_match = [c for c in (f.col.rlike(_either(chosen)) for f in cells)]
-    hit = any_match[0]
-    for c in any_match[1:]:
-        hit = F.coalesce(hit, F.lit(False)) | F.coalesce(c, F.lit(False))
-    marked = df.withColumn("_hit", F.coalesce(hit, F.lit(False)))
+    hit = any_of(patterns.has_match(f.col, id) for id in chosen for f in cells)
+    marked = df.withColumn("_hit", hit)
     clean = marked.filter(~F.col("_hit")).drop("_hit")
 
     # Rows with a match carry each string cell as pieces; matches get their place in the row.
@@ -116,18 +127,8 @@ def _consistent(df: DataFrame, chosen: list[str], cells: list[Field]) -> DataFra
 
     cut = marked.filter("_hit").drop("_hit").withColumns({f"_p{i}": pieces(f) for i, f in enumerate(cells)})
     cut = materialize(cut)
-    spots = F.flatten(
-        F.array(
-            *(
-                F.transform(
-                    F.coalesce(F.col(f"_p{i}"), F.array().cast(_PIECE)),
-                    lambda p, at, i=i: F.struct(F.lit(i).alias("cell"), at.alias("at"), p["token"].alias("token"), p["text"].alias("value")),
-                )
-                for i in range(len(cells))
-            )
-        )
-    )
-    found = cut.select(ROW_ID, F.explode(F.filter(spots, lambda s: s["token"].isNotNull())).alias("s")).select(ROW_ID, "s.*")
+    spots = F.flatten(F.array(*(_spots(i) for i in range(len(cells)))))
+    found = cut.select(ROW_ID, F.explode_outer(spots).alias("s")).select(ROW_ID, "s.*").filter("token is not null")
 
     numbered = _numbered(found)
     frequent = numbered.orderBy(F.desc("n"), "token", "value").limit(FREQUENT)
@@ -136,18 +137,16 @@ def _consistent(df: DataFrame, chosen: list[str], cells: list[Field]) -> DataFra
     near = found.join(F.broadcast(frequent.select(*known, "label")), known, "left")
     done = near.filter("label is not null")
     rest = near.filter("label is null").drop("label").join(numbered.select(*known, "label"), known)
+    own = lambda i: F.when(F.col("cell") == i, F.struct("at", "label"))
     placed = done.unionByName(rest).groupBy(ROW_ID).agg(
-        F.map_from_entries(
-            F.collect_list(F.struct(F.struct("cell", "at").alias("spot"), "label"))
-        ).alias("_labels")
+        *(F.sort_array(F.collect_list(own(i)))["label"].alias(f"_l{i}") for i in range(len(cells)))
     )
 
+    # Pieces alternate: literals at even places, matches at odd ones.
     def rebuilt(i: int, f: Field) -> Column:
         texts = F.transform(
             F.col(f"_p{i}"),
-            lambda p, at: F.when(p["token"].isNull(), p["text"]).otherwise(
-                F.element_at("_labels", F.struct(F.lit(i).alias("cell"), at.alias("at")))
-            ),
+            lambda p, at: F.when(at % 2 == 0, p["text"]).otherwise(F.get(F.col(f"_l{i}"), F.shiftright(at, 1))),
         )
         return _keep_metadata(df, f, F.array_join(texts, ""))
 
@@ -159,10 +158,6 @@ def _consistent(df: DataFrame, chosen: list[str], cells: list[Field]) -> DataFra
     return clean.unionByName(repaired)
 
 
-def _either(chosen: list[str]) -> str:
-    return "|".join(f"(?:{patterns.named(id)})" for id in chosen)
-
-
 def _numbered(found: DataFrame) -> DataFrame:
     """Every distinct value with its label: token and rank of first appearance."""
     first = F.struct(F.col(ROW_ID).alias("row"), "cell", "at")

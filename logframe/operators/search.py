@@ -31,7 +31,7 @@ def search_condition(df: DataFrame, query: str) -> Column | None:
     return F.lit(False) if hits is None else hits
 
 
-def regex_condition(df: DataFrame, query: str, skip_numbers: bool = False) -> Column | None:
+def regex_condition(df: DataFrame, query: str) -> Column | None:
     if not query.strip():
         return None
     try:
@@ -40,7 +40,7 @@ def regex_condition(df: DataFrame, query: str, skip_numbers: bool = False) -> Co
         return None
     if not patterns.is_valid(df.sparkSession, java):
         return None
-    hits = any_of(values.text(f).rlike(java) for f in _searched(df, skip_numbers))
+    hits = any_of(values.text(f).rlike(java) for f in fields_of(df))
     return F.lit(False) if hits is None else hits
 
 
@@ -63,8 +63,9 @@ def search(df: DataFrame, query: str, regex: bool = False) -> DataFrame:
 
 def quick_pattern(df: DataFrame, id: str) -> DataFrame:
     """Rows in which any cell matches a named pattern."""
-    cond = regex_condition(df, patterns.NAMED_PATTERNS[id], id not in patterns.NUMERIC_PATTERNS)
-    return df.filter(cond)
+    cells = _searched(df, skip_numbers=id not in patterns.NUMERIC_PATTERNS)
+    hits = any_of(patterns.has_match(values.text(f), id) for f in cells)
+    return df.filter(F.lit(False) if hits is None else hits)
 
 
 def extract_matches(df: DataFrame, pattern: str, limit: int | None = None) -> DataFrame:
@@ -72,9 +73,10 @@ def extract_matches(df: DataFrame, pattern: str, limit: int | None = None) -> Da
 
     ``pattern`` is a named pattern or a regular expression. An invalid one gives no rows.
     """
-    skip = pattern in patterns.NAMED_PATTERNS and pattern not in patterns.NUMERIC_PATTERNS
+    known = pattern in patterns.NAMED_PATTERNS
+    skip = known and pattern not in patterns.NUMERIC_PATTERNS
     try:
-        java = patterns.translate(patterns.NAMED_PATTERNS.get(pattern, pattern), "i").java
+        java = patterns.named(pattern) if known else patterns.translate(pattern, "i").java
         valid = patterns.is_valid(df.sparkSession, java)
     except patterns.PatternError:
         valid = False
