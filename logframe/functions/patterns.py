@@ -187,6 +187,12 @@ def has_match(c: Column, id: str) -> Column:
     return F.coalesce(found, F.lit(False))
 
 
+def replaced(c: Column, id: str, by: str) -> Column:
+    """Every occurrence of a named pattern replaced."""
+    out = F.regexp_replace(c, named(id), by)
+    return F.when(F.contains(c, F.lit(_REQUIRED[id])), out).otherwise(c) if id in _REQUIRED else out
+
+
 def matches(c: Column, java: str, id: str | None = None) -> Column:
     """Every occurrence, in order; ``id`` names the pattern when it is a named one."""
     found = F.regexp_extract_all(c, F.lit(java), F.lit(0))

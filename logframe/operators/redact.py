@@ -65,7 +65,7 @@ def _string_only(f: Field, redacted: Column) -> Column:
 
 def _tokens(c: Column, chosen: list[str]) -> Column:
     for id in chosen:
-        c = F.regexp_replace(c, patterns.named(id), f"[{TOKENS[id]}]")
+        c = patterns.replaced(c, id, f"[{TOKENS[id]}]")
     return c
 
 
@@ -97,9 +97,9 @@ def _cutter(java: str, token: str):
         literals = F.split(piece["text"], java, -1)
         found = F.regexp_extract_all(piece["text"], F.lit(java), F.lit(0))
         pair = lambda s, i: F.array(_piece(F.lit(None), s), _piece(F.lit(token), F.get(found, i)))
-        woven = F.flatten(F.transform(literals, pair))
-        # The last literal has no match after it.
-        return F.when(piece["token"].isNull(), F.slice(woven, 1, F.size(woven) - 1)).otherwise(F.array(piece))
+        # The last literal has no match after it; the empty place goes.
+        woven = F.filter(F.flatten(F.transform(literals, pair)), lambda p: p["text"].isNotNull())
+        return F.when(piece["token"].isNull(), woven).otherwise(F.array(piece))
 
     return cut
 
