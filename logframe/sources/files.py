@@ -56,13 +56,10 @@ def lines_of(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
 
 
 def _mark(value: Column) -> Column:
-    """Encoding named by a byte-order mark at the start of a file, else NULL."""
-    start = F.hex(F.substring(value.cast("binary"), 1, 3))
-    return (
-        F.when(start == "EFBBBF", "utf-8")
-        .when(start.startswith("FFFE"), "utf-16le")
-        .when(start.startswith("FEFF"), "utf-16be")
-    )
+    """UTF-16 by its byte-order mark at the start of a file, else NULL; the line reader drops
+    the mark of UTF-8."""
+    start = F.hex(F.substring(value.cast("binary"), 1, 2))
+    return F.when(start == "FFFE", "utf-16le").when(start == "FEFF", "utf-16be")
 
 
 def detect_encodings(lines: DataFrame) -> DataFrame:
@@ -82,7 +79,6 @@ def detect_encodings(lines: DataFrame) -> DataFrame:
         "name",
         "size",
         F.coalesce("mark", F.when(F.col("utf8"), "utf-8").otherwise("windows-1252")).alias("encoding"),
-        F.col("mark").isNotNull().alias("bom"),
         "multi_line",
     )
 
