@@ -31,7 +31,11 @@ NUMERIC_PATTERNS = frozenset({"http-err"})
 # and `$` does not stand before a final line break.
 _BOUNDARY = r"(?:(?=\w)(?<!\w)|(?!\w)(?<=\w))"
 _NO_BOUNDARY = r"(?:(?=\w)(?<=\w)|(?!\w)(?<!\w))"
-_SPACES = r"\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+_WIDE_SPACES = r"\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+_SPACES = r"\s" + _WIDE_SPACES
+# The same with ASCII decided first, which is what most text is.
+_SPACE = rf"[\s[[^\x00-\x7f]&&[{_WIDE_SPACES}]]]"
+_NO_SPACE = rf"[\x21-\x7e[^{_SPACES}]]"
 _BREAKS = r"\n\r\u2028\u2029"
 _QUANTIFIER = re.compile(r"\{\d+(?:,\d*)?\}")
 _NAMED_GROUP = re.compile(r"\(\?<([A-Za-z_$][\w$]*)>")
@@ -141,9 +145,9 @@ def _escape(source: str, i: int, in_class: bool, names: dict[str, int]) -> tuple
     if ch == "B" and not in_class:
         return _NO_BOUNDARY, after
     if ch == "s":
-        return (_SPACES if in_class else f"[{_SPACES}]"), after
+        return (_SPACES if in_class else _SPACE), after
     if ch == "S":
-        return f"[^{_SPACES}]", after
+        return (f"[^{_SPACES}]" if in_class else _NO_SPACE), after
     if ch == "k" and (m := re.compile(r"<([^>]+)>").match(source, after)):
         if m[1] not in names:
             raise PatternError(f"unknown group {m[1]!r}")

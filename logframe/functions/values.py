@@ -55,7 +55,7 @@ def _radix_value(t: Column) -> Column:
 def parse_number(c: Column) -> Column:
     """A string read as a number, or NULL."""
     t = trimmed(c)
-    return F.when(t.rlike(_DECIMAL), t.try_cast("double")).when(t.rlike(_RADIX), _radix_value(t))
+    return F.when(t.rlike(_DECIMAL), t.try_cast("double")).when(t.rlike(_RADIX), outlined(t, _radix_value))
 
 
 def parse_flag(c: Column) -> Column:
@@ -69,16 +69,34 @@ def parse_instant(c: Column) -> Column:
 
 
 def number_text(c: Column) -> Column:
-    """A double printed the way JavaScript prints it: ``200``, ``0.5``, ``1e+21``."""
-    raw = c.cast("string")
+    """A double printed the way JavaScript prints it: ``200``, ``0.5``, ``1e+21``.
+
+    Spark prints plain digits between 1e-3 and 1e7. The other fractions are rare and their code is
+    long, so it is kept out of the generated method, which the JVM would not compile otherwise.
+    """
     size = F.abs(c)
     return (
         F.when((size < _EXACT_INT) & (c == F.rint(c)), c.try_cast("bigint").cast("string"))
-        .when(~F.contains(raw, F.lit("E")), raw)
-        .when(size >= 1e21, F.replace(F.replace(raw, F.lit(".0E"), F.lit("E")), F.lit("E"), F.lit("e+")))
+        .when((size >= 1e-3) & (size < 1e7), c.cast("string"))
+        .otherwise(outlined(c, _long_number_text))
+    )
+
+
+def outlined(c: Column, build) -> Column:
+    """``build(c)`` evaluated outside the generated code, for branches that are rarely taken."""
+    return F.get(F.transform(F.array(c), build), F.lit(0))
+
+
+def _long_number_text(c: Column) -> Column:
+    raw = c.cast("string")
+    size = F.abs(c)
+    bare = F.replace(raw, F.lit(".0E"), F.lit("E"))
+    return (
+        F.when(F.isnan(c) | (size == float("inf")), raw)
+        .when(size >= 1e21, F.replace(bare, F.lit("E"), F.lit("e+")))
         .when(size >= 1e7, _plain(raw, 16))
         .when(size >= 1e-6, _plain(raw, 30))
-        .otherwise(F.lower(F.replace(raw, F.lit(".0E"), F.lit("E"))))
+        .otherwise(F.lower(bare))
     )
 
 

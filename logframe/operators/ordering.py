@@ -39,8 +39,10 @@ def sort_order(df: DataFrame, keys: Iterable) -> list[tuple[Column, str]]:
         key, direction = (spec["columnKey"], spec["direction"]) if isinstance(spec, Mapping) else spec
         if key in known:
             order += [(c, direction) for c in sort_columns(known[key])]
-    if order and has_row_id(df):
-        order.append((F.col(ROW_ID), "asc"))
+    if order:
+        # The row position decides ties. Without one the partition of the input does, so that the
+        # range partitioning of the sort can split a value that a large part of the rows share.
+        order.append((F.col(ROW_ID) if has_row_id(df) else F.spark_partition_id(), "asc"))
     return order
 
 

@@ -130,7 +130,10 @@ def _compile(f: Field, c: Condition) -> Column:
 def contains_text(f: Field, needle: str) -> Column:
     """Literal substring without case."""
     cell = f.col if f.is_text and f.type in (STRING, DATE) else values.text(f)
-    return F.contains(F.lower(cell), F.lit(needle.lower()))
+    wanted = needle.lower()
+    # Without a letter in it there is no case to ignore.
+    caseless = wanted == needle.upper()
+    return F.contains(cell if caseless else F.lower(cell), F.lit(wanted))
 
 
 # --- equality -------------------------------------------------------------------------------
@@ -197,7 +200,7 @@ def _between(f: Field, raw1: str, raw2: str) -> Column:
 
 def parse_operand(raw: str) -> float | None:
     """A numeric operand, or None; accepts what a cell accepts."""
-    t = raw.strip()
+    t = raw.strip(values.SPACE)
     radix = {"0x": 16, "0o": 8, "0b": 2}.get(t[:2].lower())
     try:
         if radix:

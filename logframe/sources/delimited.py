@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -31,10 +32,24 @@ def profile_files(spark: SparkSession, paths: str | Sequence[str]) -> list[FileP
     One small row per file reaches the driver, as it does when Spark lists the files.
     """
     lines = files.lines_of(spark, paths)
-    found = files.detect_encodings(lines).join(files.detect_delimiters(lines), "file", "left")
+    found = files.detect_encodings(lines).orderBy("file").collect()
+    # Reported paths are URL-encoded.
+    path_of = {r["file"]: unquote(r["file"]) for r in found}
+    if len(found) <= files.FEW_FILES:
+        delimiters = files.detect_delimiters(files.head_lines(spark, list(path_of.values()))).collect()
+    else:
+        delimiters = files.detect_delimiters(lines).collect()
+    by_file = {path_of.get(r["file"], r["file"]): r["delimiter"] for r in delimiters}
     return [
-        FileProfile(r["file"], r["name"], r["size"], r["encoding"], r["delimiter"] or files.DEFAULT_DELIMITER, r["multi_line"])
-        for r in found.orderBy("file").collect()
+        FileProfile(
+            path_of[r["file"]],
+            unquote(r["name"]),
+            r["size"],
+            r["encoding"],
+            by_file.get(path_of[r["file"]], files.DEFAULT_DELIMITER),
+            r["multi_line"],
+        )
+        for r in found
     ]
 
 
@@ -46,6 +61,7 @@ def read_delimited(
     multi_line: bool | None = None,
     infer: bool = True,
     keep_bad: bool = False,
+    full_paths: bool = False,
 ) -> DataFrame:
     """CSV, TSV and other delimited files with a header row, as raw strings with logical types.
 
@@ -53,7 +69,8 @@ def read_delimited(
     lines are skipped, missing cells are NULL, surplus cells are dropped. ``_file`` holds the file
     name and ``_row_id`` the position of a row. With delimiter, encoding and ``multi_line`` given
     no detection pass is made; ``multi_line=False`` keeps files splittable.
-    ``keep_bad`` adds the raw text of records with the wrong number of cells as ``_bad_record``.
+    ``keep_bad`` adds the raw text of records with the wrong number of cells as ``_bad_record``;
+    ``full_paths`` puts the path of a file into ``_file`` instead of its name.
     """
     names = [paths] if isinstance(paths, str) else list(paths)
     files.check_extensions(names)
@@ -71,7 +88,7 @@ def read_delimited(
             kinds.setdefault(kind, []).append(p.path)
     else:
         kinds = {(delimiter, encoding, multi_line): names}
-    parts = [_read_alike(spark, paths, *kind, keep_bad) for kind, paths in kinds.items()]
+    parts = [_read_alike(spark, paths, *kind, keep_bad, full_paths) for kind, paths in kinds.items()]
     table = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     # One numbering over all parts: position within the scan, which is file order within a file.
     front = [FILE, *([BAD_RECORD] if keep_bad else [])]
@@ -92,8 +109,20 @@ def _reader(spark: SparkSession, delimiter: str, encoding: str, multi_line: bool
     return reader.option("lineSep", "\n") if encoding.startswith("utf-16") and not multi_line else reader
 
 
+def _file_of_row(full_path: bool) -> Column:
+    """The file a row comes from; Spark reports it URL-encoded, but for plus signs."""
+    reported = F.col("_metadata.file_path" if full_path else "_metadata.file_name")
+    return F.url_decode(F.replace(reported, F.lit("+"), F.lit("%2B")))
+
+
 def _read_alike(
-    spark: SparkSession, paths: list[str], delimiter: str, encoding: str, multi_line: bool, keep_bad: bool
+    spark: SparkSession,
+    paths: list[str],
+    delimiter: str,
+    encoding: str,
+    multi_line: bool,
+    keep_bad: bool,
+    full_paths: bool,
 ) -> DataFrame:
     reader = _reader(spark, delimiter, encoding, multi_line)
     # The header is one line of one file; the files of one table share it.
@@ -117,7 +146,7 @@ def _read_alike(
 
     filled = any_of(F.trim(f"c{i}") != "" for i in range(len(keys)))
     return raw.filter(filled).select(
-        F.col("_metadata.file_name").alias(FILE),
+        _file_of_row(full_paths).alias(FILE),
         *([F.col(BAD_RECORD)] if keep_bad else []),
         *(describe(cell(i), key, "string", name) for i, (name, key) in enumerate(keys)),
     )
@@ -135,9 +164,9 @@ def dataset_summary(spark: SparkSession, paths: str | Sequence[str]) -> DataFram
         [(p.path, p.name, p.size, p.delimiter, p.encoding) for p in profiles],
         "path string, file_name string, file_size bigint, delimiter string, encoding string",
     )
-    table = read_delimited(spark, [p.path for p in profiles], infer=False)
-    rows = table.groupBy(F.col(FILE).alias("file_name")).agg(F.count("*").alias("row_count"))
-    return facts.join(rows, "file_name", "left").select(
+    table = read_delimited(spark, [p.path for p in profiles], infer=False, full_paths=True)
+    rows = table.groupBy(F.col(FILE).alias("path")).agg(F.count("*").alias("row_count"))
+    return facts.join(rows, "path", "left").select(
         "file_name", "file_size", F.coalesce("row_count", F.lit(0)).alias("row_count"), "delimiter", "encoding"
     )
 

@@ -16,6 +16,9 @@ DELIMITERS = (",", "\t", "|", ";")
 DEFAULT_DELIMITER = ","
 HEAD_LINES = 10
 
+# Up to this many files, their first lines are fetched one by one rather than by a pass over all.
+FEW_FILES = 64
+
 # Windows-1252 prints these where ISO-8859-1 has control codes; the rule is Python's codec.
 _C1 = [chr(b) for b in range(0x80, 0xA0)]
 _WINDOWS = [bytes([ord(c)]).decode("cp1252", "replace") for c in _C1]
@@ -55,32 +58,30 @@ def lines_of(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     )
 
 
-def _mark(value: Column) -> Column:
-    """UTF-16 by its byte-order mark at the start of a file, else NULL; the line reader drops
-    the mark of UTF-8."""
-    start = F.hex(F.substring(value.cast("binary"), 1, 2))
-    return F.when(start == "FFFE", "utf-16le").when(start == "FEFF", "utf-16be")
-
-
 def detect_encodings(lines: DataFrame) -> DataFrame:
     """Encoding per file: a byte-order mark decides, else valid UTF-8, else windows-1252.
 
-    Also tells whether some line has an odd number of quotes, so that records span lines.
+    Also tells whether some line has an odd number of quotes, so that records span lines. All
+    aggregates have fixed width, so one hash aggregate runs over the lines.
     """
+    start = F.hex(F.substring(F.col("value").cast("binary"), 1, 2))
+    place = F.when(F.col("block") == 0, F.col("place"))
     quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
-    # The mark stands in the first line of a file, which is first in its block.
-    first = F.min_by(F.coalesce(_mark(F.col("value")), F.lit("")), F.struct("block", "place"))
-    return lines.groupBy("file", "name", "size").agg(
-        F.nullif(first, F.lit("")).alias("mark"),
+    facts = lines.groupBy("file", "name", "size").agg(
+        # A mark counts in the first line only. The line reader drops the mark of UTF-8.
+        F.min(place).alias("first"),
+        F.min(F.when(start == "FFFE", place)).alias("little"),
+        F.min(F.when(start == "FEFF", place)).alias("big"),
         F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
         F.bool_or(quotes % 2 == 1).alias("multi_line"),
-    ).select(
-        "file",
-        "name",
-        "size",
-        F.coalesce("mark", F.when(F.col("utf8"), "utf-8").otherwise("windows-1252")).alias("encoding"),
-        "multi_line",
     )
+    encoding = (
+        F.when(F.col("little") == F.col("first"), "utf-16le")
+        .when(F.col("big") == F.col("first"), "utf-16be")
+        .when(F.col("utf8"), "utf-8")
+        .otherwise("windows-1252")
+    )
+    return facts.select("file", "name", "size", encoding.alias("encoding"), "multi_line")
 
 
 def detect_delimiters(lines: DataFrame) -> DataFrame:
@@ -89,38 +90,41 @@ def detect_delimiters(lines: DataFrame) -> DataFrame:
     Lines cut into fewer than two fields do not vote; with no candidate left it is the comma.
     """
     visible = F.translate("value", "\u0000\ufeff", "")
-    rank = F.row_number().over(W.partitionBy("file").orderBy("block", "place"))
-    # The ranking keeps ten rows per file and task before anything is shuffled.
+    rank = F.row_number().over(W.partitionBy("file").orderBy("place"))
+    # Only the first block of a file is ranked, and ten lines per file leave a task.
     heads = (
-        lines.filter(F.trim(visible) != "")
+        lines.filter((F.col("block") == 0) & (F.trim(visible) != ""))
         .withColumn("at", rank)
         .filter(F.col("at") <= HEAD_LINES)
         .select("file", "at", F.regexp_replace(visible, '"[^"]*"', "").alias("line"))
     )
-    fields = heads.select(
-        "file",
-        "at",
-        F.posexplode(
-            F.array(*(F.length("line") - F.length(F.replace("line", F.lit(d), F.lit(""))) + 1 for d in DELIMITERS))
-        ).alias("candidate", "n"),
-    )
+    counts = (F.length("line") - F.length(F.replace("line", F.lit(d), F.lit(""))) + 1 for d in DELIMITERS)
+    fields = heads.select("file", "at", F.posexplode(F.array(*counts)).alias("candidate", "n"))
     before = F.lag("n").over(W.partitionBy("file", "candidate").orderBy("at"))
     scores = (
         fields.withColumn("jump", F.coalesce(F.abs(F.col("n") - before), F.lit(0)))
         .groupBy("file", "candidate")
         .agg(F.sum("jump").alias("uneven"), F.avg("n").alias("width"))
-        .filter(F.col("width") > 1.99)
-    )
-    best = scores.groupBy("file").agg(
-        F.min(F.struct("uneven", (-F.col("width")).alias("narrow"), "candidate"))["candidate"].alias("best")
     )
-    files = heads.select("file").distinct()
+    score = F.struct("uneven", (-F.col("width")).alias("narrow"), "candidate")
+    best = F.min(F.when(F.col("width") > 1.99, score))["candidate"]
     chosen = F.get(F.array(*(F.lit(d) for d in DELIMITERS)), F.col("best"))
-    return files.join(best, "file", "left").select(
+    return scores.groupBy("file").agg(best.alias("best")).select(
         "file", F.coalesce(chosen, F.lit(DEFAULT_DELIMITER)).alias("delimiter")
     )
 
 
+def head_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """First lines of a few files, in the shape of ``lines_of``. Only the start of each is read."""
+    rows = []
+    for path in paths:
+        value = F.translate("value", "\u0000\ufeff", "")
+        head = spark.read.text(path).filter(F.trim(value) != "").select(F.col("value").cast("binary")).head(HEAD_LINES)
+        rows += [(path, 0, i, r["value"]) for i, r in enumerate(head)]
+    local = spark.createDataFrame(rows, "file string, block bigint, place bigint, value binary")
+    return local.withColumn("value", F.col("value").cast("string"))
+
+
 def decoded(c: Column, encoding: str) -> Column:
     """Finish the decoding of a cell read by Spark; Windows text is read as ISO-8859-1."""
     return F.translate(c, WINDOWS_FROM, WINDOWS_TO) if encoding == "windows-1252" else c

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -61,7 +62,7 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str], encoding: str |
         found = files.detect_encodings(files.lines_of(spark, names)).select("file", "encoding").collect()
         kinds: dict[str, list[str]] = {}
         for r in found:
-            kinds.setdefault(r["encoding"], []).append(r["file"])
+            kinds.setdefault(r["encoding"], []).append(unquote(r["file"]))
     else:
         kinds = {encoding: names}
     parts = [_decoded_lines(spark, p, e) for e, p in sorted(kinds.items())]
@@ -87,7 +88,24 @@ def _windows(value: Column) -> Column:
 
 
 def _line(value: Column) -> Column:
-    return F.regexp_replace(value, r"\r\z", "")
+    """The line without the carriage return a Windows line end leaves."""
+    return F.when(F.endswith(value, F.lit("\r")), F.left(value, F.length(value) - 1)).otherwise(value)
+
+
+# Stands between the groups of a match while they are one string.
+_MARK = "\u001f"
+
+
+def _groups(line: Column, compiled: LogPattern) -> Column:
+    """All groups of the first match as an array, from one run of the pattern over the line.
+
+    A line that holds the mark itself takes one run per group instead.
+    """
+    numbers = compiled.groups.values()
+    whole = rf"\A(?s:.*?)(?:{compiled.java})(?s:.*)\z"
+    joined = F.regexp_replace(line, whole, _MARK.join(f"${n}" for n in numbers))
+    single = F.array(*(F.regexp_extract(line, compiled.java, n) for n in numbers))
+    return F.when(F.contains(line, F.lit(_MARK)), single).otherwise(F.split(joined, _MARK, -1))
 
 
 def parse_log(lines: DataFrame, pattern: str, flags: str = "", column: str = "value") -> DataFrame:
@@ -100,11 +118,14 @@ def parse_log(lines: DataFrame, pattern: str, flags: str = "", column: str = "va
     value = _line(F.col(column))
     others = [c for c in lines.columns if c != column and c not in compiled.groups]
     matched = lines.filter((F.length(value) > 0) & value.rlike(compiled.java))
-    return matched.select(
+    # The line and the array are columns of their own, so that each is made once.
+    line = matched.select(*others, value.alias("_line"))
+    cut = line.select(*others, _groups(F.col("_line"), compiled).alias("_groups"))
+    return cut.select(
         *others,
         *(
-            describe(values.blank_to_null(F.regexp_extract(value, compiled.java, group)), name, "string")
-            for name, group in compiled.groups.items()
+            describe(values.blank_to_null(F.get("_groups", F.lit(i))), name, "string")
+            for i, name in enumerate(compiled.groups)
         ),
     )
 

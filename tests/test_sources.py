@@ -45,7 +45,7 @@ def test_read_delimited(spark, put):
 
 
 def test_line_ends_and_splits_do_not_matter(spark, put):
-    path = put("a.csv", REQUESTS.replace(b"\n", b"\r\n"))
+    path = put("a b+%20é.csv", REQUESTS.replace(b"\n", b"\r\n"))
     expected = read(spark, put("b/a.csv", REQUESTS))[1]
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "40")
@@ -91,6 +91,8 @@ def test_unlike_files_read_together(spark, put):
     assert {r[0] for r in rows(df, "_file")} == {"a.csv", "b.tsv"}
     summary = {tuple(r) for r in rows(lf.dataset_summary(spark, a.rsplit("/", 1)[0]))}
     assert summary == {("a.csv", 12, 2, ",", "utf-8"), ("b.tsv", 8, 1, "\t", "utf-8")}
+    same_name = [a, put("y/a.csv", b"k,v\n9,z\n")]
+    assert sorted(r[2] for r in rows(lf.dataset_summary(spark, same_name))) == [1, 2]
 
 
 def test_rejected_files(spark, put):
@@ -184,7 +186,9 @@ def test_other_templates(spark):
 
 
 def test_log_patterns(spark):
-    lines = spark.createDataFrame([("a=1 B=2",), ("x",)], "value string")
+    lines = spark.createDataFrame([("zz a=1 B=2 zz",), ("x",), ("",)], "value string")
+    marked = spark.createDataFrame([("k=a\u001fb|c",), ("k=d|\r",)], "value string")
+    assert rows(lf.parse_log(marked, r"(?<k>[^=]+)=(?<v>[^|]*)\|(?<w>.*)")) == [("k", "a\u001fb", "c"), ("k", "d", None)]
     pattern = r"(\w)=(?<the_first>\d) (?:b)=(?<second>\d)"
     assert rows(lf.parse_log(lines, pattern, "ig")) == [("1", "2")]
     assert rows(lf.parse_log(lines, pattern)) == []
