@@ -26,7 +26,7 @@ from logframe.sources.delimited import (
 from logframe.sources.files import EmptyFile, UnsupportedFile, detect_delimiters, detect_encodings, lines_of
 from logframe.sources.headers import column_keys
 from logframe.sources.inference import coerce, infer_types, retype, to_typed, type_votes
-from logframe.sources.logs import SNIPPETS, TEMPLATES, compile_pattern, parse_log, parse_log_report, read_lines
+from logframe.sources.logs import SNIPPETS, TEMPLATES, NoMatch, compile_pattern, parse_log, parse_log_report, read_lines
 from logframe.sources.sinks import write_csv, write_json
 from logframe.streaming.ingest import append_rows, bucket_counts, ingest_stream
 

@@ -84,7 +84,9 @@ def chart_series(
     """
     grouped = _grouped(df, dim, agg, measure, bucket)
     if kind == "line":
-        order = [values.natural_key(F.col("name")), F.col("name")]
+        # A column, because a sort evaluates an expression in every comparison.
+        grouped = grouped.withColumn("_natural", values.natural_key(F.col("name")))
+        order = [F.asc("_natural"), F.asc("name")]
     else:
         order = [F.desc("value"), F.asc("_first"), F.asc("name")]
     return grouped.orderBy(*order).limit(limit or SERIES_LIMITS[kind]).select("name", "value")

@@ -73,7 +73,8 @@ def overlay(
 
     ``filters`` holds each table's own conditions. A dimension or measure the tables do not share
     falls back to the first shared one. Ordered by the total over all tables (bar) or by name
-    (line). All tables meet in one shuffle of partial aggregates.
+    (line); ``limit=None`` keeps every category. All tables meet in one shuffle of partial
+    aggregates.
     """
     if agg not in AGGREGATIONS:
         raise ValueError(f"unknown aggregation {agg!r}")
@@ -108,7 +109,8 @@ def overlay(
         *(F.min(F.when(F.col("t") == i, F.col("r"))).alias(f"_f{i}") for i in range(len(frames))),
     )
     if kind == "line":
-        order = [values.natural_key(F.col("name")), F.col("name")]
+        grouped = grouped.withColumn("_natural", values.natural_key(F.col("name")))
+        order = [F.asc("_natural"), F.asc("name")]
     else:
         total = reduce(Column.__add__, (F.col(f"_s{i}") for i in range(len(frames))))
         # Ties: as the categories first appear, reading the tables one after the other.

@@ -75,7 +75,8 @@ def top_k(df: DataFrame, keys: Iterable, n: int) -> DataFrame:
 def page(df: DataFrame, keys: Sequence, offset: int, n: int) -> DataFrame:
     """A window of rows of the sorted table.
 
-    A page near the top is a bounded top-k. A deep one would hold every row before it in memory,
+    Pages fit together when the order is total, as it is with a row position. A page near the top
+    is a bounded top-k. A deep one would hold every row before it in memory,
     so there the rows are numbered in parallel and the wanted positions kept.
     """
     if offset + n <= SHALLOW:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from logframe.functions import patterns, values
 from logframe.operators.ordering import with_position
@@ -160,8 +160,7 @@ def _consistent(df: DataFrame, chosen: list[str], cells: list[Field]) -> DataFra
 
 def _numbered(found: DataFrame) -> DataFrame:
     """Every distinct value with its label: token and rank of first appearance."""
-    first = F.struct(F.col(ROW_ID).alias("row"), "cell", "at")
-    distinct = found.groupBy("token", "value").agg(F.min(first).alias("first"), F.count("*").alias("n"))
+    distinct = found.groupBy("token", "value").agg(F.min(_place(found)).alias("first"), F.count("*").alias("n"))
     placed = with_position(distinct, [(F.col("token"), "asc"), (F.col("first"), "asc")], "position")
     # Four tokens at most: their first positions fit any broadcast.
     starts = placed.groupBy("token").agg(F.min("position").alias("_start"))
@@ -169,3 +168,14 @@ def _numbered(found: DataFrame) -> DataFrame:
     return placed.join(F.broadcast(starts), "token").select(
         "token", "value", "n", F.concat(F.lit("["), "token", F.lit("_"), number, F.lit("]")).alias("label")
     )
+
+
+def _place(found: DataFrame) -> Column:
+    """Where a match stands: row, cell, place in the cell.
+
+    For whole-number rows it is one number, of fixed width, which a hash aggregate can hold.
+    """
+    if not isinstance(found.schema[ROW_ID].dataType, T.IntegralType):
+        return F.struct(F.col(ROW_ID).alias("row"), "cell", "at")
+    within = F.shiftleft(F.col("cell").cast("bigint"), 32) + F.col("at")
+    return (F.col(ROW_ID).cast("decimal(19,0)") * F.lit(2**48).cast("decimal(16,0)") + within).cast("decimal(38,0)")

@@ -14,7 +14,7 @@ from logframe.operators.crosstab import crosstab
 from logframe.operators.ordering import multi_sort
 from logframe.operators.predicates import filter_groups
 from logframe.operators.search import search
-from logframe.schema import fields_of
+from logframe.schema import signature as fingerprint
 
 
 @dataclass(frozen=True)
@@ -101,5 +101,4 @@ def apply_view(df: DataFrame, spec: Mapping | str) -> View:
 
 def apply_to_all(tables: Mapping[str, DataFrame], spec: Mapping | str, signature: str) -> dict[str, View]:
     """One view over every table whose column keys and types have the given fingerprint."""
-    fits = {name: t for name, t in tables.items() if "|".join(f"{f.key}:{f.type}" for f in fields_of(t)) == signature}
-    return {name: apply_view(t, spec) for name, t in fits.items()}
+    return {name: apply_view(t, spec) for name, t in tables.items() if fingerprint(t) == signature}

@@ -104,7 +104,8 @@ def with_row_id(df: DataFrame, order: str | None = None) -> DataFrame:
 
     ``order`` names an existing column that already orders the rows; prefer it for columnar tables,
     because it is deterministic and lets filters be pushed to the scan. Without it the rows are
-    numbered in scan order, which for one text file is file order.
+    numbered in scan order, which for one text file is file order; number a table where it is
+    read, because after a shuffle the order of rows is not fixed.
     """
     return df.withColumn(ROW_ID, ref(order) if order else F.monotonically_increasing_id())
 

@@ -25,9 +25,22 @@ def configure(spark: SparkSession) -> SparkSession:
     for key, value in _DEFAULTS.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    _widen_shuffles(spark)
     return spark
 
 
+def _widen_shuffles(spark: SparkSession) -> None:
+    """Start shuffles with several partitions per core where the default would be too few.
+
+    Adaptive execution merges what turns out small. A number the user has set is left alone.
+    """
+    initial = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    if spark.conf.get("spark.sql.shuffle.partitions") == "200" and spark.conf.get(initial, None) is None:
+        wanted = 4 * spark.sparkContext.defaultParallelism
+        if wanted > 200:
+            spark.conf.set(initial, str(wanted))
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """A fresh path in the shared folder named by ``spark.checkpoint.dir``.
 

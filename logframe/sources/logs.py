@@ -30,6 +30,10 @@ SNIPPETS = {
 ALLOWED_FLAGS = "imsu"
 
 
+class NoMatch(ValueError):
+    """A pattern that matches no line of a log."""
+
+
 @dataclass(frozen=True)
 class LogPattern:
     java: str
@@ -108,14 +112,19 @@ def _groups(line: Column, compiled: LogPattern) -> Column:
     return F.when(F.contains(line, F.lit(_MARK)), single).otherwise(F.split(joined, _MARK, -1))
 
 
-def parse_log(lines: DataFrame, pattern: str, flags: str = "", column: str = "value") -> DataFrame:
+def parse_log(
+    lines: DataFrame, pattern: str, flags: str = "", column: str = "value", require_match: bool = False
+) -> DataFrame:
     """Matching lines as raw string columns, one per named group, the first match in each line.
 
     Works on any DataFrame with a column of lines, batch or streaming; its other columns stay.
-    A group that took no part in the match is blank, as a NULL.
+    A group that took no part in the match is blank, as a NULL. ``require_match`` looks for one
+    matching line first and raises when there is none.
     """
     compiled = compile_pattern(lines.sparkSession, pattern, flags)
     value = _line(F.col(column))
+    if require_match and lines.filter(value.rlike(compiled.java)).isEmpty():
+        raise NoMatch("no line matches the pattern")
     others = [c for c in lines.columns if c != column and c not in compiled.groups]
     matched = lines.filter((F.length(value) > 0) & value.rlike(compiled.java))
     # The line and the array are columns of their own, so that each is made once.

@@ -176,6 +176,9 @@ def test_access_log(spark, put):
     assert lf.field_of(got, "status").type == "number"
     assert rows(lf.parse_log_report(lines, "access")) == [(2, 1)]
     assert rows(lf.parse_log_report(lines, r"(?<x>zzz)")) == [(0, 3)]
+    assert lf.parse_log(lines, "access", require_match=True).count() == 2
+    with pytest.raises(lf.NoMatch):
+        lf.parse_log(lines, r"(?<x>zzz)", require_match=True)
 
 
 def test_other_templates(spark):
