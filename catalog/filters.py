@@ -91,9 +91,9 @@ def search_regex(t):
     return lf.search(t.part, r"^(?:small|RED)\b.*g", regex=True).select("p_partkey", "p_name", "p_brand")
 
 
-@query("F18_search_regex_invalid", "SELECT n_nationkey, n_name FROM nation")
+@query("F18_search_regex_invalid", "SELECT o_orderkey, o_orderstatus FROM orders")
 def search_invalid(t):
-    return lf.search(t.nation, "(", regex=True).select("n_nationkey", "n_name")
+    return lf.search(t.orders, "(", regex=True).select("o_orderkey", "o_orderstatus")
 
 
 def _pattern(id: str, source: str) -> None:

@@ -140,14 +140,14 @@ def malformed_records(t):
 
 @query(
     "A12_load_many",
-    """SELECT 'nations' AS _file, cast(n_nationkey AS varchar) AS id, n_name AS name, cast(n_regionkey AS varchar) AS n_regionkey FROM nation
-    UNION ALL SELECT 'nations (2)', cast(r_regionkey AS varchar), r_name, NULL FROM region""",
+    """SELECT 'people' AS _file, cast(c_custkey AS varchar) AS id, c_name AS name, c_mktsegment FROM customer
+    UNION ALL SELECT 'people (2)', cast(s_suppkey AS varchar), s_name, NULL FROM supplier""",
 )
 def load_many(t):
     root = lf.scratch_dir(t.spark)
-    _written(t.nation.withColumnsRenamed({"n_nationkey": "id", "n_name": "name"}), f"{root}/x/nations")
-    _written(t.region.withColumnsRenamed({"r_regionkey": "id", "r_name": "name"}), f"{root}/y/nations", sep=";")
-    tables = lf.load_many(t.spark, [f"{root}/x/nations", f"{root}/y/nations"])
+    _written(t.customer.selectExpr("c_custkey AS id", "c_name AS name", "c_mktsegment"), f"{root}/x/people")
+    _written(t.supplier.selectExpr("s_suppkey AS id", "s_name AS name"), f"{root}/y/people", sep=";")
+    tables = lf.load_many(t.spark, [f"{root}/x/people", f"{root}/y/people"])
     return lf.stack_tables(tables)
 
 

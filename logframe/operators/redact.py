@@ -20,7 +20,10 @@ from logframe.session import materialize
 # like an IPv6 address, so it comes first.
 TOKENS = {"email": "EMAIL", "mac": "MAC", "ipv6": "IP6", "ipv4": "IP"}
 
-# Values looked up by broadcast, most frequent first; the rest are joined by shuffle.
+# A dictionary up to this size is broadcast; of a larger one this many values, most frequent
+# first, and the rest is joined by shuffle.
+BROADCAST_VALUES = 100_000
+BROADCAST_CHARS = 32_000_000
 FREQUENT = 1000
 
 
@@ -105,11 +108,12 @@ def _cutter(java: str, token: str):
 
 
 def _spots(i: int) -> Column:
-    """The pieces of one cell with their places."""
+    """The matches of one cell with their places among its pieces."""
     spot = lambda p, at: F.struct(
         F.lit(i).alias("cell"), at.alias("at"), p["token"].alias("token"), p["text"].alias("value")
     )
-    return F.transform(F.coalesce(F.col(f"_p{i}"), F.array().cast(_PIECE)), spot)
+    placed = F.transform(F.coalesce(F.col(f"_p{i}"), F.array().cast(_PIECE)), spot)
+    return F.filter(placed, lambda s: s["token"].isNotNull())
 
 
 def _consistent(df: DataFrame, chosen: list[str], cells: list[Field]) -> DataFrame:
@@ -125,20 +129,15 @@ def _consistent(df: DataFrame, chosen: list[str], cells: list[Field]) -> DataFra
         cut = cut if unparsed is None else F.when(unparsed, cut).otherwise(whole)
         return F.when(f.col.isNull(), F.lit(None).cast(_PIECE)).otherwise(cut)
 
-    cut = marked.filter("_hit").drop("_hit").withColumns({f"_p{i}": pieces(f) for i, f in enumerate(cells)})
-    cut = materialize(cut)
+    # The pieces hold the whole text, so the cells themselves need not move with them.
+    cut = marked.filter("_hit").withColumns({f"_p{i}": pieces(f) for i, f in enumerate(cells)})
+    cut = materialize(cut.drop("_hit", *(f.key for f in cells)))
     spots = F.flatten(F.array(*(_spots(i) for i in range(len(cells)))))
     found = cut.select(ROW_ID, F.explode_outer(spots).alias("s")).select(ROW_ID, "s.*").filter("token is not null")
 
-    numbered = _numbered(found)
-    frequent = numbered.orderBy(F.desc("n"), "token", "value").limit(FREQUENT)
-    known = ["token", "value"]
-    # A frequent value never travels: its label is broadcast. What is left is spread evenly.
-    near = found.join(F.broadcast(frequent.select(*known, "label")), known, "left")
-    done = near.filter("label is not null")
-    rest = near.filter("label is null").drop("label").join(numbered.select(*known, "label"), known)
+    placed = _labelled(found, _numbered(found))
     own = lambda i: F.when(F.col("cell") == i, F.struct("at", "label"))
-    placed = done.unionByName(rest).groupBy(ROW_ID).agg(
+    placed = placed.groupBy(ROW_ID).agg(
         *(F.sort_array(F.collect_list(own(i)))["label"].alias(f"_l{i}") for i in range(len(cells)))
     )
 
@@ -158,6 +157,23 @@ def _consistent(df: DataFrame, chosen: list[str], cells: list[Field]) -> DataFra
     return clean.unionByName(repaired)
 
 
+def _labelled(found: DataFrame, numbered: DataFrame) -> DataFrame:
+    """Every match with its label.
+
+    A dictionary of checked size is broadcast. Of a larger one the most frequent values are, so
+    that no value that many matches share travels; what is left is spread evenly by a shuffle.
+    """
+    known = ["token", "value"]
+    size = numbered.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("value")), F.lit(0)).alias("chars")).first()
+    if size["n"] <= BROADCAST_VALUES and size["chars"] <= BROADCAST_CHARS:
+        return found.join(F.broadcast(numbered.select(*known, "label")), known)
+    frequent = numbered.orderBy(F.desc("n"), "token", "value").limit(FREQUENT)
+    near = found.join(F.broadcast(frequent.select(*known, "label")), known, "left")
+    done = near.filter("label is not null")
+    rest = near.filter("label is null").drop("label").join(numbered.select(*known, "label"), known)
+    return done.unionByName(rest)
+
+
 def _numbered(found: DataFrame) -> DataFrame:
     """Every distinct value with its label: token and rank of first appearance."""
     distinct = found.groupBy("token", "value").agg(F.min(_place(found)).alias("first"), F.count("*").alias("n"))

@@ -2,7 +2,6 @@ import functools
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 import logframe as lf
 from conftest import ids, rows
