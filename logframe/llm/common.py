@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import pathlib
+import shutil
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -80,3 +84,52 @@ def fold(id_column: str, folds: int) -> Column:
 def held_out(id_column: str, folds: int) -> Column:
     """Rows of fold 0. A null id is never held out."""
     return F.coalesce(fold(id_column, folds) == 0, F.lit(False))
+
+
+_sent_to: set[str] = set()
+
+
+def _send_package(spark: SparkSession) -> None:
+    """Let Spark hand this package to the Python workers, which need not have it installed."""
+    context = spark.sparkContext
+    if context.applicationId in _sent_to:
+        return
+    top = pathlib.Path(__file__).resolve().parent.parent
+    folder = tempfile.mkdtemp(prefix="logframe-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(f"{folder}/logframe.zip", "w") as out:
+        for path in sorted(top.rglob("*.py")):
+            out.write(path, path.relative_to(top.parent))
+    context.addPyFile(f"{folder}/logframe.zip")
+    _sent_to.add(context.applicationId)
+
+
+def map_arrow(df: DataFrame, rows, schema: str) -> DataFrame:
+    """``mapInArrow`` with batches bounded in bytes, as a few texts may be very long."""
+    spark = df.sparkSession
+    _send_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    return df.mapInArrow(rows, schema)
+
+
+def slices(texts: list[str], most: int, overlap: int = 0) -> Iterator[list[tuple[int, str]]]:
+    """Texts as (index, piece) in lists of about ``most`` characters.
+
+    A longer text is cut into pieces; each begins with the last ``overlap`` characters of the one before.
+    """
+    batch, size = [], 0
+    for i, text in enumerate(texts):
+        start = 0
+        while True:
+            piece = text[start : start + most]
+            batch.append((i, piece))
+            size += len(piece)
+            if size >= most:
+                yield batch
+                batch, size = [], 0
+            if start + most >= len(text):
+                break
+            start += most - overlap
+    if batch:
+        yield batch

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F  # noqa: F401
 
 import logframe as lf
 from logframe.llm.exact_dedup import exact_dedup
+from logframe.llm.langid import identify
+from logframe.llm.quality_classifier import classify
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,3 +39,13 @@ def query(name: str, sql: str | None = None):
 )
 def op6(documents, folder):
     return exact_dedup(documents).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@query("op7_language_id")
+def op7(documents, folder):
+    return identify(documents)
+
+
+@query("op5_quality_classifier")
+def op5(documents, folder):
+    return classify(documents, documents.sparkSession.read.parquet(f"{folder}/labels.parquet"))
