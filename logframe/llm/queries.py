@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F  # noqa: F401
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
 
 import logframe as lf
 from logframe.llm.exact_dedup import exact_dedup
 from logframe.llm.langid import identify
 from logframe.llm.quality_classifier import classify
+from logframe.llm.mixing import mix
+from logframe.llm.packing import pack
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -49,3 +52,38 @@ def op7(documents, folder):
 @query("op5_quality_classifier")
 def op5(documents, folder):
     return classify(documents, documents.sparkSession.read.parquet(f"{folder}/labels.parquet"))
+
+
+@query(
+    "op3_mix_sources",
+    r"""WITH sized AS (
+         SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+                -ln((('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0)
+                / (0.05::DOUBLE + 0.95::DOUBLE * length(regexp_replace(coalesce(text, ''), '[^\p{Ll} ]+', '', 'g')) / greatest(length(coalesce(text, '')), 1)) AS key
+         FROM documents),
+       sources AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
+       named AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM sources),
+       weighed AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][((rank - 1) % 3 + 1)::INT] AS weight FROM named),
+       shared AS (
+         SELECT *, (sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER b, 0))::DOUBLE / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS share
+         FROM weighed WINDOW b AS (ORDER BY source_size / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+       full_ones AS (SELECT *, 3 * source_size <= share * weight AS is_full FROM shared),
+       plan AS (
+         SELECT source, source_size, CASE WHEN is_full THEN (3 * source_size)::DOUBLE ELSE max(share) FILTER (NOT is_full) OVER () * weight END AS target
+         FROM full_ones),
+       run AS (
+         SELECT s.doc_id, s.size, p.source_size, p.target, coalesce(floor(p.target / p.source_size), 0)::BIGINT AS epochs,
+                p.target - coalesce(floor(p.target / p.source_size), 0) * p.source_size AS budget,
+                sum(s.size) OVER (PARTITION BY s.source ORDER BY s.key, s.doc_id ROWS UNBOUNDED PRECEDING) AS until
+         FROM sized s JOIN plan p ON s.source IS NOT DISTINCT FROM p.source)
+       SELECT doc_id, size, source_size, target,
+              (size * (epochs + CASE WHEN budget - until + size >= size / 2 AND size > 0 THEN 1 ELSE 0 END))::BIGINT AS taken
+       FROM run""",
+)
+def op3(documents, folder):
+    return mix(documents).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op8_best_fit_packing")
+def op8(documents, folder):
+    return pack(documents, public_tokenizers.path("word_bpe_49k.json"))
