@@ -109,6 +109,7 @@ def exact_dedup(df: DataFrame, id: str = "doc_id", text: str = "text", block_cha
     """
     named = document_names(df.select(F.col(id).alias("id"), F.col(text).alias("text")), "text", block_chars)
     groups = named.groupBy("name_level", "name").agg(F.count("*").alias("group_size"), F.max(F.struct("id", "row_key")).alias("keep"))
+    groups = Scratch(df.sparkSession).save(groups, "groups")  # as a table of its own, so that a join on a hot name can be split
     return named.join(groups, ["name_level", "name"]).select(
         F.col("id").alias(id),
         F.col("keep.id").alias("keep_id"),
