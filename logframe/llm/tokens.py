@@ -12,8 +12,11 @@ from itertools import chain
 import numpy as np
 
 MEMORY = 500_000
-#: Parts that are longer are not remembered.
-LONGEST = 64
+#: Punctuation that ends words; no token holds both a letter or digit and one of these after it.
+TAIL = ".,;:!?"
+#: How byte-level tokenizers write the bytes that have no visible character: those from 256 on, in turn.
+_HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+BYTE_LETTERS = {b: 256 + k for k, b in enumerate(_HIDDEN)}
 
 _loaded: dict[str, "WordCache"] = {}
 
@@ -31,6 +34,7 @@ class WordCache:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.marked = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         special = [t for t in self.marked.get_added_tokens_decoder().values() if t.special]
         self.mark = special[0].content  # parts joined by it are encoded at once
@@ -38,11 +42,12 @@ class WordCache:
         self.special = [t.content for t in special]
         self.leading_space = leading_space
         self.known: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def _encode_parts(self, parts: list[str]) -> list[np.ndarray]:
+    def _encode_parts(self, parts: list[str]) -> list[bytes]:
         """As ``_encode``, for many short texts: joined by a special token, one call encodes them all."""
         if not parts:
             return []
@@ -50,37 +55,64 @@ class WordCache:
         if joined.count(self.mark) != len(parts) - 1 or any(s in joined for s in self.special if s != self.mark):
             return self._encode(parts)
         ids = np.array(self.marked.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.flatnonzero(ids == self.mark_id)
-        starts = [0, *(ends + 1).tolist()]
-        return [ids[a:b] for a, b in zip(starts, [*ends.tolist(), len(ids)])]
+        ends = 4 * np.append(np.flatnonzero(ids == self.mark_id), len(ids))
+        raw, starts = ids.tobytes(), [0, *(ends[:-1] + 4).tolist()]
+        return [raw[a:b] for a, b in zip(starts, ends.tolist())]
+
+    def _pieces(self, part: str) -> list[str]:
+        """A part cut further where no token can cross: at line breaks, and before closing punctuation.
+
+        With ``leading_space`` the first piece begins with the space and later lines with their break;
+        otherwise case doesn't matter and breaks are dropped, so that more parts share their pieces.
+        """
+        if part.isalpha() and (part.isascii() or ord(max(part)) < 256):
+            return [" " + part if self.leading_space else part.lower()]
+        lines = part.split("\n")
+        if len(lines) > 1 and not all(x and not x[0].isspace() and not x[-1].isspace() for x in lines):
+            lines = [part]
+        out = []
+        for k, line in enumerate(lines):
+            core = line.rstrip(TAIL)
+            if not core or core == line or ord(core[-1]) > 255 or not core[-1].isalnum():
+                core = line
+            if self.leading_space:
+                out.append(("\n" if k else " ") + core)
+            else:
+                out.append(core.lower() if core.isascii() or ord(max(core)) < 256 else core)
+            if len(core) < len(line):
+                out.append(line[len(core) :])
+        return out
+
+    def _learn(self, parts: list[str]) -> dict[str, bytes]:
+        """The ids of parts not met before. A piece of letters alone is one word to the library's model."""
+        cut = [self._pieces(p) for p in parts]
+        pieces = self.pieces
+        fresh = [x for x in set(chain.from_iterable(cut)) if x not in pieces]
+        plain = [x for x in fresh if x[x[:1] == " " :].isalpha() and (x.isascii() or ord(max(x)) < 256)]
+        for x in plain:
+            word = x.encode().decode("latin-1").translate(BYTE_LETTERS)
+            pieces[x] = np.array([t.id for t in self.model.tokenize(word)], "<u4").tobytes()
+        rest = [x for x in fresh if x not in pieces]
+        pieces.update(zip(rest, self._encode_parts(rest)))
+        return {p: b"".join([pieces[x] for x in xs]) for p, xs in zip(parts, cut)}
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > MEMORY:
-            self.known.clear()
+        for memory in (self.known, self.pieces):
+            if len(memory) > MEMORY:
+                memory.clear()
         known, cut = self.known, [t.split(" ") for t in texts]
         inner = (parts[1:] for parts in cut) if self.leading_space else cut
         fresh = [p for p in set(chain.from_iterable(inner)) if p not in known]
-        if self.leading_space:
-            odd = {p for p in fresh if not p or p[0].isspace()}
-            fresh = [p for p in fresh if p not in odd]
-            whole = [bool(odd) and any(p in odd for p in parts[1:]) for parts in cut]
-            new = self._encode_parts([" " + p for p in fresh])
-        else:
-            whole = [False] * len(texts)
-            new = self._encode_parts(fresh)
-        extra: dict[str, bytes] = {}
-        for part, ids in zip(fresh, new):
-            (known if len(part) <= LONGEST else extra)[part] = ids.astype("<u4").tobytes()
-        look = known.__getitem__ if not extra else lambda p: known[p] if p in known else extra[p]
-        heads = iter(self._encode([t if w else parts[0] for t, w, parts in zip(texts, whole, cut)])) if self.leading_space else None
-        out = []
-        for w, parts in zip(whole, cut):
-            if heads is None:
-                out.append(np.frombuffer(b"".join(map(look, parts)), "<u4"))
-                continue
-            head = next(heads)
-            out.append(head if w else np.frombuffer(head.tobytes() + b"".join(map(look, parts[1:])), "<u4"))
-        return out
+        odd = {p for p in fresh if not p or p[0].isspace()} if self.leading_space else set()
+        whole = [bool(odd) and any(p in odd for p in parts[1:]) for parts in cut]
+        known.update(self._learn([p for p in fresh if p not in odd]))
+        if not self.leading_space:
+            return [np.frombuffer(b"".join(map(known.__getitem__, parts)), "<u4") for parts in cut]
+        heads = self._encode([t if w else parts[0] for t, w, parts in zip(texts, whole, cut)])
+        return [
+            np.frombuffer(head if w else head + b"".join(map(known.__getitem__, parts[1:])), "<u4")
+            for head, w, parts in zip(heads, whole, cut)
+        ]
 
 
 def word_cache(path: str, leading_space: bool) -> WordCache:
