@@ -8,11 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import logframe as lf
+from logframe.llm.common import Scratch
 from logframe.llm.exact_dedup import exact_dedup
 from logframe.llm.langid import identify
 from logframe.llm.quality_classifier import classify
 from logframe.llm.mixing import mix
 from logframe.llm.packing import pack
+from logframe.llm.token_output import write_tokens
+from logframe.llm.quality_rules import judge
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -87,3 +90,14 @@ def op3(documents, folder):
 @query("op8_best_fit_packing")
 def op8(documents, folder):
     return pack(documents, public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op1_token_output")
+def op1(documents, folder):
+    spark = documents.sparkSession
+    return write_tokens(documents, public_tokenizers.path("byte_bpe_50k.json"), Scratch(spark).root).documents()
+
+
+@query("op9_quality_rules")
+def op9(documents, folder):
+    return judge(documents).drop("class_divergence", "word_divergence")
