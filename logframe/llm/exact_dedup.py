@@ -34,6 +34,11 @@ def _digest(seed: int) -> Callable[[Column], Column]:
     )
 
 
+def row_key() -> Column:
+    """A number for each row of a stored table: file splits and the order in them don't change."""
+    return F.monotonically_increasing_id()
+
+
 def _named(distinct: DataFrame, *keys: str) -> DataFrame:
     """Distinct rows, already dealt by their keys, sorted and numbered in each partition.
 
@@ -57,7 +62,7 @@ def document_names(df: DataFrame, text: str = "text", block_chars: int = BLOCK_C
             df.select(
                 F.struct(*carried).alias("row"),
                 F.sha2(body.cast("binary"), 256).alias("sha"),
-                F.monotonically_increasing_id().alias("row_key"),
+                row_key().alias("row_key"),
                 F.transform(_blocks(body, block_chars), _digest(seed)).alias("digests"),
             ),
             "base",
@@ -103,7 +108,7 @@ def exact_dedup(df: DataFrame, id: str = "doc_id", text: str = "text", block_cha
     """Groups of equal texts; of each the row with the largest id stays.
 
     One row per row of ``df``: ``id``, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``,
-    ``name_level``, ``name``. Texts are compared unchanged, a null text counts as empty, and a null
+    ``name_level``, ``name``, ``row_key``. Texts are compared unchanged, a null text counts as empty, and a null
     id is smaller than any other. Of rows that repeat both id and text exactly one is kept. Other
     columns are ignored, so their names can't clash; an empty table gives an empty result.
     """
@@ -118,4 +123,11 @@ def exact_dedup(df: DataFrame, id: str = "doc_id", text: str = "text", block_cha
         "text_sha256",
         "name_level",
         "name",
+        "row_key",
     )
+
+
+def drop_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of a stored table without those that ``exact_dedup`` does not keep."""
+    gone = exact_dedup(df, id, text).filter("NOT kept").select("row_key")
+    return df.withColumn("row_key", row_key()).join(gone, "row_key", "left_anti").drop("row_key")

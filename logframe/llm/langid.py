@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from logframe.llm.common import held_out, map_arrow, slices
 
@@ -117,18 +117,18 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang") -> LanguageModel:
     return LanguageModel(langs, np.ascontiguousarray(log_prob.T), np.log(texts / max(texts.sum(), 1)))
 
 
-def predict(df: DataFrame, model: LanguageModel, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``id``, ``lang_pred`` and ``score`` (posterior probability) of every row.
+def tag(df: DataFrame, model: LanguageModel, text: str = "text", lang_name: str = "lang_pred", score_name: str = "score") -> DataFrame:
+    """All columns of ``df`` with the predicted language and its posterior probability.
 
     A text without a letter, a null one too, and every text if nothing was learned, is ``und`` with score 0.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
-    kind = df.schema[id].dataType
+    place = df.columns.index(text)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for rows in batches:
-            texts = _strings(rows.column(1))
+            texts = _strings(rows.column(place))
             total = np.tile(known.log_prior, (len(texts), 1))
             lettered = np.zeros(len(texts), bool)
             for batch in slices(texts, BATCH_CHARS, max(ORDERS) - 1) if known.langs else ():
@@ -145,10 +145,10 @@ def predict(df: DataFrame, model: LanguageModel, id: str = "doc_id", text: str =
                 scores = np.where(lettered, share[np.arange(len(best)), best], 0.0)
             else:
                 langs, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
-            yield pa.record_batch([rows.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["id", "lang_pred", "score"])
+            yield pa.record_batch([*rows.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*rows.schema.names, lang_name, score_name])
 
-    out = map_arrow(df.select(F.col(id).alias("id"), F.col(text).alias("text")), score, f"id {kind.simpleString()}, lang_pred string, score double")
-    return out.withColumnRenamed("id", id)
+    schema = T.StructType([*df.schema.fields, T.StructField(lang_name, T.StringType()), T.StructField(score_name, T.DoubleType())])
+    return map_arrow(df, score, schema)
 
 
 def identify(df: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 5) -> DataFrame:
@@ -159,4 +159,11 @@ def identify(df: DataFrame, id: str = "doc_id", text: str = "text", lang: str =
     text is an input of a prediction. Other columns are ignored; an empty table gives an empty result.
     """
     model = fit(df.filter(~held_out(id, folds)), text, lang)
-    return predict(df, model, id, text).select(id, held_out(id, folds).alias("held_out"), "lang_pred", "score")
+    return tag(df.select(id, text), model, text).select(id, held_out(id, folds).alias("held_out"), "lang_pred", "score")
+
+
+def reject_unknown(df: DataFrame, text: str = "text", id: str = "doc_id", lang: str = "lang", folds: int = 5, least: float = 0.3) -> DataFrame:
+    """The rows of ``df`` whose text has a language: one with a letter, and a posterior of ``least`` at least."""
+    model = fit(df.filter(~held_out(id, folds)), text, lang)
+    tagged = tag(df, model, text, "_lang_pred", "_lang_score")
+    return tagged.filter((F.col("_lang_pred") != UNDETERMINED) & (F.col("_lang_score") >= least)).drop("_lang_pred", "_lang_score")

@@ -59,7 +59,8 @@ def mix(
     most: int = MOST_EPOCHS,
     seed: str = SEED,
 ) -> DataFrame:
-    """How often each document is taken: ``id``, ``source``, ``size``, ``source_size``, ``target``, ``copies``, ``taken``.
+    """How often each document is taken: ``id``, ``source``, ``size``, ``source_size``, ``target``, ``copies``, ``taken``,
+    and ``row_key``, a number of the row of a stored table.
 
     ``size`` is the number of words (null text: 0), ``taken`` is ``size`` times ``copies``. The document
     on which the budget ends is taken if at least half of it fits. A null source is a source of its own,
@@ -71,7 +72,7 @@ def mix(
     key = -F.log(uniform(F.col(id), seed)) / quality_weight(body)
     place = F.least(F.floor(float(FANOUT * FANOUT) * (1 - F.exp(-F.col("key")))), F.lit(FANOUT * FANOUT - 1)).cast("long")
     sized = scratch.save(
-        df.select(F.col(id).alias("id"), F.col(source).alias("source"), F.regexp_count(body, F.lit(WORD)).cast("long").alias("size"), key.alias("key"), F.xxhash64(body).alias("tie"))
+        df.select(F.col(id).alias("id"), F.col(source).alias("source"), F.regexp_count(body, F.lit(WORD)).cast("long").alias("size"), key.alias("key"), F.xxhash64(body).alias("tie"), F.monotonically_increasing_id().alias("row_key"))
         .withColumn("place", place),
         "sized",
     )
@@ -114,4 +115,11 @@ def mix(
         "target",
         copies.alias("copies"),
         (F.col("size") * copies).alias("taken"),
+        "row_key",
     )
+
+
+def take(df: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The rows of a stored table as often as ``mix`` takes them."""
+    copies = mix(df, id, text, source).filter("copies > 0").select("row_key", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    return df.withColumn("row_key", F.monotonically_increasing_id()).join(copies, "row_key").drop("row_key", "copy")

@@ -31,8 +31,8 @@ MAX_REPEATED_PERCENT = 30
 WINDOW = 8
 #: A histogram of fewer words than this is not judged.
 MIN_JUDGED_WORDS = 30
-MAX_CLASS_DIVERGENCE = 0.05
-MAX_WORD_DIVERGENCE = 0.3
+MAX_CLASS_DIVERGENCE = 0.06
+MAX_WORD_DIVERGENCE = 0.2
 
 _BINS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-=_~^@!?"  # a letter per common word
 

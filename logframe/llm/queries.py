@@ -16,6 +16,7 @@ from logframe.llm.mixing import mix
 from logframe.llm.packing import pack
 from logframe.llm.token_output import write_tokens
 from logframe.llm.quality_rules import judge
+from logframe.llm.near_dedup import near_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -101,3 +102,8 @@ def op1(documents, folder):
 @query("op9_quality_rules")
 def op9(documents, folder):
     return judge(documents).drop("class_divergence", "word_divergence")
+
+
+@query("op10_near_dedup")
+def op10(documents, folder):
+    return near_dedup(documents)
