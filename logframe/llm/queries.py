@@ -17,6 +17,7 @@ from logframe.llm.packing import pack
 from logframe.llm.token_output import write_tokens
 from logframe.llm.quality_rules import judge
 from logframe.llm.near_dedup import near_dedup
+from logframe.llm.pii import find_pii
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -107,3 +108,8 @@ def op9(documents, folder):
 @query("op10_near_dedup")
 def op10(documents, folder):
     return near_dedup(documents)
+
+
+@query("op2_pii")
+def op2(documents, folder):
+    return find_pii(documents)
