@@ -18,6 +18,7 @@ from logframe.llm.token_output import write_tokens
 from logframe.llm.quality_rules import judge
 from logframe.llm.near_dedup import near_dedup
 from logframe.llm.pii import find_pii
+from logframe.llm.lm import score_texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -113,3 +114,8 @@ def op10(documents, folder):
 @query("op2_pii")
 def op2(documents, folder):
     return find_pii(documents)
+
+
+@query("op4_language_model")
+def op4(documents, folder):
+    return score_texts(documents)
