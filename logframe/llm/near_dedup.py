@@ -7,9 +7,11 @@ and a document is finished once no place can improve, after few steps for long t
 element differ from place to place, so estimates vary less than with independent hash functions.
 
 Documents of equal sets are one node. Nodes that agree in all rows of a band share a bucket. In each
-bucket all nodes are compared with one of them, another one in every bucket; most of a group of
-copies is connected by that. Whatever pairs in a bucket are still apart are then compared too, but
-for those of unlike size. Each comparison that decides is one of full sets.
+bucket all nodes are compared with the one that shares most buckets with others: copies are connected
+through their original by that. Pairs in a bucket that are still apart are then compared too, each
+once, unless sizes rule the similarity out: shingles that no other such node has can't be common, so
+they bound the intersection from above and the union from below. Each comparison that decides is one
+of full sets.
 """
 
 from __future__ import annotations
@@ -111,6 +113,13 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([part.column(0), pa.array([shingles(t).tobytes() for t in part.column(1).to_pylist()], pa.binary())], ["id", "elements"])
 
 
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for name, elements in zip(batch.column(0).to_pylist(), batch.column(1)):
+            found = np.frombuffer(elements.as_buffer(), np.int64)
+            yield pa.record_batch([pa.array(found), pa.array(np.full(len(found), name, np.int64))], ["element", "id"])
+
+
 def _alike(places: int, percent: int):
     """Pairs whose short signatures agree often enough for the similarity to be possible."""
 
@@ -200,8 +209,12 @@ def near_dedup(df: DataFrame, id: str = "doc_id", text: str = "text", percent: i
     first = found.join(same, ["set_a", "set_b", "n"]).filter("id = rep").select("rep", "n", "bands", "brief")
     nodes = scratch.save(first.groupBy("rep", "n").agg(F.first("bands").alias("bands"), F.first("brief").alias("brief")), "nodes")
     placed = nodes.select("rep", "n", F.explode("bands").alias("bucket"))
-    shared = placed.groupBy("bucket").agg(F.count("*").alias("c"), F.min_by("rep", F.xxhash64("rep", "bucket")).alias("center")).filter("c > 1")
-    buckets = scratch.save(placed.join(shared.select("bucket", "center"), "bucket"), "buckets")
+    shared = placed.groupBy("bucket").agg(F.count("*").alias("c")).filter("c > 1")
+    crowded = scratch.save(placed.join(shared, "bucket"), "crowded")
+    company = crowded.groupBy("rep").agg(F.sum("c").alias("weight"))
+    centers = crowded.join(company, "rep").groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("rep")).alias("least"))).alias("best"))
+    buckets = scratch.save(crowded.join(centers, "bucket").select("bucket", "rep", "n", (-F.col("best.least")).alias("center")), "buckets")
+    scratch.drop(crowded)
     wanted = buckets.select(F.col("rep").alias("id")).distinct()
     texts = plain.join(wanted, "id", "left_semi")
     sets = scratch.save(map_arrow(texts, _sets, "id long, elements binary"), "sets")
@@ -225,10 +238,23 @@ def near_dedup(df: DataFrame, id: str = "doc_id", text: str = "text", percent: i
     parts = told.groupBy("bucket", "label").agg(F.count("*").alias("c")).groupBy("bucket")
     mixed = parts.agg(F.count("*").alias("labels"), F.max_by("label", F.struct("c", "label")).alias("main")).filter("labels > 1").select("bucket", "main")
     open_rows = scratch.save(told.join(mixed, "bucket"), "open")
-    out = open_rows.filter("label <> main").select("bucket", F.col("rep").alias("a"), F.col("n").alias("an"), F.col("label").alias("al"))
-    rest = out.join(open_rows.select("bucket", F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("label").alias("bl")), "bucket")
-    fits = (F.col("al") != F.col("bl")) & (100 * F.least("an", "bn") >= percent * F.greatest("an", "bn"))
-    more = verified(rest.filter(fits).select("a", "b"), "more")
+    open_nodes = scratch.save(open_rows.select("rep").distinct(), "open-nodes")
+    elements = map_arrow(sets.join(open_nodes, F.col("id") == F.col("rep"), "left_semi"), _elements, "element long, id long")
+    alone = elements.groupBy("element").agg(F.count("*").alias("c"), F.min("id").alias("rep")).filter("c = 1").groupBy("rep").agg(F.count("*").alias("own"))
+    about = nodes.select("rep", "bands").join(open_nodes, "rep").join(alone, "rep", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    open_rows = scratch.save(open_rows.join(scratch.save(about, "about"), "rep"), "open-rows")
+
+    def side(name: str) -> list:
+        return [F.col(c).alias(f"{name}_{c}") for c in ("rep", "n", "own", "label", "bands")]
+
+    rest = open_rows.filter("label <> main").select("bucket", *side("a")).join(open_rows.select("bucket", *side("b")), "bucket")
+    common = F.least(F.col("a_n") - F.col("a_own"), F.col("b_n") - F.col("b_own"))
+    union = F.greatest(F.col("a_n") + F.col("b_own"), F.col("b_n") + F.col("a_own"))
+    agree = F.zip_with("a_bands", "b_bands", lambda x, y: F.when(x == y, x))
+    first_shared = F.get(F.filter(agree, lambda x: x.isNotNull()), F.lit(0)) == F.col("bucket")
+    fits = (F.col("a_label") != F.col("b_label")) & (100 * common >= percent * union) & first_shared
+    rest = rest.filter(fits).select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"))
+    more = verified(rest, "more")
     links = near.union(more)
     labels = components(links, scratch)
     scratch.drop(sets, buckets, open_rows)
