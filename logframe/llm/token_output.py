@@ -72,8 +72,8 @@ def _stage(tokenizer: str, end_id: int):
                 ids.clear()
                 docs.clear()
 
-            for k in range(0, len(texts), 64):
-                for i, found in enumerate(encoder.ids(texts[k : k + 64]), k):
+            for k in range(0, len(texts), 256):
+                for i, found in enumerate(encoder.ids(texts[k : k + 256]), k):
                     ids.append(found)
                     docs.append(i)
                     size += len(found) + 1

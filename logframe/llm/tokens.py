@@ -7,11 +7,11 @@ encoded by the tokenizers library once, and a text's ids are those of its parts
 from __future__ import annotations
 
 import os
-from itertools import chain
+from array import array
 
 import numpy as np
 
-MEMORY = 500_000
+MEMORY = 700_000
 #: Punctuation that ends words; no token holds both a letter or digit and one of these after it.
 TAIL = ".,;:!?"
 #: How byte-level tokenizers write the bytes that have no visible character: those from 256 on, in turn.
@@ -21,6 +21,25 @@ BYTE_LETTERS = {b: 256 + k for k, b in enumerate(_HIDDEN)}
 _loaded: dict[str, "WordCache"] = {}
 
 
+class _Uncut(Exception):
+    """The text can't be cut at its spaces."""
+
+
+class _Memory(dict):
+    """Results of a function; all are forgotten when they have become too many."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.make(key)
+        if len(self) >= MEMORY:
+            self.clear()
+        self[key] = found
+        return found
+
+
 class WordCache:
     """Encodes texts to arrays of 32-bit ids.
 
@@ -33,32 +52,16 @@ class WordCache:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.marked = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        special = [t for t in self.marked.get_added_tokens_decoder().values() if t.special]
-        self.mark = special[0].content  # parts joined by it are encoded at once
-        self.mark_id = self.marked.token_to_id(self.mark)
-        self.special = [t.content for t in special]
         self.leading_space = leading_space
-        self.known: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.pieces = _Memory(self._piece)
+        self.parts = _Memory(self._part)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def _encode_parts(self, parts: list[str]) -> list[bytes]:
-        """As ``_encode``, for many short texts: joined by a special token, one call encodes them all."""
-        if not parts:
-            return []
-        joined = self.mark.join(parts)
-        if joined.count(self.mark) != len(parts) - 1 or any(s in joined for s in self.special if s != self.mark):
-            return self._encode(parts)
-        ids = np.array(self.marked.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
-        ends = 4 * np.append(np.flatnonzero(ids == self.mark_id), len(ids))
-        raw, starts = ids.tobytes(), [0, *(ends[:-1] + 4).tolist()]
-        return [raw[a:b] for a, b in zip(starts, ends.tolist())]
-
     def _pieces(self, part: str) -> list[str]:
         """A part cut further where no token can cross: at line breaks, and before closing punctuation.
 
@@ -83,36 +86,35 @@ class WordCache:
                 out.append(line[len(core) :])
         return out
 
-    def _learn(self, parts: list[str]) -> dict[str, bytes]:
-        """The ids of parts not met before. A piece of letters alone is one word to the library's model."""
-        cut = [self._pieces(p) for p in parts]
-        pieces = self.pieces
-        fresh = [x for x in set(chain.from_iterable(cut)) if x not in pieces]
-        plain = [x for x in fresh if x[x[:1] == " " :].isalpha() and (x.isascii() or ord(max(x)) < 256)]
-        for x in plain:
-            word = x.encode().decode("latin-1").translate(BYTE_LETTERS)
-            pieces[x] = np.array([t.id for t in self.model.tokenize(word)], "<u4").tobytes()
-        rest = [x for x in fresh if x not in pieces]
-        pieces.update(zip(rest, self._encode_parts(rest)))
-        return {p: b"".join([pieces[x] for x in xs]) for p, xs in zip(parts, cut)}
+    def _piece(self, piece: str) -> bytes:
+        """The ids of a piece; one of letters alone is a single word to the library's model."""
+        spaced = piece[:1] == " "
+        if piece[spaced:].isalpha() and (piece.isascii() or ord(max(piece)) < 256):
+            word = piece if piece.isascii() else piece.encode().decode("latin-1").translate(BYTE_LETTERS)
+            word = chr(BYTE_LETTERS[32]) + word[1:] if spaced else word
+            return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+        return self._encode([piece])[0]
+
+    def _part(self, part: str) -> bytes:
+        if self.leading_space and (not part or part[0].isspace()):
+            raise _Uncut
+        if part.isascii() and part.isalpha():
+            return self.pieces[" " + part if self.leading_space else part.lower()]
+        return b"".join(map(self.pieces.__getitem__, self._pieces(part)))
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        for memory in (self.known, self.pieces):
-            if len(memory) > MEMORY:
-                memory.clear()
-        known, cut = self.known, [t.split(" ") for t in texts]
-        inner = (parts[1:] for parts in cut) if self.leading_space else cut
-        fresh = [p for p in set(chain.from_iterable(inner)) if p not in known]
-        odd = {p for p in fresh if not p or p[0].isspace()} if self.leading_space else set()
-        whole = [bool(odd) and any(p in odd for p in parts[1:]) for parts in cut]
-        known.update(self._learn([p for p in fresh if p not in odd]))
+        cut = [t.split(" ") for t in texts]
+        look = self.parts.__getitem__
         if not self.leading_space:
-            return [np.frombuffer(b"".join(map(known.__getitem__, parts)), "<u4") for parts in cut]
-        heads = self._encode([t if w else parts[0] for t, w, parts in zip(texts, whole, cut)])
-        return [
-            np.frombuffer(head if w else head + b"".join(map(known.__getitem__, parts[1:])), "<u4")
-            for head, w, parts in zip(heads, whole, cut)
-        ]
+            return [np.frombuffer(b"".join(map(look, parts)), "<u4") for parts in cut]
+        out = []
+        for text, parts, head in zip(texts, cut, self._encode([parts[0] for parts in cut])):
+            try:
+                found = head + b"".join(map(look, parts[1:]))
+            except _Uncut:
+                found = self._encode([text])[0]
+            out.append(np.frombuffer(found, "<u4"))
+        return out
 
 
 def word_cache(path: str, leading_space: bool) -> WordCache:
