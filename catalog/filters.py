@@ -32,6 +32,13 @@ _filtered("F14_filter_all", [("value", "gte", "20"), ("event_type", "contains",
           "value >= 20 AND contains(lower(event_type), 'e')")
 
 
+@query("F14_zero_operand", "SELECT event_id, value FROM events WHERE value > 0 AND event_id <> 0")
+def zero_operand(t):
+    """Saved views hold numbers too: 0 is an operand, not a missing one."""
+    zero = [{"columnKey": c, "operator": op, "value": 0} for c, op in (("value", "gt"), ("event_id", "notEquals"))]
+    return lf.filter_all(t.events, zero).select("event_id", "value")
+
+
 @query("F10_is_true", f"WITH {RAW_SQL} SELECT event_id, kind FROM raw WHERE lower(flag) IN ('true', 'yes')")
 def is_true(t):
     return lf.filter_all(raw_events(t), [("flag", "isTrue")]).select("event_id", "kind")

@@ -93,6 +93,14 @@ def chart_pie(t):
     return lf.chart_series(lf.with_row_id(t.events, "event_id"), "user_id", kind="pie")
 
 
+@query(
+    "G7_chart_all",
+    "SELECT cast(user_id AS varchar) AS name, cast(count(*) AS bigint) AS value FROM events GROUP BY user_id",
+)
+def chart_all(t):
+    return lf.chart_series(lf.with_row_id(t.events, "event_id"), "user_id", limit=None)
+
+
 @query("G7_group_total", "SELECT cast(count(DISTINCT user_id) AS bigint) AS group_count FROM events")
 def group_total(t):
     return lf.group_total(t.events, "user_id")

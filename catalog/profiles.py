@@ -155,6 +155,16 @@ def value_share(t):
     return lf.top_values(t.documents, ["lang"]).select("value", "count", F.round("share", 6).alias("share"))
 
 
+@query(
+    "S5_value_share_all",
+    """SELECT cast(user_id AS varchar) AS value, cast(count(*) AS bigint) AS count, round(count(*) / (SELECT count(*) FROM events), 9) AS share
+    FROM events GROUP BY 1""",
+)
+def value_share_all(t):
+    users = t.events.select(F.col("user_id").cast("string").alias("user_id"))
+    return lf.top_values(users, ["user_id"], n=None).select("value", "count", F.round("share", 9).alias("share"))
+
+
 @query(
     "S6_bin_bounds",
     """SELECT cast(range AS int) AS bin, round(lo + range * w, 4) AS low, round(CASE WHEN range = 11 THEN hi ELSE lo + (range + 1) * w END, 4) AS high

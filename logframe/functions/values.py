@@ -211,7 +211,7 @@ def natural_key(c: Column) -> Column:
         F.regexp_extract_all(c, F.lit("[0-9]+|[^0-9]+"), F.lit(0)),
         lambda run: F.when(
             run.rlike("^[0-9]"),
-            F.concat(F.lpad(F.length(bare(run)).cast("string"), 3, "0"), bare(run)),
+            F.concat(F.lpad(F.length(bare(run)).cast("string"), 10, "0"), bare(run)),
         ).otherwise(run),
     )
     key = F.when(c.rlike("[0-9]"), F.array_join(sized, "")).otherwise(c)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import Literal
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from logframe.functions import dates, values
@@ -75,9 +77,11 @@ def chart_series(
     measure: str | None = None,
     bucket: str = "none",
     kind: str = "bar",
-    limit: int | None = None,
+    limit: int | None | Literal["chart"] = "chart",
 ) -> DataFrame:
-    """The series a chart shows: largest first for bar and pie, by name for line, and cut off.
+    """The series a chart shows: largest first for bar and pie, by name for line.
+
+    By default it is cut off as a chart of that kind is; ``limit=None`` gives every category.
 
     Equal values keep the order in which their categories first appear (``_row_id``), or the
     order of their names when the table has no row order.
@@ -89,7 +93,9 @@ def chart_series(
         order = [F.asc("_natural"), F.asc("name")]
     else:
         order = [F.desc("value"), F.asc("_first"), F.asc("name")]
-    return grouped.orderBy(*order).limit(limit or SERIES_LIMITS[kind]).select("name", "value")
+    ordered = grouped.orderBy(*order)
+    most = SERIES_LIMITS[kind] if limit == "chart" else limit
+    return (ordered if most is None else ordered.limit(most)).select("name", "value")
 
 
 def group_total(df: DataFrame, dim: str, bucket: str = "none") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -17,12 +18,11 @@ MAX_CATEGORIES = 60
 
 
 def labels(names: Sequence[str]) -> list[str]:
-    """Unique labels for file names: repeats get `` (2)``, `` (3)`` …"""
-    seen: dict[str, int] = {}
-    out = []
+    """Unique labels for file names: a repeat gets the lowest number that no other table's label has."""
+    out: list[str] = []
     for name in names:
-        seen[name] = seen.get(name, 0) + 1
-        out.append(name if seen[name] == 1 else f"{name} ({seen[name]})")
+        numbered = (f"{name} ({k})" for k in count(2))
+        out.append(name if name not in out else next(x for x in numbered if x not in out and x not in names))
     return out
 
 

@@ -146,11 +146,10 @@ def diff_summary(diff: DataFrame) -> DataFrame:
 
 def diff_samples(diff: DataFrame, n: int = SAMPLE) -> DataFrame:
     """First rows per status: added in the second table's order, removed and changed in the first's."""
-    at = F.when(F.col("status") == "added", F.col("b_at")).otherwise(F.col("a_at"))
-    rank = F.row_number().over(W.partitionBy("status").orderBy(at, "key"))
-    return (
-        diff.filter(F.col("status") != "unchanged")
-        .withColumn("place", rank)
-        .filter(F.col("place") <= n)
-        .select("status", "place", "key", "changes")
-    )
+
+    def first(status: str) -> DataFrame:
+        at = F.col("b_at" if status == "added" else "a_at")
+        top = diff.filter(F.col("status") == status).orderBy(at, "key").limit(n)  # n rows of each task at most meet
+        return top.withColumn("place", F.row_number().over(W.orderBy(at, "key"))).select("status", "place", "key", "changes")
+
+    return first("added").union(first("removed")).union(first("changed"))

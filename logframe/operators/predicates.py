@@ -70,7 +70,8 @@ class Condition:
         if isinstance(spec, Mapping):
             key = spec.get("columnKey", spec.get("key", ""))
             op = spec.get("operator", spec.get("op", ""))
-            return cls(key, op, str(spec.get("value") or ""), str(spec.get("value2") or ""))
+            given = ("" if v is None else str(v) for v in (spec.get("value"), spec.get("value2")))
+            return cls(key, op, *given)
         return cls(*(str(p) for p in spec))
 
 

@@ -178,8 +178,8 @@ def bin_bounds(low: float, high: float, index: int, bins: int = BINS) -> tuple[f
     return low + index * width, high if index == bins - 1 else low + (index + 1) * width
 
 
-def top_values(df: DataFrame, keys: Iterable[str] | None = None, n: int = TOP_VALUES) -> DataFrame:
-    """Most frequent values of each non-numeric column, with their share and the rest's count.
+def top_values(df: DataFrame, keys: Iterable[str] | None = None, n: int | None = TOP_VALUES) -> DataFrame:
+    """Most frequent values of each non-numeric column, with their share and the rest's count; all with ``n=None``.
 
     Equal counts keep the order of first appearance (``_row_id``), or of the values without one.
     """
@@ -194,8 +194,14 @@ def top_values(df: DataFrame, keys: Iterable[str] | None = None, n: int = TOP_VA
     for i, f in enumerate(chosen):
         first = F.min(ROW_ID) if has_row_id(df) else F.lit(0)
         groups = df.groupBy(_present(f).alias("v")).agg(F.count("*").alias("count"), first.alias("_first"))
-        top = groups.filter(F.col("v").isNotNull()).orderBy(F.desc("count"), "_first", "v").limit(n)
+        filled = groups.filter(F.col("v").isNotNull())
         printed = F.col("v") if f.is_text else values.native_text(F.col("v"), f.stored)
+        if n is None:
+            share = (F.col("count") / totals[f"t{i}"]).alias("share")
+            total = F.lit(totals[f"t{i}"])
+            parts.append(filled.select(F.lit(f.key).alias("key"), printed.alias("value"), "count", share, total.alias("total"), F.lit(0).cast("long").alias("others_count")))
+            continue
+        top = filled.orderBy(F.desc("count"), "_first", "v").limit(n)
         kept = top.agg(F.sum("count").alias("kept"), F.collect_list(F.struct(printed.alias("value"), "count")).alias("rows"))
         parts.append(
             kept.select(F.inline("rows"), "kept").select(

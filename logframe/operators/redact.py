@@ -107,6 +107,9 @@ def _cutter(java: str, token: str):
     return cut
 
 
+_KEY = "_redacted_row"
+
+
 def _spots(i: int) -> Column:
     """The matches of one cell with their places among its pieces."""
     spot = lambda p, at: F.struct(
@@ -131,13 +134,14 @@ def _consistent(df: DataFrame, chosen: list[str], cells: list[Field]) -> DataFra
 
     # The pieces hold the whole text, so the cells themselves need not move with them.
     cut = marked.filter("_hit").withColumns({f"_p{i}": pieces(f) for i, f in enumerate(cells)})
-    cut = materialize(cut.drop("_hit", *(f.key for f in cells)))
+    # Rows find their labels again by a key of their own: the position may repeat.
+    cut = materialize(cut.drop("_hit", *(f.key for f in cells)).withColumn(_KEY, F.monotonically_increasing_id()))
     spots = F.flatten(F.array(*(_spots(i) for i in range(len(cells)))))
-    found = cut.select(ROW_ID, F.explode_outer(spots).alias("s")).select(ROW_ID, "s.*").filter("token is not null")
+    found = cut.select(ROW_ID, _KEY, F.explode_outer(spots).alias("s")).select(ROW_ID, _KEY, "s.*").filter("token is not null")
 
     placed = _labelled(found, _numbered(found))
     own = lambda i: F.when(F.col("cell") == i, F.struct("at", "label"))
-    placed = placed.groupBy(ROW_ID).agg(
+    placed = placed.groupBy(_KEY).agg(
         *(F.sort_array(F.collect_list(own(i)))["label"].alias(f"_l{i}") for i in range(len(cells)))
     )
 
@@ -149,7 +153,7 @@ def _consistent(df: DataFrame, chosen: list[str], cells: list[Field]) -> DataFra
         )
         return _keep_metadata(df, f, F.array_join(texts, ""))
 
-    joined = cut.join(placed, ROW_ID, "left")
+    joined = cut.join(placed, _KEY, "left")
     by_key = {f.key: i for i, f in enumerate(cells)}
     repaired = joined.select(
         *(rebuilt(by_key[c], cells[by_key[c]]) if c in by_key else ref(c) for c in df.columns)

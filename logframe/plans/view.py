@@ -27,30 +27,39 @@ class View:
     pivot: DataFrame | None
 
 
-def _is_condition(c) -> bool:
-    return isinstance(c, Mapping) and all(isinstance(c.get(k), str) for k in ("columnKey", "operator", "value"))
+# The parts of a saved view that are read one by one: each key with its type or its possible values.
+_CONDITION = {"columnKey": str, "operator": str, "value": str}
+_SORT_KEY = {"columnKey": str, "direction": ("asc", "desc")}
+_GROUP = {"filters": list}
+
+
+def _of_shape(parts, shape: Mapping) -> list[Mapping]:
+    """Those of the parts that have every key of the shape; none if it is no list."""
+
+    def fits(part) -> bool:
+        if not isinstance(part, Mapping):
+            return False
+        return all(part.get(k) in want if isinstance(want, tuple) else isinstance(part.get(k), want) for k, want in shape.items())
+
+    return [p for p in parts if fits(p)] if isinstance(parts, list) else []
 
 
 def filter_groups_of(spec: Mapping) -> list[list[Mapping]]:
-    """Condition groups of a view; older views hold one flat list. Malformed parts are left out."""
-    groups = spec.get("groups")
-    if isinstance(groups, list):
-        lists = [g.get("filters") for g in groups if isinstance(g, Mapping)]
-        return [g for g in lists if isinstance(g, list) and all(_is_condition(c) for c in g)]
-    flat = spec.get("filters")
-    flat = [c for c in flat if _is_condition(c)] if isinstance(flat, list) else []
+    """Condition groups of a view; a group with a malformed condition is left out whole.
+
+    Views without ``groups`` hold one flat list, of which the well-formed conditions count.
+    """
+    if isinstance(spec.get("groups"), list):
+        groups = [g["filters"] for g in _of_shape(spec["groups"], _GROUP)]
+        return [g for g in groups if len(_of_shape(g, _CONDITION)) == len(g)]
+    flat = _of_shape(spec.get("filters"), _CONDITION)
     return [flat] if flat else []
 
 
 def sort_keys_of(spec: Mapping) -> list[tuple[str, str]]:
-    """Sort keys of a view; older views hold a single one."""
-    raw = spec.get("sort")
-    keys = raw if isinstance(raw, list) else [raw]
-    return [
-        (k["columnKey"], k["direction"])
-        for k in keys
-        if isinstance(k, Mapping) and isinstance(k.get("columnKey"), str) and k.get("direction") in ("asc", "desc")
-    ]
+    """Sort keys of a view, a list or a single one."""
+    given = spec.get("sort")
+    return [(k["columnKey"], k["direction"]) for k in _of_shape(given if isinstance(given, list) else [given], _SORT_KEY)]
 
 
 def _chart(df: DataFrame, spec) -> DataFrame | None:

@@ -9,15 +9,14 @@ from pyspark.sql import DataFrame, functions as F
 from logframe.functions import values
 from logframe.schema import BOOLEAN, DATE, LOGICAL_TYPES, NUMBER, STRING, describe, fields_of, ref, with_types
 
-# Rows that vote, and which type wins a draw.
-SAMPLE_ROWS = 50
+# Fixed value: which type wins a draw.
 PRECEDENCE = (STRING, NUMBER, BOOLEAN, DATE)
 
 
-def type_votes(df: DataFrame, sample: int | None = SAMPLE_ROWS) -> DataFrame:
+def type_votes(df: DataFrame, sample: int | None = None) -> DataFrame:
     """Votes and winner per raw column: ``key``, a count per type, ``type``.
 
-    ``sample`` first rows vote, or every row with None; blank cells do not. One aggregate over one
+    Every row votes, or the ``sample`` first ones if that is given; blank cells do not. One aggregate over one
     pass; a column without votes is a string column.
     """
     chosen = [f for f in fields_of(df) if f.is_text]
@@ -40,7 +39,7 @@ def type_votes(df: DataFrame, sample: int | None = SAMPLE_ROWS) -> DataFrame:
     return votes.withColumn("type", winner)
 
 
-def infer_types(df: DataFrame, sample: int | None = SAMPLE_ROWS) -> DataFrame:
+def infer_types(df: DataFrame, sample: int | None = None) -> DataFrame:
     """Give every raw column the logical type its cells vote for."""
     winners = {r["key"]: r["type"] for r in type_votes(df, sample).collect()}
     return with_types(df, winners)

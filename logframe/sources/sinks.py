@@ -11,6 +11,10 @@ from logframe.operators.redact import redact
 from logframe.schema import BOOLEAN, DATE, NUMBER, Field, fields_of
 
 
+# Spark trims cells on writing unless told not to.
+_AS_IS = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def _names(df: DataFrame, unique: bool) -> dict[str, str]:
     """Header per column: the original one, or the key where headers would clash."""
     names = {f.key: f.name for f in fields_of(df)}
@@ -28,7 +32,7 @@ def write_csv(
     out = _export(df, redact_classes, redact_mode)
     shown = out.select(*(values.text(f).alias(f.key) for f in fields_of(out)))
     named = shown.toDF(*_names(out, unique=False).values())
-    named.write.mode(mode).option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+    named.write.mode(mode).option("header", True).option("escape", '"').option("emptyValue", "").options(**_AS_IS).csv(path)
 
 
 def write_json(

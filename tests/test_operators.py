@@ -2,6 +2,7 @@ import functools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import logframe as lf
 from conftest import ids, rows
@@ -285,3 +286,22 @@ def test_samples_keep_the_table_order(table):
     b = table("id:string v:string", [(f"b{i}", "1") for i in range(25, 0, -1)])
     got = lf.diff_samples(lf.row_diff(a, b)).orderBy("status", "place").collect()
     assert [r["key"] for r in got] == [f"b{i}" for i in range(25, 5, -1)] + [f"a{i}" for i in range(30, 10, -1)]
+
+
+def test_labels_stay_apart():
+    from logframe.operators.compare import labels
+
+    assert labels(["q.csv", "r.csv", "q.csv", "q.csv (2)", "q.csv"]) == ["q.csv", "r.csv", "q.csv (3)", "q.csv (2)", "q.csv (4)"]
+
+
+def test_long_digit_runs_sort_by_length(spark):
+    from logframe.functions.values import natural_key
+
+    runs = ["v" + "7" * n for n in (1000, 998, 1002, 999, 9)]
+    df = spark.createDataFrame([(r,) for r in runs], "t string")
+    assert [len(r["t"]) for r in df.orderBy(natural_key(F.col("t"))).collect()] == [10, 999, 1000, 1001, 1003]
+
+
+def test_every_row_votes_on_types(table):
+    df = table("a:string", [(str(k),) for k in range(60)] + [("abc",)] * 100)
+    assert lf.field_of(lf.infer_types(df), "a").type == "string"

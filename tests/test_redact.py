@@ -70,3 +70,9 @@ def test_options(table):
         lf.redact(t, mode="consistent")
     with pytest.raises(ValueError):
         lf.redact(t, mode="hash")
+
+
+def test_consistent_labels_when_positions_repeat(spark):
+    df = spark.createDataFrame([(1, "at 10.0.0.1"), (1, "at 10.0.0.2"), (2, "10.0.0.1 again")], "_row_id long, text string")
+    got = sorted(r["text"] for r in lf.redact(df, mode="consistent").collect())
+    assert sorted(got) == ["[IP_1] again", "at [IP_1]", "at [IP_2]"]

@@ -136,10 +136,10 @@ def test_votes(table):
     assert got == {"a": (1, 1, 0, 0, "string"), "b": (1, 2, 0, 0, "number"), "c": (0, 1, 2, 0, "boolean"), "d": (1, 0, 0, 2, "date"), "e": (0, 0, 0, 0, "string")}
 
 
-def test_only_the_first_rows_vote(table):
+def test_every_row_votes_unless_a_sample_is_named(table):
     t = table("a:string", [("1",)] * 50 + [("x",)] * 200).coalesce(1)
-    assert lf.field_of(lf.infer_types(t), "a").type == "number"
-    assert lf.field_of(lf.infer_types(t, sample=None), "a").type == "string"
+    assert lf.field_of(lf.infer_types(t, sample=50), "a").type == "number"
+    assert lf.field_of(lf.infer_types(t), "a").type == "string"
 
 
 def test_retype(table):

@@ -81,3 +81,9 @@ def test_stream_options(spark, log_folder):
     for time, bucket in (("gone", "day"), ("time", "month")):
         with pytest.raises(ValueError):
             lf.bucket_counts(stream, time, bucket)
+
+
+def test_csv_keeps_blanks_around_cells(spark, table, tmp_path):
+    lf.write_csv(table("a:string b:string", [("  lead", "trail  "), ('q"u', "two\nlines")]), f"{tmp_path}/out", redact_classes=None)
+    text = "".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*")))
+    assert "  lead,trail  " in text and '"q""u"' in text
