@@ -30,8 +30,10 @@ PLACES = 256
 ROWS = 6
 #: Percent of the union that the intersection must reach.
 SIMILARITY = 85
-#: Signatures that agree in fewer places are of pairs below the similarity (8 standard deviations).
-SURE = 0.18
+#: Signatures that agree in so much less than the similarity are of pairs below it (5.6 standard deviations, 1e-8).
+SURE = 0.125
+#: Pairs at the similarity share 16 of 42 bands on average; fewer than three with a chance of 8e-7.
+LEAST_BANDS = 3
 BATCH_CHARS = 1 << 19
 _NONE = np.uint32(0xFFFFFFFF)
 
@@ -196,7 +198,7 @@ def near_dedup(df: DataFrame, id: str = "doc_id", text: str = "text", percent: i
     reachable, itself included), ``kept`` (whether that is its own). A text without words has no
     shingle and no link. A null id has no links either: its component is null and it is kept. Rows that
     share an id are one document here: links of any of them count, and all of them are kept or none.
-    Two documents at the similarity miss each other with a chance of 2e-9. Other columns are ignored; an
+    Two documents at the similarity miss each other with a chance of 8e-7. Other columns are ignored; an
     empty table gives an empty result.
     """
     spark = df.sparkSession
@@ -219,20 +221,21 @@ def near_dedup(df: DataFrame, id: str = "doc_id", text: str = "text", percent: i
     texts = plain.join(wanted, "id", "left_semi")
     sets = scratch.save(map_arrow(texts, _sets, "id long, elements binary"), "sets")
 
+    def beside(rows: DataFrame, table: DataFrame, key: str, value: str) -> DataFrame:
+        x = table.select(F.col(key).alias("k"), F.col(value).alias("x"))
+        y = table.select(F.col(key).alias("k"), F.col(value).alias("y"))
+        rows = rows.join(x, F.col("a") == F.col("k")).drop("k").join(y, F.col("b") == F.col("k")).drop("k")
+        return rows.select("a", "b", "x", "y")
+
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        def beside(rows: DataFrame, table: DataFrame, key: str, value: str) -> DataFrame:
-            x = table.select(F.col(key).alias("k"), F.col(value).alias("x"))
-            y = table.select(F.col(key).alias("k"), F.col(value).alias("y"))
-            rows = rows.join(x, F.col("a") == F.col("k")).drop("k").join(y, F.col("b") == F.col("k")).drop("k")
-            return rows.select("a", "b", "x", "y")
-
-        apart = pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        likely = scratch.save(map_arrow(beside(apart, nodes, "rep", "brief"), _alike(places, percent), "a long, b long"), f"{name}-likely")
-        out = scratch.save(map_arrow(beside(likely.distinct(), sets, "id", "elements"), _linked(percent), "a long, b long"), name)
+        """Those pairs, given with both short signatures, that are links."""
+        likely = scratch.save(map_arrow(pairs, _alike(places, percent), "a long, b long"), f"{name}-likely")
+        out = scratch.save(map_arrow(beside(likely, sets, "id", "elements"), _linked(percent), "a long, b long"), name)
         scratch.drop(likely)
         return out
 
-    near = verified(buckets.select(F.col("rep").alias("a"), F.col("center").alias("b")), "near")
+    starred = buckets.filter("rep <> center").select(F.least("rep", "center").alias("a"), F.greatest("rep", "center").alias("b")).distinct()
+    near = verified(beside(starred, nodes, "rep", "brief"), "near")
     grouped = components(near, scratch)
     told = buckets.join(grouped, F.col("rep") == F.col("node"), "left").select("bucket", "rep", "n", F.coalesce("label", "rep").alias("label"))
     parts = told.groupBy("bucket", "label").agg(F.count("*").alias("c")).groupBy("bucket")
@@ -241,19 +244,21 @@ def near_dedup(df: DataFrame, id: str = "doc_id", text: str = "text", percent: i
     open_nodes = scratch.save(open_rows.select("rep").distinct(), "open-nodes")
     elements = map_arrow(sets.join(open_nodes, F.col("id") == F.col("rep"), "left_semi"), _elements, "element long, id long")
     alone = elements.groupBy("element").agg(F.count("*").alias("c"), F.min("id").alias("rep")).filter("c = 1").groupBy("rep").agg(F.count("*").alias("own"))
-    about = nodes.select("rep", "bands").join(open_nodes, "rep").join(alone, "rep", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    about = nodes.select("rep", "bands", "brief").join(open_nodes, "rep").join(alone, "rep", "left").withColumn("own", F.coalesce("own", F.lit(0)))
     open_rows = scratch.save(open_rows.join(scratch.save(about, "about"), "rep"), "open-rows")
 
     def side(name: str) -> list:
-        return [F.col(c).alias(f"{name}_{c}") for c in ("rep", "n", "own", "label", "bands")]
+        return [F.col(c).alias(f"{name}_{c}") for c in ("rep", "n", "own", "label", "bands", "brief")]
 
-    rest = open_rows.filter("label <> main").select("bucket", *side("a")).join(open_rows.select("bucket", *side("b")), "bucket")
+    rest = open_rows.filter("label <> main").select("bucket", "main", *side("a")).join(open_rows.select("bucket", *side("b")), "bucket")
     common = F.least(F.col("a_n") - F.col("a_own"), F.col("b_n") - F.col("b_own"))
     union = F.greatest(F.col("a_n") + F.col("b_own"), F.col("b_n") + F.col("a_own"))
     agree = F.zip_with("a_bands", "b_bands", lambda x, y: F.when(x == y, x))
-    first_shared = F.get(F.filter(agree, lambda x: x.isNotNull()), F.lit(0)) == F.col("bucket")
-    fits = (F.col("a_label") != F.col("b_label")) & (100 * common >= percent * union) & first_shared
-    rest = rest.filter(fits).select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"))
+    # A pair is taken in the LEAST_BANDSth bucket that it shares: once, and only if it shares so many.
+    turn = F.get(F.filter(agree, lambda x: x.isNotNull()), F.lit(LEAST_BANDS - 1)) == F.col("bucket")
+    in_order = (F.col("b_label") == F.col("main")) | (F.col("a_rep") < F.col("b_rep"))  # two outsiders meet twice
+    fits = (F.col("a_label") != F.col("b_label")) & in_order & (100 * common >= percent * union) & F.coalesce(turn, F.lit(False))
+    rest = rest.filter(fits).select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"), "a_brief", "b_brief")
     more = verified(rest, "more")
     links = near.union(more)
     labels = components(links, scratch)
