@@ -19,7 +19,9 @@ LOGICAL_TYPES = (STRING, NUMBER, BOOLEAN, DATE)
 ROW_ID = "_row_id"
 FILE = "_file"
 BAD_RECORD = "_bad_record"
-_INTERNAL = {ROW_ID, FILE, BAD_RECORD}
+#: How many cells more (or fewer, below 0) than its header a bad record has.
+SURPLUS = "_surplus"
+_INTERNAL = {ROW_ID, FILE, BAD_RECORD, SURPLUS}
 
 _DATES = (T.DateType, T.TimestampType, T.TimestampNTZType)
 

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import csv
+import io
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from logframe.functions import values
-from logframe.schema import BAD_RECORD, FILE, ROW_ID, any_of, describe, fields_of
+from logframe.schema import BAD_RECORD, FILE, ROW_ID, SURPLUS, all_of, any_of, describe
 from logframe.sources import files
 from logframe.sources.headers import column_keys
 from logframe.sources.inference import infer_types
@@ -31,26 +33,20 @@ def profile_files(spark: SparkSession, paths: str | Sequence[str]) -> list[FileP
 
     One small row per file reaches the driver, as it does when Spark lists the files.
     """
-    lines = files.lines_of(spark, paths)
-    found = files.detect_encodings(lines).orderBy("file").collect()
+    found = files.detect(files.lines_of(spark, paths)).orderBy("file").collect()
     # Reported paths are URL-encoded.
-    path_of = {r["file"]: unquote(r["file"]) for r in found}
-    if len(found) <= files.FEW_FILES:
-        delimiters = files.detect_delimiters(files.head_lines(spark, list(path_of.values()))).collect()
-    else:
-        delimiters = files.detect_delimiters(lines).collect()
-    by_file = {path_of.get(r["file"], r["file"]): r["delimiter"] for r in delimiters}
-    return [
-        FileProfile(
-            path_of[r["file"]],
-            unquote(r["name"]),
-            r["size"],
-            r["encoding"],
-            by_file.get(path_of[r["file"]], files.DEFAULT_DELIMITER),
-            r["multi_line"],
-        )
-        for r in found
-    ]
+    return [FileProfile(unquote(r["file"]), unquote(r["name"]), r["size"], r["encoding"], r["delimiter"], r["multi_line"]) for r in found]
+
+
+@dataclass(frozen=True)
+class _Kind:
+    """What files have to share to be read together."""
+
+    delimiter: str
+    encoding: str
+    multi_line: bool
+    header: tuple[str | None, ...] = ()
+    late: bool = False  # separator-only lines come before the header
 
 
 def read_delimited(
@@ -63,39 +59,74 @@ def read_delimited(
     keep_bad: bool = False,
     full_paths: bool = False,
 ) -> DataFrame:
-    """CSV, TSV and other delimited files with a header row, as raw strings with logical types.
-
-    What is not given is detected per file, and files alike in that are read together. Blank
-    lines are skipped, missing cells are NULL, surplus cells are dropped. ``_file`` holds the file
-    name and ``_row_id`` the position of a row. With delimiter, encoding and ``multi_line`` given
-    no detection pass is made; ``multi_line=False`` keeps files splittable.
-    ``keep_bad`` adds the raw text of records with the wrong number of cells as ``_bad_record``;
-    ``full_paths`` puts the path of a file into ``_file`` instead of its name.
+    """CSV, TSV and other delimited files with a header row each, as raw strings with logical types.
+
+    What is not given is detected per file. Files alike in that and in their header are read
+    together; columns of different headers are united by key. Blank lines are skipped, missing cells
+    are NULL, surplus cells are dropped. ``_file`` holds the file name and ``_row_id`` the position of
+    a row: by file as given (those of a folder by path), then by place in the file. With delimiter,
+    encoding and ``multi_line`` given no detection pass is made; ``multi_line=False`` keeps files
+    splittable. ``keep_bad`` adds the raw text of records with the wrong number of cells as
+    ``_bad_record`` and the difference as ``_surplus``; ``full_paths`` puts the path of a file into
+    ``_file`` instead of its name.
     """
     names = [paths] if isinstance(paths, str) else list(paths)
     files.check_extensions(names)
-    if None in (delimiter, encoding, multi_line):
-        profiles = profile_files(spark, names)
-        if not profiles:
-            raise files.EmptyFile("the file is empty or has no header row")
-        kinds: dict[tuple, list[str]] = {}
-        for p in profiles:
-            kind = (
-                delimiter or p.delimiter,
-                encoding or p.encoding,
-                p.multi_line if multi_line is None else multi_line,
-            )
-            kinds.setdefault(kind, []).append(p.path)
-    else:
-        kinds = {(delimiter, encoding, multi_line): names}
-    parts = [_read_alike(spark, paths, *kind, keep_bad, full_paths) for kind, paths in kinds.items()]
+    profiles = None if None not in (delimiter, encoding, multi_line) else profile_files(spark, names)
+    return _read(spark, names, profiles, delimiter, encoding, multi_line, infer, keep_bad, full_paths)
+
+
+def _read(
+    spark: SparkSession,
+    names: list[str],
+    profiles: list[FileProfile] | None,
+    delimiter: str | None = None,
+    encoding: str | None = None,
+    multi_line: bool | None = None,
+    infer: bool = True,
+    keep_bad: bool = False,
+    full_paths: bool = False,
+) -> DataFrame:
+    plain: dict[_Kind, list[str]] = {}
+    if profiles is None:
+        plain[_Kind(delimiter, encoding, multi_line)] = names
+    for p in profiles or []:
+        kind = _Kind(delimiter or p.delimiter, encoding or p.encoding, p.multi_line if multi_line is None else multi_line)
+        plain.setdefault(kind, []).append(p.path)
+    kinds: dict[_Kind, list[str]] = {}
+    found: list[tuple[str, int]] = []
+    for kind, paths in plain.items():
+        wide = kind.encoding.lower().startswith("utf-16")
+        for file, size, head in files.first_records(spark, paths, wide, kind.multi_line, kind.delimiter):
+            header, late = _header(head, kind.delimiter, kind.encoding)
+            found.append((file, size))
+            kinds.setdefault(replace(kind, header=header, late=late), []).append(unquote(file))
+    if not kinds:
+        raise files.EmptyFile("the file is empty or has no header row")
+    if len(kinds) == 1 and (profiles is None or len(found) == len(profiles)):
+        kinds = {kind: names for kind in kinds}  # all alike: Spark lists the folders itself
+    positions = files.Positions(spark, files.in_order(found, names))
+    parts = [_read_alike(spark, paths, kind, positions, keep_bad, full_paths) for kind, paths in kinds.items()]
     table = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    # One numbering over all parts: position within the scan, which is file order within a file.
-    front = [FILE, *([BAD_RECORD] if keep_bad else [])]
-    table = table.select(F.monotonically_increasing_id().alias(ROW_ID), *front, *(c for c in table.columns if c not in front))
+    front = [ROW_ID, FILE, *([BAD_RECORD, SURPLUS] if keep_bad else [])]
+    table = table.select(*front, *(c for c in table.columns if c not in front))
     return infer_types(table) if infer else table
 
 
+def _header(head: bytes, delimiter: str, encoding: str) -> tuple[tuple[str | None, ...], bool]:
+    """Labels of the first record with a visible cell, and whether separator-only records precede it."""
+    name = "latin-1" if encoding == "windows-1252" else encoding
+    if encoding.lower().startswith("utf-16"):
+        head = head[: len(head) // 2 * 2]  # the line end of a record starts with half a character
+    text = head.decode(name, "replace").lstrip("\ufeff")
+    late, cells = False, []
+    for cells in csv.reader(io.StringIO(text.replace("\x00", ""), newline=""), delimiter=delimiter):
+        if any(c.strip() for c in cells):
+            break
+        late = late or len(cells) > 1
+    return tuple(_clean(c, encoding) for c in cells), late
+
+
 def _reader(spark: SparkSession, delimiter: str, encoding: str, multi_line: bool):
     reader = (
         spark.read.option("sep", delimiter)
@@ -116,38 +147,35 @@ def _file_of_row(full_path: bool) -> Column:
 
 
 def _read_alike(
-    spark: SparkSession,
-    paths: list[str],
-    delimiter: str,
-    encoding: str,
-    multi_line: bool,
-    keep_bad: bool,
-    full_paths: bool,
+    spark: SparkSession, paths: list[str], kind: _Kind, positions: files.Positions, keep_bad: bool, full_paths: bool
 ) -> DataFrame:
-    reader = _reader(spark, delimiter, encoding, multi_line)
-    # The header is one line of one file; the files of one table share it.
-    lines = reader.option("header", False).csv(paths[0])
-    head = lines.filter(any_of(F.trim(c) != "" for c in lines.columns)).head() if lines.columns else None
-    if head is None:
-        raise files.EmptyFile(f"{paths[0]} is empty or has no header row")
-    wide = encoding.startswith("utf-16")
-    labels = [_clean(h, encoding) for h in head]
-    keys = column_keys(labels)
+    reader = _reader(spark, kind.delimiter, kind.encoding, kind.multi_line)
+    wide = kind.encoding.lower().startswith("utf-16")
+    keys = column_keys(list(kind.header))
     columns = [T.StructField(f"c{i}", T.StringType()) for i in range(len(keys))]
     if keep_bad:
         columns.append(T.StructField(BAD_RECORD, T.StringType()))
         reader = reader.option("columnNameOfCorruptRecord", BAD_RECORD)
     raw = reader.option("header", True).schema(T.StructType(columns)).csv(paths)
+    raw = raw.select("*", _file_of_row(full_paths).alias(FILE), *positions.marks())
 
     def cell(i: int) -> Column:
-        c = files.decoded(F.col(f"c{i}"), encoding)
+        c = files.decoded(F.col(f"c{i}"), kind.encoding)
         c = F.regexp_replace(c, "\r$", "") if wide and i == len(keys) - 1 else c
         return values.blank_to_null(c)
 
-    filled = any_of(F.trim(f"c{i}") != "" for i in range(len(keys)))
-    return raw.filter(filled).select(
-        _file_of_row(full_paths).alias(FILE),
-        *([F.col(BAD_RECORD)] if keep_bad else []),
+    rows = raw.filter(any_of(F.trim(f"c{i}") != "" for i in range(len(keys))))
+    if kind.late:
+        # The reader has taken a separator-only line for the header, which is left as the first row.
+        is_header = all_of(cell(i).eqNullSafe(values.blank_to_null(F.lit(h))) for i, h in enumerate(kind.header))
+        first = rows.filter(is_header & (F.col("_block") == 0)).groupBy("_path").agg(F.min("_place").alias("_place"))
+        rows = rows.join(F.broadcast(first), ["_path", "_place"], "left_anti")  # one row per file
+    bad = F.col(BAD_RECORD)
+    cells = F.length(b := F.regexp_replace(bad, '"[^"]*"', "")) - F.length(F.replace(b, F.lit(kind.delimiter), F.lit(""))) + 1
+    return positions.number(rows, ROW_ID).select(
+        ROW_ID,
+        FILE,
+        *([bad, F.when(bad.isNotNull(), cells - len(keys)).alias(SURPLUS)] if keep_bad else []),
         *(describe(cell(i), key, "string", name) for i, (name, key) in enumerate(keys)),
     )
 
@@ -164,7 +192,7 @@ def dataset_summary(spark: SparkSession, paths: str | Sequence[str]) -> DataFram
         [(p.path, p.name, p.size, p.delimiter, p.encoding) for p in profiles],
         "path string, file_name string, file_size bigint, delimiter string, encoding string",
     )
-    table = read_delimited(spark, [p.path for p in profiles], infer=False, full_paths=True)
+    table = _read(spark, [p.path for p in profiles], profiles, infer=False, full_paths=True)
     rows = table.groupBy(F.col(FILE).alias("path")).agg(F.count("*").alias("row_count"))
     return facts.join(rows, "path", "left").select(
         "file_name", "file_size", F.coalesce("row_count", F.lit(0)).alias("row_count"), "delimiter", "encoding"
@@ -176,17 +204,12 @@ def malformed_records(table: DataFrame) -> DataFrame:
 
     ``table`` is read with ``keep_bad=True``. They are reported, not removed.
     """
-    bad = F.col(BAD_RECORD)
+    bad, surplus = F.col(BAD_RECORD), F.col(SURPLUS)
     quotes = F.length(bad) - F.length(F.replace(bad, F.lit('"'), F.lit("")))
-    filled = sum((F.when(f.col.isNotNull(), 1).otherwise(0) for f in fields_of(table)), F.lit(0))
-    code = (
-        F.when(quotes % 2 == 1, "MissingQuotes")
-        .when(filled < len(fields_of(table)), "TooFewFields")
-        .otherwise("TooManyFields")
-    )
+    code = F.when(quotes % 2 == 1, "MissingQuotes").when(surplus < 0, "TooFewFields").otherwise("TooManyFields")
     message = (
         F.when(quotes % 2 == 1, "A quoted cell is not closed")
-        .when(filled < len(fields_of(table)), "The record has fewer cells than the header")
+        .when(surplus < 0, "The record has fewer cells than the header")
         .otherwise("The record has more cells than the header")
     )
     return table.filter(bad.isNotNull()).select(

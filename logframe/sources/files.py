@@ -1,4 +1,4 @@
-"""What the bytes of text files tell: encoding, delimiter, quoting, first lines.
+"""What the bytes of text files tell: encoding, delimiter, quoting, header, order.
 
 Everything is read with the splittable text source, which hands over raw bytes per line, so one
 distributed job covers any number of files of any size.
@@ -6,18 +6,25 @@ distributed job covers any number of files of any size.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import contextlib
+import fnmatch
+import re
+from collections.abc import Iterable, Iterator, Sequence
+from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-# Accepted file name endings, delimiters tried, and lines looked at per file.
+# Accepted file name endings and delimiters tried.
 EXTENSIONS = (".csv", ".tsv", ".log", ".txt")
 DELIMITERS = (",", "\t", "|", ";")
 DEFAULT_DELIMITER = ","
-HEAD_LINES = 10
 
-# Up to this many files, their first lines are fetched one by one rather than by a pass over all.
-FEW_FILES = 64
+# A row position is the place of its block among all blocks, then 33 bits for its place in the block.
+PLACE_BITS = 33
+# Blocks are counted in steps of so many bytes, or of the smallest split that the session allows.
+BLOCK_STEP = 1 << 20
+# With splits of this size every file is one partition of its own.
+_WHOLE_FILE = 1 << 45
 
 # Windows-1252 prints these where ISO-8859-1 has control codes; the rule is Python's codec.
 _C1 = [chr(b) for b in range(0x80, 0xA0)]
@@ -44,10 +51,13 @@ def check_extensions(paths: Sequence[str]) -> None:
             raise UnsupportedFile(f"{name} is not one of {', '.join(EXTENSIONS)}")
 
 
+def _glob() -> str:
+    return "*{" + ",".join(EXTENSIONS) + "}"
+
+
 def lines_of(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Raw lines with their file and place: ``file``, ``block``, ``place``, ``value``."""
-    pattern = "*{" + ",".join(EXTENSIONS) + "}"
-    text = spark.read.option("pathGlobFilter", pattern).text(paths if isinstance(paths, str) else list(paths))
+    """Raw lines with their file and place: ``file``, ``name``, ``size``, ``block``, ``place``, ``value``."""
+    text = spark.read.option("pathGlobFilter", _glob()).text(paths if isinstance(paths, str) else list(paths))
     return text.select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_name").alias("name"),
@@ -58,22 +68,36 @@ def lines_of(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     )
 
 
-def detect_encodings(lines: DataFrame) -> DataFrame:
-    """Encoding per file: a byte-order mark decides, else valid UTF-8, else windows-1252.
+def detect(lines: DataFrame) -> DataFrame:
+    """Per file: ``file``, ``name``, ``size``, ``encoding``, ``multi_line``, ``delimiter``; every line counts.
 
-    Also tells whether some line has an odd number of quotes, so that records span lines. All
-    aggregates have fixed width, so one hash aggregate runs over the lines.
+    One hash aggregate, as all its columns have fixed width. A byte-order mark decides the encoding,
+    else whether the bytes are valid UTF-8; windows-1252 is what remains. A file is multi-line if a
+    cell that opens with a quote is still open at the end of some line. The delimiter is the one that
+    cuts the lines most evenly (least variance of the field counts, then most fields); one that gives
+    fewer than two fields on average is no candidate, and with none left it is the comma.
     """
     start = F.hex(F.substring(F.col("value").cast("binary"), 1, 2))
     place = F.when(F.col("block") == 0, F.col("place"))
-    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
-    facts = lines.groupBy("file", "name", "size").agg(
+    visible = F.translate("value", "\u0000\ufeff", "")
+    seen = lines.select(
+        "file", "name", "size", place.alias("place"), start.alias("start"), F.is_valid_utf8("value").alias("valid"), visible.alias("line")
+    )
+    single = F.replace("line", F.lit('""'), F.lit(""))
+    left_open = F.contains("line", F.lit('"')) & single.rlike(r'(?:^|[,\t|;]) *"[^"]*$') & (_count(single, '"') % 2 == 1)
+    bare = F.when(F.contains("line", F.lit('"')), F.regexp_replace("line", '"[^"]*"', "")).otherwise(F.col("line"))
+    cut = seen.select("*", left_open.alias("open"), F.when(F.trim("line") != "", bare).alias("bare")).select(
+        "*", *((_count(F.col("bare"), d) + 1).cast("double").alias(f"n{i}") for i, d in enumerate(DELIMITERS))
+    )
+    facts = cut.groupBy("file", "name", "size").agg(
         # A mark counts in the first line only. The line reader drops the mark of UTF-8.
-        F.min(place).alias("first"),
-        F.min(F.when(start == "FFFE", place)).alias("little"),
-        F.min(F.when(start == "FEFF", place)).alias("big"),
-        F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
-        F.bool_or(quotes % 2 == 1).alias("multi_line"),
+        F.min("place").alias("first"),
+        F.min(F.when(F.col("start") == "FFFE", F.col("place"))).alias("little"),
+        F.min(F.when(F.col("start") == "FEFF", F.col("place"))).alias("big"),
+        F.bool_and("valid").alias("utf8"),
+        F.bool_or("open").alias("multi_line"),
+        *(F.avg(f"n{i}").alias(f"mean{i}") for i in range(len(DELIMITERS))),
+        *(F.avg(F.col(f"n{i}") * F.col(f"n{i}")).alias(f"square{i}") for i in range(len(DELIMITERS))),
     )
     encoding = (
         F.when(F.col("little") == F.col("first"), "utf-16le")
@@ -81,48 +105,137 @@ def detect_encodings(lines: DataFrame) -> DataFrame:
         .when(F.col("utf8"), "utf-8")
         .otherwise("windows-1252")
     )
-    return facts.select("file", "name", "size", encoding.alias("encoding"), "multi_line")
+
+    def score(i: int, delimiter: str) -> Column:
+        mean = F.col(f"mean{i}")
+        uneven = F.col(f"square{i}") - mean * mean
+        return F.when(mean > 1.99, F.struct(uneven.alias("uneven"), (-mean).alias("narrow"), F.lit(i).alias("rank"), F.lit(delimiter).alias("delimiter")))
+
+    best = F.least(*(score(i, d) for i, d in enumerate(DELIMITERS)))["delimiter"]
+    return facts.select("file", "name", "size", encoding.alias("encoding"), "multi_line", F.coalesce(best, F.lit(DEFAULT_DELIMITER)).alias("delimiter"))
+
+
+def _count(text: Column, mark: str) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))
+
+
+def detect_encodings(lines: DataFrame) -> DataFrame:
+    """``file``, ``name``, ``size``, ``encoding``, ``multi_line`` (see ``detect``)."""
+    return detect(lines).drop("delimiter")
 
 
 def detect_delimiters(lines: DataFrame) -> DataFrame:
-    """Delimiter per file from its first lines: the one that cuts them most evenly.
+    """``file`` and ``delimiter`` (see ``detect``)."""
+    return detect(lines).select("file", "delimiter")
 
-    Lines cut into fewer than two fields do not vote; with no candidate left it is the comma.
-    """
-    visible = F.translate("value", "\u0000\ufeff", "")
-    rank = F.row_number().over(W.partitionBy("file").orderBy("place"))
-    # Only the first block of a file is ranked, and ten lines per file leave a task.
-    heads = (
-        lines.filter((F.col("block") == 0) & (F.trim(visible) != ""))
-        .withColumn("at", rank)
-        .filter(F.col("at") <= HEAD_LINES)
-        .select("file", "at", F.regexp_replace(visible, '"[^"]*"', "").alias("line"))
-    )
-    counts = (F.length("line") - F.length(F.replace("line", F.lit(d), F.lit(""))) + 1 for d in DELIMITERS)
-    fields = heads.select("file", "at", F.posexplode(F.array(*counts)).alias("candidate", "n"))
-    before = F.lag("n").over(W.partitionBy("file", "candidate").orderBy("at"))
-    scores = (
-        fields.withColumn("jump", F.coalesce(F.abs(F.col("n") - before), F.lit(0)))
-        .groupBy("file", "candidate")
-        .agg(F.sum("jump").alias("uneven"), F.avg("n").alias("width"))
-    )
-    score = F.struct("uneven", (-F.col("width")).alias("narrow"), "candidate")
-    best = F.min(F.when(F.col("width") > 1.99, score))["candidate"]
-    chosen = F.get(F.array(*(F.lit(d) for d in DELIMITERS)), F.col("best"))
-    return scores.groupBy("file").agg(best.alias("best")).select(
-        "file", F.coalesce(chosen, F.lit(DEFAULT_DELIMITER)).alias("delimiter")
-    )
+
+@contextlib.contextmanager
+def _settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    keys = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def head_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """First lines of a few files, in the shape of ``lines_of``. Only the start of each is read."""
-    rows = []
-    for path in paths:
-        value = F.translate("value", "\u0000\ufeff", "")
-        head = spark.read.text(path).filter(F.trim(value) != "").select(F.col("value").cast("binary")).head(HEAD_LINES)
-        rows += [(path, 0, i, r["value"]) for i, r in enumerate(head)]
-    local = spark.createDataFrame(rows, "file string, block bigint, place bigint, value binary")
-    return local.withColumn("value", F.col("value").cast("string"))
+def first_records(spark: SparkSession, paths: str | Sequence[str], wide: bool, multi_line: bool, delimiter: str) -> list[tuple[str, int, bytes]]:
+    """Per file that has a record with a visible cell: reported path, size, bytes up to the first such record.
+
+    One task per file reads the start of it and stops there.
+    """
+    reader = spark.read.option("pathGlobFilter", _glob())
+    text = (reader.option("lineSep", "\n") if wide else reader).text(paths if isinstance(paths, str) else list(paths))
+    lines = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), F.col("value").cast("binary").alias("value"))
+    blank = bytes({*b' \t\r\n\x0b\x0c\x00\xef\xbb\xbf\xfe\xff"', *"".join(DELIMITERS).encode(), *delimiter.encode()})
+
+    def heads(batches):  # nested, so that it travels to the workers as it is
+        import re
+
+        import pyarrow as pa
+
+        shape = pa.schema([("file", pa.string()), ("size", pa.int64()), ("head", pa.binary())])
+        start, rest, found, file, size = b"", [], False, None, 0
+        for batch in batches:
+            for file, size, value in zip(*(c.to_pylist() for c in batch.columns)):
+                rest.append(value)
+                found = found or bool(value.translate(None, blank))
+                if not found:
+                    continue
+                start = start or b"\n".join(rest)
+                record = b"\n".join(rest)
+                plain = record.replace(b"\x00", b"").replace(b'""', b"")
+                if not (multi_line and plain.count(b'"') % 2 and re.search(rb'(?:^|[,\t|;\n]) *"[^"]*$', plain)):
+                    yield pa.RecordBatch.from_pylist([{"file": file, "size": size, "head": record}], shape)
+                    return
+        if found:
+            yield pa.RecordBatch.from_pylist([{"file": file, "size": size, "head": start}], shape)
+
+    whole = str(_WHOLE_FILE)
+    with _settings(
+        spark, spark__sql__files__maxPartitionBytes=whole, spark__sql__files__openCostInBytes=whole, spark__sql__execution__arrow__maxRecordsPerBatch="64"
+    ):
+        found = lines.mapInArrow(heads, "file string, size bigint, head binary").collect()
+    return [(r["file"], r["size"], bytes(r["head"])) for r in found]
+
+
+def listing(spark: SparkSession, paths: str | Sequence[str]) -> list[tuple[str, int]]:
+    """Reported path and size of every file; no content is read."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", _glob()).load(paths if isinstance(paths, str) else list(paths))
+    return [tuple(r) for r in found.select("_metadata.file_path", "_metadata.file_size").collect()]
+
+
+def _local(path: str) -> str:
+    return re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", path).rstrip("/")
+
+
+def in_order(found: Iterable[tuple[str, int]], names: Sequence[str]) -> list[tuple[str, int]]:
+    """Files in the order in which ``names`` gives them or their folders; those of a folder by path."""
+    wanted = [_local(n) for n in names]
+
+    def place(path: str) -> int:
+        path = _local(path)
+        for i, name in enumerate(wanted):
+            tail = "/" + name.lstrip("/")
+            if path.endswith(tail) or tail + "/" in path or fnmatch.fnmatchcase(path, f"*{tail}*"):
+                return i
+        return len(wanted)
+
+    return sorted(found, key=lambda f: (place(unquote(f[0])), unquote(f[0])))
+
+
+class Positions:
+    """Row positions that follow the files as given, then the place in the file, however Spark packs the splits."""
+
+    def __init__(self, spark: SparkSession, ordered: Sequence[tuple[str, int]]):
+        conf = spark._jsparkSession.sessionState().conf()
+        self.step = max(1, min(BLOCK_STEP, conf.filesMaxPartitionBytes(), conf.filesOpenCostInBytes()))
+        at, rows = 0, []
+        for file, size in ordered:
+            rows.append((file, at))
+            at += size // self.step + 1
+        # One row per file, as many as the driver has listed.
+        self.table = spark.createDataFrame(rows, "_path string, _base bigint") if len(rows) > 1 else None
+
+    @staticmethod
+    def marks() -> list[Column]:
+        """What ``number`` needs of every row; select it straight from the reader."""
+        return [
+            F.col("_metadata.file_path").alias("_path"),
+            F.col("_metadata.file_block_start").alias("_block"),
+            F.monotonically_increasing_id().alias("_place"),
+        ]
+
+    def number(self, rows: DataFrame, name: str) -> DataFrame:
+        base = F.lit(0)
+        if self.table is not None:
+            rows, base = rows.join(F.broadcast(self.table), "_path", "left"), F.col("_base")
+        block = base + F.floor(F.col("_block") / self.step)
+        position = F.shiftleft(block.cast("bigint"), PLACE_BITS) + F.col("_place").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
+        return rows.withColumn(name, position).drop("_path", "_base", "_block", "_place")
 
 
 def decoded(c: Column, encoding: str) -> Column:

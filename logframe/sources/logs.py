@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -56,35 +57,39 @@ def compile_pattern(spark: SparkSession, pattern: str, flags: str = "") -> LogPa
 
 
 def read_lines(spark: SparkSession, paths: str | Sequence[str], encoding: str | None = None) -> DataFrame:
-    """Lines of text files, decoded, with file name and position.
+    """Lines of text files, decoded, with file name and position (file as given, place in the file).
 
     The encoding is detected per file unless it is given, which saves a pass.
     """
     names = [paths] if isinstance(paths, str) else list(paths)
     files.check_extensions(names)
     if encoding is None:
-        found = files.detect_encodings(files.lines_of(spark, names)).select("file", "encoding").collect()
+        found = files.detect_encodings(files.lines_of(spark, names)).select("file", "size", "encoding").collect()
         kinds: dict[str, list[str]] = {}
         for r in found:
             kinds.setdefault(r["encoding"], []).append(unquote(r["file"]))
+        sizes = [(r["file"], r["size"]) for r in found]
+        kinds = {e: names for e in kinds} if len(kinds) == 1 else kinds
     else:
-        kinds = {encoding: names}
-    parts = [_decoded_lines(spark, p, e) for e, p in sorted(kinds.items())]
-    out = parts[0] if parts else spark.createDataFrame([], f"{FILE} string, value string")
-    for p in parts[1:]:
-        out = out.union(p)
-    return out.select(F.monotonically_increasing_id().alias(ROW_ID), FILE, "value")
+        kinds, sizes = {encoding: names}, files.listing(spark, names)
+    if not kinds:
+        return spark.createDataFrame([], f"{ROW_ID} bigint, {FILE} string, value string")
+    positions = files.Positions(spark, files.in_order(sizes, names))
+    parts = [positions.number(_decoded_lines(spark, p, e), ROW_ID).select(ROW_ID, FILE, "value") for e, p in sorted(kinds.items())]
+    return reduce(DataFrame.union, parts)
 
 
 def _decoded_lines(spark: SparkSession, paths: list[str], encoding: str) -> DataFrame:
+    glob = "*{" + ",".join(files.EXTENSIONS) + "}"
+    file = F.col("_metadata.file_name").alias(FILE)
     if encoding.startswith("utf-16"):
         # The CSV reader decodes UTF-16 and splits it; a separator no text holds keeps lines whole.
         reader = spark.read.option("encoding", encoding.upper()).option("lineSep", "\n").option("sep", "\u0001")
-        raw = reader.option("quote", "").schema("value string").csv(paths)
-        return raw.select(F.col("_metadata.file_name").alias(FILE), F.regexp_replace("value", "\r$", "").alias("value"))
-    raw = spark.read.option("pathGlobFilter", "*{" + ",".join(files.EXTENSIONS) + "}").text(paths)
+        raw = reader.option("quote", "").option("pathGlobFilter", glob).schema("value string").csv(paths)
+        return raw.select(file, F.regexp_replace("value", "\r$", "").alias("value"), *files.Positions.marks())
+    raw = spark.read.option("pathGlobFilter", glob).text(paths)
     value = F.regexp_replace("value", "^\ufeff", "") if encoding == "utf-8" else _windows(F.col("value"))
-    return raw.select(F.col("_metadata.file_name").alias(FILE), value.alias("value"))
+    return raw.select(file, value.alias("value"), *files.Positions.marks())
 
 
 def _windows(value: Column) -> Column:

@@ -236,3 +236,63 @@ def test_clashing_headers_fall_back_to_keys(spark, put, tmp_path):
     assert json.loads(text_of(tmp_path / "j")) == {"a": 1, "a_2": 2}
     lf.write_csv(df, str(tmp_path / "c"))
     assert text_of(tmp_path / "c").startswith("a,A\n")
+
+
+# --- several files --------------------------------------------------------------------------
+
+
+def test_every_file_has_its_own_header(spark, put):
+    folder = put("u/a.csv", b"id,name\n1,kim\n").rsplit("/", 1)[0]
+    put("u/b.csv", b"name,id\nzed,9\n")
+    put("u/c.csv", b"id,name,extra\n3,ola,x\n")
+    put("u/d.csv", b"\n")
+    df, got = read(spark, folder)
+    assert got == [("1", "kim", None), ("9", "zed", None), ("3", "ola", "x")]
+    given, same = read(spark, folder, delimiter=",", encoding="utf-8", multi_line=False)
+    assert same == got
+
+
+def test_separator_only_lines_before_the_header(spark, put):
+    path = put("s.csv", b",,\n\n , ,\nid,name,x\n1,a,\nid,name,x\n2,b,c\n")
+    df, got = read(spark, path)
+    assert [f.name for f in lf.fields_of(df)] == ["id", "name", "x"]
+    assert got == [("1", "a", None), ("id", "name", "x"), ("2", "b", "c")]
+
+
+def test_header_with_a_line_break(spark, put):
+    df, got = read(spark, put("h.csv", b'"a\nb",c\n1,"x\ny"\n'))
+    assert [f.name for f in lf.fields_of(df)] == ["a\nb", "c"] and got == [("1", "x\ny")]
+
+
+def test_rows_keep_the_order_of_the_files_given(spark, put):
+    small = put("o/z_small.csv", b"k\ns1\ns2\n")
+    large = put("o/a_large.csv", b"k\n" + b"".join(b"l%04d\n" % i for i in range(2000)))
+    expected = ["s1", "s2"] + [f"l{i:04d}" for i in range(2000)]
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in (old, "700"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            df = lf.read_delimited(spark, [small, large])
+            assert [r["k"] for r in df.orderBy("_row_id").collect()] == expected
+            assert df.select("_row_id").distinct().count() == 2002
+            for encoding in (None, "utf-8"):
+                lines = lf.read_lines(spark, [small, large], encoding)
+                assert [r["value"] for r in lines.orderBy("_row_id").collect()] == ["k", "s1", "s2", "k", *expected[2:]]
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_a_quote_inside_a_cell_spans_no_lines(spark, put):
+    path = put("q.csv", b'item,n\n5" pipe,1\n"6"" pipe",2\n')
+    assert not lf.profile_files(spark, path)[0].multi_line
+    assert lf.profile_files(spark, put("r.csv", b'item,n\n"two\nlines",2\n'))[0].multi_line
+
+
+def test_all_lines_decide_on_the_delimiter(spark, put):
+    text = "a;b\n" + "1;2,3\n" * 12 + "1;2\n" * 400
+    assert lf.profile_files(spark, put("v.csv", text.encode()))[0].delimiter == ";"
+
+
+def test_blank_cells_of_bad_records_count(spark, put):
+    df = lf.read_delimited(spark, put("w.csv", b'a,b,c\n1,,3,4\n"x,y",2\n1,2,3\n'), keep_bad=True, infer=False)
+    assert [r["code"] for r in lf.malformed_records(df).orderBy("row").collect()] == ["TooManyFields", "TooFewFields"]
