@@ -174,11 +174,109 @@ def ingest_stream(t):
 
 @query(
     "A14_bucket_counts",
-    """SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS name, cast(count(*) AS bigint) AS value FROM events WHERE event_type <> 'signup' GROUP BY 1""",
+    """WITH seen AS (SELECT date_trunc('second', ts) AS ts FROM events WHERE event_type <> 'signup')
+    SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS name, cast(count(*) AS bigint) AS value FROM seen GROUP BY date_trunc('day', ts)
+    HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM seen) - INTERVAL 1 HOUR""",
 )
 def bucket_counts(t):
-    rows = lf.ingest_stream(t.spark, _log_folder(t), "access", {"time": "date"}, files_per_batch=1)
-    name = "buckets_" + lf.scratch_dir(t.spark).rsplit("/", 1)[1]
-    counts = lf.bucket_counts(rows, "time", "day", late="40 days")
-    counts.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
-    return t.spark.table(name)
+    # Append mode: only days that the watermark has closed come out.
+    rows = lf.ingest_stream(t.spark, _log_folder(t), "access", {"time": "date"})
+    return _streamed(t, lf.bucket_counts(rows, "time", "day", late="1 hour"))
+
+
+@query(
+    "A14_bucket_counts_month",
+    """WITH seen AS (SELECT date_trunc('second', ts) AS ts FROM events WHERE event_type <> 'signup')
+    SELECT strftime(ts, '%Y-%m') AS name, cast(count(*) AS bigint) AS value FROM seen
+    WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM seen) - INTERVAL 1 HOUR GROUP BY 1""",
+)
+def bucket_counts_month(t):
+    rows = lf.ingest_stream(t.spark, _log_folder(t), "access", {"time": "date"})
+    days = _streamed(t, lf.bucket_counts(rows, "time", "month", late="1 hour"))
+    return days.groupBy("name").agg(F.sum("value").alias("value"))
+
+
+@query("A14_stream_delimited", "SELECT cast(event_id AS double) AS id, event_type AS kind, value AS amount FROM events")
+def stream_delimited(t):
+    path = _written(t.events.selectExpr("event_id AS ID", "event_type AS Kind", "value AS Amount"), lf.scratch_dir(t.spark), sep="|")
+    types = {"id": "number", "amount": "number"}
+    return _streamed(t, lf.ingest_delimited_stream(t.spark, path, ["ID", "Kind", "Amount"], types, "|", files_per_batch=2))
+
+
+@query(
+    "A14_stream_windows_1252",
+    """SELECT cast(event_id AS varchar) AS id, 'café ' || cast(user_id AS varchar) || ' €' AS note FROM events""",
+)
+def stream_windows_1252(t):
+    note = F.concat_ws(" ", F.lit("id"), "event_id", F.lit("café"), "user_id", F.lit("\x80"))  # the byte of the euro sign
+    path = lf.scratch_dir(t.spark)
+    t.events.select(note.alias("line")).write.options(encoding="ISO-8859-1").csv(path)
+    return _streamed(t, lf.ingest_stream(t.spark, path, r"^id (?<id>\d+) (?<note>.*)$", encoding="windows-1252"))
+
+
+# --- several files that differ ---------------------------------------------------------------
+
+
+@query(
+    "A1_unlike_headers",
+    """SELECT cast(c_custkey AS varchar) AS id, c_name AS name, NULL AS nation, c_mktsegment AS segment FROM customer
+    UNION ALL SELECT cast(s_suppkey AS varchar), s_name, cast(s_nationkey AS varchar), NULL FROM supplier""",
+)
+def unlike_headers(t):
+    root = lf.scratch_dir(t.spark)
+    _written(t.customer.selectExpr("c_custkey AS id", "c_name AS name", "c_mktsegment AS segment"), f"{root}/a")
+    _written(t.supplier.selectExpr("s_nationkey AS nation", "s_name AS name", "s_suppkey AS id"), f"{root}/b")
+    return lf.read_delimited(t.spark, f"{root}/*", infer=False).select("id", "name", "nation", "segment")
+
+
+@query("A1_blank_first_line", "SELECT cast(event_id AS varchar) AS id, event_type AS kind, cast(user_id AS varchar) AS who FROM events")
+def blank_first_line(t):
+    # Every file begins with a line of separators only; its header comes after that.
+    line = F.concat_ws(",", "event_id", "event_type", "user_id")
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    path = lf.scratch_dir(t.spark)
+    t.events.repartition(3, "user_id").select(F.when(first, F.concat(F.lit(",,\nid,kind,who\n"), line)).otherwise(line).alias("value")).write.text(path)
+    return lf.read_delimited(t.spark, path, infer=False).drop("_row_id", "_file")
+
+
+@query(
+    "A2_detect_delimiter_many",
+    "SELECT * FROM (VALUES ('few', '|', cast(3 AS bigint)), ('many', ';', cast(70 AS bigint))) AS d(folder, delimiter, files)",
+)
+def detect_delimiter_many(t):
+    # Amounts with a decimal comma; the last lines of a file count as much as the first.
+    root = lf.scratch_dir(t.spark)
+    amount = F.translate(F.col("o_totalprice").cast("string"), ".", ",").alias("amount")
+    for folder, n, sep in (("few", 3, "|"), ("many", 70, ";")):
+        _written(t.orders.repartition(n).select("o_orderkey", amount, "o_orderstatus"), f"{root}/{folder}", sep=sep, quote="")
+    found = lf.detect_delimiters(lf.lines_of(t.spark, f"{root}/*"))
+    folder = F.regexp_extract("file", "/([^/]+)/[^/]+$", 1)
+    return found.groupBy(folder.alias("folder"), "delimiter").agg(F.count("*").alias("files"))
+
+
+@query(
+    "A5_infer_types_default",
+    """SELECT 'id' AS key, 'number' AS type, cast(count(*) AS bigint) AS number, cast(0 AS bigint) AS string FROM events
+    UNION ALL SELECT 'v', 'string', count(*) FILTER (event_id < 60), count(*) FILTER (event_id >= 60) FROM events""",
+)
+def infer_types_default(t):
+    v = F.when(F.col("event_id") < 60, F.col("event_id").cast("string")).otherwise(F.col("event_type"))
+    table = lf.read_delimited(t.spark, _written(t.events.select(F.col("event_id").alias("id"), v.alias("v")), lf.scratch_dir(t.spark)))
+    votes = lf.type_votes(table).select("key", "number", "string")
+    types = t.spark.createDataFrame([(f.key, f.type) for f in lf.fields_of(table)], "key string, type string")
+    return votes.join(types, "key")
+
+
+@query(
+    "O1_file_order",
+    """SELECT k, name, row_number() OVER (ORDER BY part, k) - 1 AS position FROM (
+    SELECT 0 AS part, cast(r_regionkey AS double) AS k, r_name AS name FROM region
+    UNION ALL SELECT 1, cast(c_custkey AS double), c_name FROM customer)""",
+)
+def file_order(t):
+    # A small file before large ones; Spark packs the largest splits first.
+    root = lf.scratch_dir(t.spark)
+    _written(t.region.selectExpr("r_regionkey AS k", "r_name AS name").orderBy("k").coalesce(1), f"{root}/z")
+    _written(t.customer.selectExpr("c_custkey AS k", "c_name AS name").repartitionByRange(3, "k").sortWithinPartitions("k"), f"{root}/a")
+    table = lf.to_typed(lf.read_delimited(t.spark, [f"{root}/z", f"{root}/a"]))
+    return lf.with_position(table, [(F.col("_row_id"), "asc")]).select("k", "name", "position")

@@ -127,9 +127,10 @@ def _header(head: bytes, delimiter: str, encoding: str) -> tuple[tuple[str | Non
     return tuple(_clean(c, encoding) for c in cells), late
 
 
-def _reader(spark: SparkSession, delimiter: str, encoding: str, multi_line: bool):
+def cut_by(reader, delimiter: str, encoding: str, multi_line: bool):
+    """A batch or stream reader set up for delimited text."""
     reader = (
-        spark.read.option("sep", delimiter)
+        reader.option("sep", delimiter)
         .option("quote", '"')
         .option("escape", '"')
         .option("encoding", files.reader_encoding(encoding))
@@ -137,7 +138,21 @@ def _reader(spark: SparkSession, delimiter: str, encoding: str, multi_line: bool
         .option("pathGlobFilter", "*{" + ",".join(files.EXTENSIONS) + "}")
     )
     # A line of UTF-16 ends in two bytes; naming the separator makes the reader split there.
-    return reader.option("lineSep", "\n") if encoding.startswith("utf-16") and not multi_line else reader
+    return reader.option("lineSep", "\n") if encoding.lower().startswith("utf-16") and not multi_line else reader
+
+
+def _cells(n: int, encoding: str) -> list[Column]:
+    """The cells ``c0`` … as the reader gives them, decoded; blank ones are NULL."""
+    out = [files.decoded(F.col(f"c{i}"), encoding) for i in range(n)]
+    if encoding.lower().startswith("utf-16"):
+        out[-1] = F.regexp_replace(out[-1], "\r$", "")
+    return [values.blank_to_null(c) for c in out]
+
+
+def described(raw: DataFrame, keys: Sequence[tuple[str, str]], encoding: str, *front: str | Column) -> DataFrame:
+    """Rows with a visible cell, under their keys and headers."""
+    filled = any_of(F.trim(f"c{i}") != "" for i in range(len(keys)))
+    return raw.filter(filled).select(*front, *(describe(c, key, "string", name) for c, (name, key) in zip(_cells(len(keys), encoding), keys)))
 
 
 def _file_of_row(full_path: bool) -> Column:
@@ -149,35 +164,25 @@ def _file_of_row(full_path: bool) -> Column:
 def _read_alike(
     spark: SparkSession, paths: list[str], kind: _Kind, positions: files.Positions, keep_bad: bool, full_paths: bool
 ) -> DataFrame:
-    reader = _reader(spark, kind.delimiter, kind.encoding, kind.multi_line)
-    wide = kind.encoding.lower().startswith("utf-16")
+    reader = cut_by(spark.read, kind.delimiter, kind.encoding, kind.multi_line)
     keys = column_keys(list(kind.header))
     columns = [T.StructField(f"c{i}", T.StringType()) for i in range(len(keys))]
     if keep_bad:
         columns.append(T.StructField(BAD_RECORD, T.StringType()))
         reader = reader.option("columnNameOfCorruptRecord", BAD_RECORD)
     raw = reader.option("header", True).schema(T.StructType(columns)).csv(paths)
-    raw = raw.select("*", _file_of_row(full_paths).alias(FILE), *positions.marks())
-
-    def cell(i: int) -> Column:
-        c = files.decoded(F.col(f"c{i}"), kind.encoding)
-        c = F.regexp_replace(c, "\r$", "") if wide and i == len(keys) - 1 else c
-        return values.blank_to_null(c)
-
-    rows = raw.filter(any_of(F.trim(f"c{i}") != "" for i in range(len(keys))))
+    rows = raw.select("*", _file_of_row(full_paths).alias(FILE), *positions.marks())
     if kind.late:
-        # The reader has taken a separator-only line for the header, which is left as the first row.
-        is_header = all_of(cell(i).eqNullSafe(values.blank_to_null(F.lit(h))) for i, h in enumerate(kind.header))
+        # The reader has taken a separator-only line for the header, which is left as the first row with a visible cell.
+        is_header = all_of(c.eqNullSafe(values.blank_to_null(F.lit(h))) for c, h in zip(_cells(len(keys), kind.encoding), kind.header))
         first = rows.filter(is_header & (F.col("_block") == 0)).groupBy("_path").agg(F.min("_place").alias("_place"))
         rows = rows.join(F.broadcast(first), ["_path", "_place"], "left_anti")  # one row per file
-    bad = F.col(BAD_RECORD)
-    cells = F.length(b := F.regexp_replace(bad, '"[^"]*"', "")) - F.length(F.replace(b, F.lit(kind.delimiter), F.lit(""))) + 1
-    return positions.number(rows, ROW_ID).select(
-        ROW_ID,
-        FILE,
-        *([bad, F.when(bad.isNotNull(), cells - len(keys)).alias(SURPLUS)] if keep_bad else []),
-        *(describe(cell(i), key, "string", name) for i, (name, key) in enumerate(keys)),
-    )
+    front = [ROW_ID, FILE]
+    if keep_bad:
+        bare = F.regexp_replace(BAD_RECORD, '"[^"]*"', "")
+        cells = F.length(bare) - F.length(F.replace(bare, F.lit(kind.delimiter), F.lit(""))) + 1
+        front += [BAD_RECORD, F.when(F.col(BAD_RECORD).isNotNull(), cells - len(keys)).alias(SURPLUS)]
+    return described(positions.number(rows, ROW_ID), keys, kind.encoding, *front)
 
 
 def _clean(label: str | None, encoding: str) -> str:

@@ -75,21 +75,21 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str], encoding: str |
     if not kinds:
         return spark.createDataFrame([], f"{ROW_ID} bigint, {FILE} string, value string")
     positions = files.Positions(spark, files.in_order(sizes, names))
-    parts = [positions.number(_decoded_lines(spark, p, e), ROW_ID).select(ROW_ID, FILE, "value") for e, p in sorted(kinds.items())]
-    return reduce(DataFrame.union, parts)
+    marks = [F.col("_metadata.file_name").alias(FILE), *positions.marks()]
+    parts = [positions.number(decoded(spark.read, p, e, *marks), ROW_ID) for e, p in sorted(kinds.items())]
+    return reduce(DataFrame.union, (p.select(ROW_ID, FILE, "value") for p in parts))
 
 
-def _decoded_lines(spark: SparkSession, paths: list[str], encoding: str) -> DataFrame:
-    glob = "*{" + ",".join(files.EXTENSIONS) + "}"
-    file = F.col("_metadata.file_name").alias(FILE)
-    if encoding.startswith("utf-16"):
+def decoded(reader, paths: str | list[str], encoding: str, *more: Column) -> DataFrame:
+    """``value``, the lines that a batch or stream reader finds, decoded, and further columns of the source."""
+    reader = reader.option("pathGlobFilter", "*{" + ",".join(files.EXTENSIONS) + "}")
+    if encoding.lower().startswith("utf-16"):
         # The CSV reader decodes UTF-16 and splits it; a separator no text holds keeps lines whole.
-        reader = spark.read.option("encoding", encoding.upper()).option("lineSep", "\n").option("sep", "\u0001")
-        raw = reader.option("quote", "").option("pathGlobFilter", glob).schema("value string").csv(paths)
-        return raw.select(file, F.regexp_replace("value", "\r$", "").alias("value"), *files.Positions.marks())
-    raw = spark.read.option("pathGlobFilter", glob).text(paths)
-    value = F.regexp_replace("value", "^\ufeff", "") if encoding == "utf-8" else _windows(F.col("value"))
-    return raw.select(file, value.alias("value"), *files.Positions.marks())
+        reader = reader.option("encoding", encoding.upper()).option("lineSep", "\n").option("sep", "\u0001")
+        raw = reader.option("quote", "").schema("value string").csv(paths)
+        return raw.select(F.regexp_replace("value", "\r$", "").alias("value"), *more)
+    value = F.regexp_replace("value", "^\ufeff", "") if encoding.lower() == "utf-8" else _windows(F.col("value"))
+    return reader.text(paths).select(value.alias("value"), *more)
 
 
 def _windows(value: Column) -> Column:

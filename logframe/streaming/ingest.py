@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import DataStreamWriter
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.streaming import DataStreamReader, DataStreamWriter
 
 from logframe.functions import dates, values
-from logframe.schema import Field, field_of
-from logframe.sources.files import EXTENSIONS
+from logframe.schema import Field, field_of, with_types
+from logframe.sources import files
+from logframe.sources.delimited import cut_by, described
+from logframe.sources.headers import column_keys
 from logframe.sources.inference import to_typed
-from logframe.sources.logs import parse_log
-from logframe.schema import with_types
+from logframe.sources.logs import decoded, parse_log
+
+# How long the windows of a bucket are, and where they start: the epoch was a Thursday. Months differ in length.
+_WINDOWS = {"hour": ("1 hour", "0 seconds"), "day": ("1 day", "0 seconds"), "week": ("7 days", "4 days"), "month": ("1 day", "0 seconds")}
+
 
-# How long the windows of a bucket are, and where they start: the epoch was a Thursday.
-_WINDOWS = {"hour": ("1 hour", "0 seconds"), "day": ("1 day", "0 seconds"), "week": ("7 days", "4 days")}
+def _reader(spark: SparkSession, files_per_batch: int | None) -> DataStreamReader:
+    reader = spark.readStream.option("pathGlobFilter", "*{" + ",".join(files.EXTENSIONS) + "}")
+    return reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader
 
 
 def ingest_stream(
@@ -22,15 +30,35 @@ def ingest_stream(
     pattern: str,
     types: dict[str, str] | None = None,
     files_per_batch: int | None = None,
+    encoding: str = "utf-8",
 ) -> DataFrame:
     """A stream of parsed log rows from the text files that appear in a folder.
 
-    Types cannot be inferred before data arrives, so they are given; other columns are strings.
+    Types cannot be inferred before data arrives, nor can the encoding be detected, so they are
+    given; other columns are strings.
+    """
+    lines = decoded(_reader(spark, files_per_batch), folder, encoding).select("value")
+    return with_types(parse_log(lines, pattern), types or {})
+
+
+def ingest_delimited_stream(
+    spark: SparkSession,
+    folder: str,
+    header: Sequence[str],
+    types: dict[str, str] | None = None,
+    delimiter: str = ",",
+    encoding: str = "utf-8",
+    multi_line: bool = False,
+    files_per_batch: int | None = None,
+) -> DataFrame:
+    """A stream of rows from the delimited files that appear in a folder, all under the given header.
+
+    Each file's own first line is skipped. Cells are raw strings with the given types by column key.
     """
-    reader = spark.readStream.option("pathGlobFilter", "*{" + ",".join(EXTENSIONS) + "}")
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return with_types(parse_log(reader.text(folder), pattern), types or {})
+    keys = column_keys(header)
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(keys))])
+    reader = cut_by(_reader(spark, files_per_batch), delimiter, encoding, multi_line).option("header", True)
+    return with_types(described(reader.schema(schema).csv(folder), keys, encoding), types or {})
 
 
 def append_rows(stream: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
@@ -48,7 +76,8 @@ def bucket_counts(stream: DataFrame, time: str, bucket: str, late: str = "1 hour
     """Rows per date bucket of a stream: ``name``, ``value``.
 
     Buckets are closed once the latest time seen is ``late`` past their end; their state is then
-    dropped, so it holds open buckets only. Rows without a time are left out.
+    dropped, so it holds open buckets only. Rows without a time are left out. As months differ in
+    length, a month comes as one row per closed day of it; add them up where they are read.
     """
     f: Field | None = field_of(stream, time)
     if f is None:

@@ -78,7 +78,7 @@ def test_closed_buckets_are_emitted_once(spark, log_folder, tmp_path):
 
 def test_stream_options(spark, log_folder):
     stream = lf.ingest_stream(spark, log_folder, "app", {"time": "date"})
-    for time, bucket in (("gone", "day"), ("time", "month")):
+    for time, bucket in (("gone", "day"), ("time", "year")):
         with pytest.raises(ValueError):
             lf.bucket_counts(stream, time, bucket)
 
@@ -87,3 +87,20 @@ def test_csv_keeps_blanks_around_cells(spark, table, tmp_path):
     lf.write_csv(table("a:string b:string", [("  lead", "trail  "), ('q"u', "two\nlines")]), f"{tmp_path}/out", redact_classes=None)
     text = "".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*")))
     assert "  lead,trail  " in text and '"q""u"' in text
+
+
+def test_months_of_a_stream_add_up(spark, log_folder, tmp_path):
+    stream = lf.ingest_stream(spark, log_folder, "app", {"time": "date"})
+    counts = lf.bucket_counts(stream, "time", "month", late="1 hour")
+    lf.append_rows(counts, str(tmp_path / "o"), str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    assert rows(spark.read.parquet(str(tmp_path / "o")).groupBy("name").sum("value")) == [("2026-01", 3)]
+
+
+def test_delimited_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_bytes('Größe;ort\n5;"Köln; €"\n;\n7;\n'.encode("cp1252"))
+    (tmp_path / "in" / "b.txt").write_bytes("Größe;ort\n9;x\n".encode("cp1252"))
+    stream = lf.ingest_delimited_stream(spark, str(tmp_path / "in"), ["Größe", "ort"], {"gr_e": "number"}, ";", "windows-1252", files_per_batch=1)
+    assert [(f.key, f.name, f.type) for f in lf.fields_of(stream)] == [("gr_e", "Größe", "number"), ("ort", "ort", "string")]
+    lf.append_rows(stream, str(tmp_path / "o"), str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(rows(spark.read.parquet(str(tmp_path / "o")))) == [(5.0, "Köln; €"), (7.0, None), (9.0, "x")]
