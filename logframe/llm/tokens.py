@@ -40,6 +40,10 @@ class _Memory(dict):
         return found
 
 
+def _narrow(text: str) -> bool:
+    return text.isascii() or ord(max(text)) < 256
+
+
 class WordCache:
     """Encodes texts to arrays of 32-bit ids.
 
@@ -56,20 +60,34 @@ class WordCache:
         self.model = self.tokenizer.model
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.leading_space = leading_space
-        self.pieces = _Memory(self._piece)
-        self.parts = _Memory(self._part)
+        self.space = chr(BYTE_LETTERS[32]) if leading_space else ""
+        self.line_break = self._encode(["\n"])[0]
+        self.parts = _Memory(self._part)  # between two spaces
+        self.bare = _Memory(self._word)  # words of letters after a line break
+        self.others = _Memory(lambda piece: self._encode([piece])[0])
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def _pieces(self, part: str) -> list[str]:
+    def _word(self, letters: str) -> bytes:
+        """The ids of letters alone, which are a single word to the library's model."""
+        word = letters if letters.isascii() else letters.encode().decode("latin-1").translate(BYTE_LETTERS)
+        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+
+    def _part(self, part: str) -> bytes:
         """A part cut further where no token can cross: at line breaks, and before closing punctuation.
 
-        With ``leading_space`` the first piece begins with the space and later lines with their break;
-        otherwise case doesn't matter and breaks are dropped, so that more parts share their pieces.
+        With ``leading_space`` the space before the part belongs to its first piece; otherwise case
+        doesn't matter and breaks are dropped, so that more parts share their pieces.
         """
-        if part.isalpha() and (part.isascii() or ord(max(part)) < 256):
-            return [" " + part if self.leading_space else part.lower()]
+        if self.leading_space and (not part or part[0].isspace()):
+            raise _Uncut
+        if part.isalpha() and _narrow(part):
+            if self.leading_space:
+                word = part if part.isascii() else part.encode().decode("latin-1").translate(BYTE_LETTERS)
+                return array("I", [t.id for t in self.model.tokenize(self.space + word)]).tobytes()
+            low = part.lower()
+            return self._word(part) if low == part else self.parts[low]
         lines = part.split("\n")
         if len(lines) > 1 and not all(x and not x[0].isspace() and not x[-1].isspace() for x in lines):
             lines = [part]
@@ -78,29 +96,19 @@ class WordCache:
             core = line.rstrip(TAIL)
             if not core or core == line or ord(core[-1]) > 255 or not core[-1].isalnum():
                 core = line
-            if self.leading_space:
-                out.append(("\n" if k else " ") + core)
+            narrow = _narrow(core)
+            if not self.leading_space:
+                low = core.lower() if narrow else core
+                out.append(self.parts[low] if narrow and core.isalpha() else self.others[low])
+            elif not (narrow and core.isalpha()):
+                out.append(self.others[("\n" if k else " ") + core])
+            elif k:
+                out += [self.line_break, self.bare[core]]
             else:
-                out.append(core.lower() if core.isascii() or ord(max(core)) < 256 else core)
+                out.append(self.parts[core])
             if len(core) < len(line):
-                out.append(line[len(core) :])
-        return out
-
-    def _piece(self, piece: str) -> bytes:
-        """The ids of a piece; one of letters alone is a single word to the library's model."""
-        spaced = piece[:1] == " "
-        if piece[spaced:].isalpha() and (piece.isascii() or ord(max(piece)) < 256):
-            word = piece if piece.isascii() else piece.encode().decode("latin-1").translate(BYTE_LETTERS)
-            word = chr(BYTE_LETTERS[32]) + word[1:] if spaced else word
-            return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
-        return self._encode([piece])[0]
-
-    def _part(self, part: str) -> bytes:
-        if self.leading_space and (not part or part[0].isspace()):
-            raise _Uncut
-        if part.isascii() and part.isalpha():
-            return self.pieces[" " + part if self.leading_space else part.lower()]
-        return b"".join(map(self.pieces.__getitem__, self._pieces(part)))
+                out.append(self.others[line[len(core) :]])
+        return b"".join(out)
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         cut = [t.split(" ") for t in texts]
