@@ -8,16 +8,16 @@ import logframe as lf
 from conftest import ids, rows
 from logframe.operators.ordering import sort_order
 
-LOGS = [("INFO", "200", "/api/users"), ("ERROR", "500", "/api/payments"), ("WARN", "404", "/api/orders"), ("ERROR", "503", "/api/payments"), ("INFO", None, "/api/health")]
+PARCELS = [("fine", "17", "/stock/bolts"), ("slow", "88", "/ship/track"), ("lost", "231", "/stock/nuts"), ("slow", "92", "/ship/track"), ("fine", None, "/tariff")]
 
 
 # --- search and extraction ------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("query,regex,expected", [("PAYMENTS ", False, [1, 3]), ("404", False, [2]), ("null", False, []), ("  ", False, [0, 1, 2, 3, 4]),
-                                                  (r"\b[45]\d{2}\b", True, [1, 2, 3]), ("(", True, [0, 1, 2, 3, 4]), ("a++", True, [0, 1, 2, 3, 4]), ("^/API/o", True, [2])])
+@pytest.mark.parametrize("query,regex,expected", [("SHIP ", False, [1, 3]), ("231", False, [2]), ("null", False, []), ("  ", False, [0, 1, 2, 3, 4]),
+                                                  (r"\b[89]\d\b", True, [1, 3]), ("(", True, [0, 1, 2, 3, 4]), ("a++", True, [0, 1, 2, 3, 4]), ("^/STOCK/n", True, [2])])
 def test_search(table, query, regex, expected):
-    t = table("level:string code:number endpoint:string", LOGS)
+    t = table("state:string crates:number route:string", PARCELS)
     assert ids(lf.search(t, query, regex)) == expected
     assert ids(lf.search(lf.to_typed(t), query, regex)) == expected
 
@@ -112,22 +112,23 @@ def test_views_of_columns(table):
 
 # --- groups and charts ----------------------------------------------------------------------
 
-EVENTS = [("INFO", "10", "2026-06-19T08:15:00"), ("INFO", "30", "2026-06-19T08:45:00"), ("WARN", "50", "2026-06-19T09:30:00"), ("ERROR", "100", "2026-06-19T09:45:00")]
+# A Sunday night, the Monday after it, and a Sunday four weeks on.
+SHIFTS = [("ok", "4", "2025-11-02T23:10:00"), ("ok", "9", "2025-11-02T23:50:00"), ("bad", "31", "2025-11-03T00:05:00"), ("odd", "2", "2025-11-30T12:00:00")]
 
 
 def test_group_aggregates(table):
-    t = table("level:string latency:number ts:date", EVENTS + [(None, "x", "not-a-date"), ("(empty)", None, None)])
-    get = lambda agg: dict(rows(lf.group_aggregate(t, "level", agg, "latency")))
-    assert get("count") == {"INFO": 2, "WARN": 1, "ERROR": 1, "(empty)": 2}
-    assert get("sum") == {"INFO": 40, "WARN": 50, "ERROR": 100, "(empty)": 0}
-    assert get("avg") == {"INFO": 20, "WARN": 50, "ERROR": 100, "(empty)": 0}
-    assert get("min") == {"INFO": 10, "WARN": 50, "ERROR": 100, "(empty)": 0}
-    assert get("max") == {"INFO": 30, "WARN": 50, "ERROR": 100, "(empty)": 0}
-    by = lambda bucket: dict(rows(lf.group_aggregate(t, "ts", bucket=bucket)))
-    assert by("hour") == {"2026-06-19 08:00": 2, "2026-06-19 09:00": 2, "not-a-date": 1, "(empty)": 1}
-    assert by("week") == {"2026-06-15": 4, "not-a-date": 1, "(empty)": 1}
-    assert by("day")["2026-06-19"] == 4 and by("month")["2026-06"] == 4
-    assert rows(lf.group_aggregate(t, "gone")) == [] and dict(rows(lf.group_aggregate(t, "level", "sum", "gone")))["INFO"] == 0
+    t = table("kind:string n:number at:date", SHIFTS + [(None, "x", "soon"), ("(empty)", None, None)])
+    get = lambda agg: dict(rows(lf.group_aggregate(t, "kind", agg, "n")))
+    assert get("count") == {"ok": 2, "bad": 1, "odd": 1, "(empty)": 2}
+    assert get("sum") == {"ok": 13, "bad": 31, "odd": 2, "(empty)": 0}
+    assert get("avg") == {"ok": 6.5, "bad": 31, "odd": 2, "(empty)": 0}
+    assert get("min") == {"ok": 4, "bad": 31, "odd": 2, "(empty)": 0}
+    assert get("max") == {"ok": 9, "bad": 31, "odd": 2, "(empty)": 0}
+    by = lambda bucket: dict(rows(lf.group_aggregate(t, "at", bucket=bucket)))
+    assert by("hour") == {"2025-11-02 23:00": 2, "2025-11-03 00:00": 1, "2025-11-30 12:00": 1, "soon": 1, "(empty)": 1}
+    assert by("week") == {"2025-10-27": 2, "2025-11-03": 1, "2025-11-24": 1, "soon": 1, "(empty)": 1}
+    assert by("day")["2025-11-02"] == 2 and by("month")["2025-11"] == 4
+    assert rows(lf.group_aggregate(t, "gone")) == [] and dict(rows(lf.group_aggregate(t, "kind", "sum", "gone")))["ok"] == 0
 
 
 def test_native_groups_print_like_text(spark):
@@ -151,22 +152,21 @@ def test_chart_order_and_limits(table):
 
 
 def test_column_stats(table):
-    t = table("level:string latency:number", [("INFO", "10"), ("INFO", "30"), ("WARN", None), ("ERROR", "50"), (None, "10.0"), ("", "x")])
-    exact = [("level", "string", 4, 2, 3, None, None, None, None), ("latency", "number", 5, 1, 4, 10.0, 50.0, 25.0, 100.0)]
+    t = table("dept:string wage:number", [("x1", "7"), ("x1", "9"), ("y2", None), ("z3", "21"), ("", "7.0"), (None, "n/a"), ("y2", "2")])
+    exact = [("dept", "string", 5, 2, 3, None, None, None, None), ("wage", "number", 6, 1, 5, 2.0, 21.0, 9.2, 46.0)]
     assert rows(lf.column_stats(t)) == exact
     assert rows(lf.column_stats(t, approximate=True)) == exact
-    assert rows(lf.column_stats(lf.to_typed(t), ["latency"])) == [("latency", "number", 4, 2, 3, 10.0, 50.0, 25.0, 100.0)]
-    assert rows(lf.column_stats(t.filter("1 = 0"))) == [("level", "string", 0, 0, 0, None, None, None, None), ("latency", "number", 0, 0, 0, None, None, None, None)]
+    assert rows(lf.column_stats(lf.to_typed(t), ["wage"])) == [("wage", "number", 5, 2, 4, 2.0, 21.0, 9.2, 46.0)]
+    assert rows(lf.column_stats(t.filter("1 = 0"))) == [("dept", "string", 0, 0, 0, None, None, None, None), ("wage", "number", 0, 0, 0, None, None, None, None)]
 
 
 def test_distributions(table):
-    t = table("level:string n:number blank:string", [("INFO", "0", None), ("INFO", "10", None), ("WARN", "100", ""), ("ERROR", "50", None), ("INFO", None, None)])
-    top = rows(lf.top_values(t))
-    assert top == [("level", "INFO", 3, 0.6, 5, 0), ("level", "WARN", 1, 0.2, 5, 0), ("level", "ERROR", 1, 0.2, 5, 0)]
+    t = table("dept:string n:number blank:string", [("x1", "6", None), ("x1", "18", None), ("y2", "120", ""), ("z3", "60", None), ("x1", None, None), ("y2", "6", "")])
+    assert rows(lf.top_values(t)) == [("dept", "x1", 3, 0.5, 6, 0), ("dept", "y2", 2, 2 / 6, 6, 0), ("dept", "z3", 1, 1 / 6, 6, 0)]
     h = rows(lf.histogram(t))
-    assert len(h) == 12 and sum(r[4] for r in h) == 4 and {r[1]: r[4] for r in h if r[4]} == {0: 1, 1: 1, 6: 1, 11: 1}
-    assert (h[0][2], h[11][3]) == (0.0, 100.0)
-    assert dict(rows(lf.column_kinds(t))) == {"level": "categorical", "n": "numeric", "blank": "empty"}
+    assert len(h) == 12 and {r[1]: r[4] for r in h if r[4]} == {0: 2, 1: 1, 5: 1, 11: 1}
+    assert (h[0][2], h[11][3]) == (6.0, 120.0)
+    assert dict(rows(lf.column_kinds(t))) == {"dept": "categorical", "n": "numeric", "blank": "empty"}
     assert rows(lf.histogram(table("n:number", [("5",), ("5",), ("x",)])))[0] == ("n", 0, 5.0, 5.0, 2)
     assert rows(lf.histogram(table("n:number", [("x",), (None,)]))) == []
     assert lf.bin_bounds(0, 120, 5) == (50, 60) and lf.bin_bounds(0, 120, 11) == (110, 120)
@@ -185,7 +185,7 @@ def test_distinct_counts(spark):
 
 # --- cross tables ---------------------------------------------------------------------------
 
-CROSS = [("INFO", "true", "10"), ("INFO", "true", "30"), ("INFO", "false", "100"), ("ERROR", "false", "200"), ("ERROR", "false", None), ("WARN", None, "5")]
+STORES = [("Oslo", "true", "4"), ("Oslo", "true", "6"), ("Oslo", "true", "2"), ("Bergen", "false", "50"), ("Oslo", "false", "8"), ("Bergen", "true", None), ("Narvik", None, "3")]
 
 
 def cells(df):
@@ -193,25 +193,25 @@ def cells(df):
 
 
 def test_crosstab(table):
-    t = table("level:string cached:boolean latency:number", CROSS)
-    assert cells(lf.crosstab(t, "level", "cached")) == {
-        ("INFO", "false"): 1, ("INFO", "true"): 2, ("INFO", None): 3, ("ERROR", "false"): 2, ("ERROR", "true"): 0, ("ERROR", None): 2,
-        (None, "false"): 3, (None, "true"): 2, (None, None): 5,
+    t = table("depot:string frozen:boolean kilos:number", STORES)
+    assert cells(lf.crosstab(t, "depot", "frozen")) == {
+        ("Oslo", "true"): 3, ("Oslo", "false"): 1, ("Oslo", None): 4, ("Bergen", "true"): 1, ("Bergen", "false"): 1, ("Bergen", None): 2,
+        (None, "true"): 4, (None, "false"): 2, (None, None): 6,
     }
-    sums = cells(lf.crosstab(t, "level", "cached", "sum", "latency"))
-    assert (sums["INFO", "true"], sums["ERROR", "false"], sums[None, None]) == (40, 200, 340)
-    avg = cells(lf.crosstab(t, "level", "cached", "avg", "latency"))
-    assert (avg["INFO", "true"], avg["ERROR", "false"], avg["ERROR", "true"], avg[None, None]) == (20, 200, 0, 85)
-    assert rows(lf.largest_cell(lf.crosstab(t, "level", "cached"))) == [(2.0,)]
-    wide = {r["row_value"]: (r["true"], r["false"]) for r in lf.pivot_wide(lf.crosstab(t, "level", "cached")).collect()}
-    assert wide == {"INFO": (2, 1), "ERROR": (0, 2)}
-    assert lf.crosstab(t, "level", "gone") is None and lf.default_axes(t) == ("level", "cached")
+    sums = cells(lf.crosstab(t, "depot", "frozen", "sum", "kilos"))
+    assert (sums["Oslo", "true"], sums["Bergen", "false"], sums["Bergen", "true"], sums[None, None]) == (12, 50, 0, 70)
+    avg = cells(lf.crosstab(t, "depot", "frozen", "avg", "kilos"))
+    assert (avg["Oslo", "true"], avg["Oslo", "false"], avg["Bergen", "false"], avg[None, None]) == (4, 8, 50, 14)
+    assert rows(lf.largest_cell(lf.crosstab(t, "depot", "frozen"))) == [(3.0,)]
+    wide = {r["row_value"]: (r["true"], r["false"]) for r in lf.pivot_wide(lf.crosstab(t, "depot", "frozen")).collect()}
+    assert wide == {"Oslo": (3, 1), "Bergen": (1, 1)}
+    assert lf.crosstab(t, "depot", "gone") is None and lf.default_axes(t) == ("depot", "frozen")
 
 
 def test_crosstab_ranges(table):
-    t = table("level:string cached:boolean latency:number", CROSS)
-    got = cells(lf.crosstab(t, "latency", "level", row_bucket=True))
-    assert (got["0–20", "INFO"], got["0–20", "WARN"], got["200–220", "ERROR"], got[None, None]) == (1, 1, 1, 5)
+    t = table("depot:string frozen:boolean kilos:number", STORES)
+    got = cells(lf.crosstab(t, "kilos", "depot", row_bucket=True))
+    assert (got["0–5", "Oslo"], got["0–5", "Narvik"], got["5–10", "Oslo"], got["50–55", "Bergen"], got[None, None]) == (2, 1, 2, 1, 6)
     single = lf.crosstab(table("n:number s:string", [("5", "a"), ("5", "b"), ("x", "a")]), "n", "s", row_bucket=True)
     assert cells(single)["5", None] == 2 and cells(single)[None, "a"] == 1
     empty = lf.crosstab(table("n:number s:string", [("x", "a")]), "n", "s", row_bucket=True)
@@ -262,17 +262,17 @@ def test_schema_diff(table):
 
 
 def test_row_diff(table):
-    a = table("id:string status:number note:string", [("r1", "200", ""), ("r2", "404", "n"), ("r3", "500", None), (None, "1", ""), ("r1", "9", "")])
-    b = table("id:string status:number note:string", [("r1", "200.0", None), ("r2", "500", "n"), ("r4", "201", None), ("", "7", "")])
-    diff = lf.row_diff(a, b, "id")
+    a = table("part:string grams:number note:string", [("k7", "15", ""), ("k2", "31", "old"), ("k9", "8", None), (None, "1", ""), ("k7", "9", "")])
+    b = table("part:string grams:number note:string", [("k5", "64", None), ("k2", "31", "new"), ("", "7", ""), ("k7", "15.0", None)])
+    diff = lf.row_diff(a, b, "part")
     got = {r["key"]: (r["status"], [tuple(c) for c in r["changes"]], r["duplicated"]) for r in diff.collect()}
-    assert got == {"r1": ("unchanged", [], True), "r2": ("changed", [("status", "404", "500")], False), "r3": ("removed", [], False), "r4": ("added", [], False)}
+    assert got == {"k7": ("unchanged", [], True), "k2": ("changed", [("note", "old", "new")], False), "k9": ("removed", [], False), "k5": ("added", [], False)}
     assert rows(lf.diff_summary(diff)) == [(1, 1, 1, 1, True)]
-    assert rows(lf.changed_fields(diff)) == [("r2", "status", "404", "500")]
-    assert {(r["status"], r["place"], r["key"]) for r in lf.diff_samples(diff).collect()} == {("added", 1, "r4"), ("removed", 1, "r3"), ("changed", 1, "r2")}
+    assert rows(lf.changed_fields(diff)) == [("k2", "note", "old", "new")]
+    assert {(r["status"], r["place"], r["key"]) for r in lf.diff_samples(diff).collect()} == {("added", 1, "k5"), ("removed", 1, "k9"), ("changed", 1, "k2")}
     assert lf.row_diff(a, b, "gone") is None
-    native = {r["key"]: r["status"] for r in lf.row_diff(lf.to_typed(a), b, "id").collect()}
-    assert native == {"r1": "unchanged", "r2": "changed", "r3": "removed", "r4": "added"}
+    native = {r["key"]: r["status"] for r in lf.row_diff(lf.to_typed(a), b, "part").collect()}
+    assert native == {"k7": "unchanged", "k2": "changed", "k9": "removed", "k5": "added"}
 
 
 def test_row_diff_compares_keys_as_text(spark, table):

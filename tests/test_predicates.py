@@ -6,53 +6,52 @@ from pyspark.sql import functions as F
 import logframe as lf
 from conftest import ids
 
-LEVELS = [("INFO", "200", "true"), ("WARN", "404", "no"), ("ERROR", "500", "FALSE"), ("ERROR", "503", None), ("INFO", None, "Yes")]
+HARBOURS = [("storm", "90", "no"), ("calm", None, "TRUE"), ("brisk", "55", None), ("calm", "12", "Yes"), ("storm", "97", "false"), ("gale", "55", "no")]
 
 
 @pytest.fixture(scope="module")
-def levels(table):
-    return table("level:string code:number cached:boolean", LEVELS).cache()
+def harbours(table):
+    return table("wind:string knots:number open:boolean", HARBOURS).cache()
 
 
 @pytest.fixture(scope="module")
-def typed(levels):
-    return lf.to_typed(levels).cache()
+def typed(harbours):
+    return lf.to_typed(harbours).cache()
 
 
+ALL = [0, 1, 2, 3, 4, 5]
 CASES = [
-    ([("level", "contains", "err")], [2, 3]),
-    ([("level", "notContains", "err")], [0, 1, 4]),
-    ([("code", "equals", "500")], [2]),
-    ([("code", "equals", "500.0")], [2]),
-    ([("code", "equals", "abc")], []),
-    ([("code", "notEquals", "500")], [0, 1, 3, 4]),
-    ([("code", "notEquals", "abc")], [0, 1, 2, 3, 4]),
-    ([("code", "gte", "500")], [2, 3]),
-    ([("code", "gt", "500")], [3]),
-    ([("code", "lt", "500")], [0, 1]),
-    ([("code", "lte", "404.5")], [0, 1]),
-    ([("code", "between", "500", "404")], [1, 2]),
-    ([("code", "isEmpty")], [4]),
-    ([("code", "isNotEmpty")], [0, 1, 2, 3]),
-    ([("cached", "isTrue")], [0, 4]),
-    ([("cached", "isFalse")], [1, 2]),
-    ([("cached", "equals", "TRUE")], [0, 4]),
-    ([("cached", "notEquals", "true")], [1, 2, 3]),
-    ([("code", "gt", "")], [0, 1, 2, 3, 4]),
-    ([("code", "gt", "x")], [0, 1, 2, 3, 4]),
-    ([("code", "between", "1", "x")], [0, 1, 2, 3, 4]),
-    ([("nothing", "equals", "x"), ("level", "equals", "info")], [0, 4]),
-    ([("level", "contains", "error"), ("code", "gte", "503")], [3]),
-    ([("code", "contains", "40")], [1]),
-    ([("level", "isTrue")], []),
-    ([("cached", "gt", "0")], [0, 4]),
-    ([("code", "gt", "-Infinity")], [0, 1, 2, 3]),
+    ([("wind", "contains", "ORM")], [0, 4]),
+    ([("wind", "notContains", "al")], [0, 2, 4]),
+    ([("knots", "equals", "55")], [2, 5]),
+    ([("knots", "equals", "55.0")], [2, 5]),
+    ([("knots", "equals", "abc")], []),
+    ([("knots", "notEquals", "55")], [0, 1, 3, 4]),
+    ([("knots", "notEquals", "abc")], ALL),
+    ([("knots", "gte", "90")], [0, 4]),
+    ([("knots", "gt", "90")], [4]),
+    ([("knots", "lt", "55")], [3]),
+    ([("knots", "lte", "55.5")], [2, 3, 5]),
+    ([("knots", "between", "97", "55")], [0, 2, 4, 5]),
+    ([("knots", "isEmpty")], [1]),
+    ([("knots", "isNotEmpty")], [0, 2, 3, 4, 5]),
+    ([("knots", "contains", "5")], [2, 5]),
+    ([("knots", "gt", "-Infinity")], [0, 2, 3, 4, 5]),
+    ([("open", "isTrue")], [1, 3]),
+    ([("open", "isFalse")], [0, 4, 5]),
+    ([("open", "equals", "TRUE")], [1, 3]),
+    ([("open", "notEquals", "true")], [0, 2, 4, 5]),
+    ([("open", "gt", "0")], [1, 3]),
+    ([("wind", "isTrue")], []),
+    ([("wind", "contains", "storm"), ("knots", "gte", "97")], [4]),
+    ([("nothing", "equals", "x"), ("wind", "equals", "CALM")], [1, 3]),
+    *(([("knots", *rest)], ALL) for rest in (("gt", ""), ("gt", "x"), ("between", "1", "x"))),
 ]
 
 
 @pytest.mark.parametrize("conditions,expected", CASES)
-def test_conditions_on_raw_and_native_columns(levels, typed, conditions, expected):
-    assert sorted(ids(lf.filter_all(levels, conditions))) == expected
+def test_conditions_on_raw_and_native_columns(harbours, typed, conditions, expected):
+    assert sorted(ids(lf.filter_all(harbours, conditions))) == expected
     assert sorted(ids(lf.filter_all(typed, conditions))) == expected
 
 
@@ -105,13 +104,13 @@ def test_nan_is_missing(spark):
     assert ids(lf.filter_all(df, [("x", "lte", "5")])) == [0]
 
 
-def test_groups(levels):
-    warn = [("level", "equals", "WARN")]
-    error = [("level", "equals", "ERROR"), ("code", "gt", "500")]
-    assert ids(lf.filter_groups(levels, [warn, error])) == [1, 3]
-    assert ids(lf.filter_groups(levels, [[("code", "gt", "")], error])) == [3]
-    assert ids(lf.filter_groups(levels, [[("code", "gt", "")]])) == [0, 1, 2, 3, 4]
-    assert ids(lf.filter_groups(levels, [])) == [0, 1, 2, 3, 4]
+def test_groups(harbours):
+    brisk = [("wind", "equals", "BRISK")]
+    heavy = [("wind", "equals", "STORM"), ("knots", "gt", "90")]
+    assert ids(lf.filter_groups(harbours, [brisk, heavy])) == [2, 4]
+    assert ids(lf.filter_groups(harbours, [[("knots", "gt", "")], heavy])) == [4]
+    assert ids(lf.filter_groups(harbours, [[("knots", "gt", "")]])) == ALL
+    assert ids(lf.filter_groups(harbours, [])) == ALL
 
 
 def test_operator_catalogue():
@@ -133,16 +132,16 @@ def test_native_comparisons_reach_the_scan(spark, tmp_path):
     assert sorted(r["id"] for r in lf.filter_all(t, conditions).collect()) == [3, 5, 6, 7]
 
 
-def test_drill_down(levels):
-    assert lf.from_range("code", 100.0, 250.5) == lf.Condition("code", "between", "100", "250.5")
-    assert lf.from_category("cached", "boolean", "false").op == "isFalse"
-    assert lf.from_category("level", "string", "INFO") == lf.Condition("level", "equals", "INFO")
-    assert lf.from_field("code", "number", None).op == "isEmpty"
+def test_drill_down(harbours):
+    assert lf.from_range("knots", 12.0, 55.5) == lf.Condition("knots", "between", "12", "55.5")
+    assert lf.from_category("open", "boolean", "false").op == "isFalse"
+    assert lf.from_category("wind", "string", "gale") == lf.Condition("wind", "equals", "gale")
+    assert lf.from_field("knots", "number", None).op == "isEmpty"
     assert lf.narrow([["a"], ["b"]], ["c"]) == [["a", "c"], ["b"]]
     assert lf.narrow([], ["c"]) == [["c"]]
-    cell = lf.crosstab(levels, "level", "cached").filter("row_value = 'INFO' and col_value = 'true'").first()
-    conditions = lf.from_cell(cell, "level", "string", "cached", "boolean")
-    assert ids(lf.filter_groups(levels, [conditions])) == [0, 4]
+    cell = lf.crosstab(harbours, "wind", "open").filter("row_value = 'calm' and col_value = 'true'").first()
+    conditions = lf.from_cell(cell, "wind", "string", "open", "boolean")
+    assert ids(lf.filter_groups(harbours, [conditions])) == [1, 3]
 
 
 def test_iso_operands():
