@@ -50,15 +50,18 @@ class WordCache:
     ``leading_space``: whether a part keeps the space before it, as byte-level tokenizers want it.
     Those cut a text before a space that is followed by another character than white space; a text
     with other spaces is encoded whole. The other kind drops white space, so every space is a cut.
+    ``added``: whether the strings of added tokens are those tokens, as in the library when it is loaded;
+    a text that holds one is encoded whole then. Without it they are ordinary text.
     """
 
-    def __init__(self, path: str, leading_space: bool):
+    def __init__(self, path: str, leading_space: bool, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = True  # a part in lower case may hold a string that its text doesn't
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added else []
         self.leading_space = leading_space
         self.space = chr(BYTE_LETTERS[32]) if leading_space else ""
         self.line_break = self._encode(["\n"])[0]
@@ -110,7 +113,22 @@ class WordCache:
                 out.append(self.others[line[len(core) :]])
         return b"".join(out)
 
+    def _as_loaded(self, text: str) -> np.ndarray:
+        """The ids of a whole text by the library as loaded, which finds added tokens first."""
+        self.tokenizer.encode_special_tokens = False
+        try:
+            return np.frombuffer(self._encode([text])[0], "<u4")
+        finally:
+            self.tokenizer.encode_special_tokens = True
+
     def ids(self, texts: list[str]) -> list[np.ndarray]:
+        holds = [any(x in t for x in self.added) for t in texts]
+        if not any(holds):
+            return self._ordinary(texts)
+        others = iter(self._ordinary([t for t, h in zip(texts, holds) if not h]))
+        return [self._as_loaded(t) if h else next(others) for t, h in zip(texts, holds)]
+
+    def _ordinary(self, texts: list[str]) -> list[np.ndarray]:
         cut = [t.split(" ") for t in texts]
         look = self.parts.__getitem__
         if not self.leading_space:
@@ -129,5 +147,5 @@ def word_cache(path: str, leading_space: bool) -> WordCache:
     """The encoder of this Python worker for a tokenizer file; it serves all tasks of the worker."""
     key = f"{path}|{leading_space}"
     if key not in _loaded:
-        _loaded[key] = WordCache(path, leading_space)
+        _loaded[key] = WordCache(path, leading_space, added=True)
     return _loaded[key]

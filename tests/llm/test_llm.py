@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from logframe.llm import exact_dedup, langid, lm, mixing, near_dedup, packing, pii, quality_classifier, quality_rules, token_output
-from logframe.llm.tokens import WordCache
+from logframe.llm.tokens import WordCache, word_cache
 
 FOLDER = "/root/testdata/sf0.001"
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -367,3 +367,25 @@ def test_pipeline(spark, documents):
             assert set(left) == {i for i in before if label[i] == i}
         docs = after
     assert corpus_pipeline.run(spark, FOLDER).count() > 0
+
+
+ADDED = ["see <|endoftext|> here", "a\n <|endoftext|>\n b", "x<|endoftext|>\u0301y", "<|EndOfText|> <|startoftext|>", "<|endoftext|>" * 3, "none"]
+
+
+@pytest.mark.parametrize("path,space", [(BYTES, True), (WORDS, False)])
+def test_added_tokens_as_in_the_untouched_library(path, space):
+    rng = random.Random(6)
+    signs = ["a", "B", "é", "Σ", " ", "  ", "\n", "\t", ".", "'s", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "1", "中", "\u0301", "foo"]
+    texts = ADDED + ["".join(rng.choice(signs) for _ in range(rng.randint(0, 20))) for _ in range(3000)]
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in word_cache(path, space).ids(texts)] == want
+
+
+def test_added_tokens_in_op1_and_op8(spark, tmp_path):
+    df = spark.createDataFrame(list(enumerate(ADDED)), "doc_id long, text string")
+    files = token_output.write_tokens(df, BYTES, f"file://{tmp_path}/t")
+    ids = [encoded(BYTES, t, 2) for t in ADDED]
+    starts = np.cumsum([0, *map(len, ids)])
+    assert sorted(map(tuple, files.documents().collect())) == [(i, starts[i], len(x), crc(x)) for i, x in enumerate(ids)]
+    ids = [encoded(WORDS, t, 0) for t in ADDED]
+    assert sorted((r["doc_id"], r["length"], r["ids_crc32"]) for r in packing.pack(df, WORDS).collect()) == [(i, len(x), crc(x)) for i, x in enumerate(ids)]
