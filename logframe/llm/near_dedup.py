@@ -16,6 +16,7 @@ of full sets.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,13 +28,13 @@ from logframe.llm.common import Scratch, map_arrow, slices
 
 SHINGLE = 5
 PLACES = 256
-ROWS = 6
 #: Percent of the union that the intersection must reach.
 SIMILARITY = 85
-#: Signatures that agree in so much less than the similarity are of pairs below it (5.6 standard deviations, 1e-8).
-SURE = 0.125
-#: Pairs at the similarity share 16 of 42 bands on average; fewer than three with a chance of 8e-7.
+#: Signatures that agree in so many standard deviations less than the similarity are of pairs below it (1e-8).
+SURE = 5.6
+#: Pairs are compared if they share so many bands; those at the similarity share fewer with a chance below ``MISSED``.
 LEAST_BANDS = 3
+MISSED = 1e-6
 BATCH_CHARS = 1 << 19
 _NONE = np.uint32(0xFFFFFFFF)
 
@@ -82,6 +83,17 @@ def signatures(sets: list[np.ndarray], places: int = PLACES) -> np.ndarray:
     return out
 
 
+def missed(percent: int, rows: int, places: int = PLACES) -> float:
+    """The chance that a pair at the similarity shares fewer than ``LEAST_BANDS`` bands, for independent places."""
+    bands, hit = places // rows, (percent / 100) ** rows
+    return sum(math.comb(bands, k) * hit**k * (1 - hit) ** (bands - k) for k in range(LEAST_BANDS))
+
+
+def rows_for(percent: int, places: int = PLACES) -> int:
+    """The most rows a band may have for pairs at the similarity to be found: 6 at 85 percent, 5 at 80."""
+    return max((r for r in range(1, 17) if missed(percent, r, places) < MISSED), default=1)
+
+
 def _describe(places: int, rows: int):
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,11 +136,12 @@ def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _alike(places: int, percent: int):
     """Pairs whose short signatures agree often enough for the similarity to be possible."""
+    least = percent / 100 - SURE * math.sqrt(percent / 100 * (1 - percent / 100) / places)
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (np.array([np.frombuffer(v.as_buffer(), np.uint8) for v in batch.column(k)]).reshape(-1, places) for k in (2, 3))
-            keep = (x == y).mean(axis=1) >= percent / 100 - SURE
+            keep = (x == y).mean(axis=1) >= least
             yield pa.record_batch(batch.columns[:2], ["a", "b"]).filter(pa.array(keep))
 
     return alike
@@ -191,17 +204,18 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
             return labels
 
 
-def near_dedup(df: DataFrame, id: str = "doc_id", text: str = "text", percent: int = SIMILARITY, places: int = PLACES, rows: int = ROWS) -> DataFrame:
+def near_dedup(df: DataFrame, id: str = "doc_id", text: str = "text", percent: int = SIMILARITY, places: int = PLACES, rows: int | None = None) -> DataFrame:
     """Groups of documents linked by ``percent`` of common shingles, directly or through others.
 
     One row per row of ``df``: ``id`` (a whole number), ``n_shingles``, ``component_id`` (least id
     reachable, itself included), ``kept`` (whether that is its own). A text without words has no
     shingle and no link. A null id has no links either: its component is null and it is kept. Rows that
     share an id are one document here: links of any of them count, and all of them are kept or none.
-    Two documents at the similarity miss each other with a chance of 8e-7. Other columns are ignored; an
-    empty table gives an empty result.
+    Two documents at the similarity miss each other with a chance of ``missed``, below 1e-6 by ``rows_for``.
+    Other columns are ignored; an empty table gives an empty result.
     """
     spark = df.sparkSession
+    rows = rows or rows_for(percent, places)
     scratch = Scratch(spark)
     plain = df.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
     schema = "id long, n long, set_a long, set_b long, bands array<bigint>, brief binary"
@@ -271,7 +285,7 @@ def near_dedup(df: DataFrame, id: str = "doc_id", text: str = "text", percent: i
     )
 
 
-def drop_near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+def drop_near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", percent: int = SIMILARITY) -> DataFrame:
     """The rows of ``df`` without those that ``near_dedup`` does not keep."""
-    gone = near_dedup(df, id, text).filter("NOT kept").select(F.col(id).alias("gone")).distinct()
+    gone = near_dedup(df, id, text, percent).filter("NOT kept").select(F.col(id).alias("gone")).distinct()
     return df.join(gone, F.col(id) == F.col("gone"), "left_anti")

@@ -389,3 +389,19 @@ def test_added_tokens_in_op1_and_op8(spark, tmp_path):
     assert sorted(map(tuple, files.documents().collect())) == [(i, starts[i], len(x), crc(x)) for i, x in enumerate(ids)]
     ids = [encoded(WORDS, t, 0) for t in ADDED]
     assert sorted((r["doc_id"], r["length"], r["ids_crc32"]) for r in packing.pack(df, WORDS).collect()) == [(i, len(x), crc(x)) for i, x in enumerate(ids)]
+
+
+def scattered(n=200):
+    """Pairs of 200 words with four scattered words changed: 176 of 216 shingles in common, 81 %."""
+    rng = random.Random(11)
+    for i in range(n):
+        words = [f"w{rng.randint(0, 10**9)}" for _ in range(200)]
+        other = [f"x{rng.randint(0, 10**9)}" if k in (20, 70, 120, 170) else w for k, w in enumerate(words)]
+        yield from ((2 * i, " ".join(words)), (2 * i + 1, " ".join(other)))
+
+
+def test_near_copies_at_80_percent_are_dropped_at_80(spark):
+    df = spark.createDataFrame(list(scattered()), "doc_id long, text string")
+    assert [near_dedup.rows_for(p) for p in (80, 85)] == [5, 6]
+    assert all(near_dedup.missed(p, near_dedup.rows_for(p)) < 1e-6 for p in range(50, 101))
+    assert sorted(r["doc_id"] for r in near_dedup.drop_near_duplicates(df, percent=80).collect()) == list(range(0, 400, 2))
