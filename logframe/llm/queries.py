@@ -19,6 +19,7 @@ from logframe.llm.quality_rules import judge
 from logframe.llm.near_dedup import near_dedup
 from logframe.llm.pii import find_pii
 from logframe.llm.lm import score_texts
+from logframe.llm.filter_audit import audit
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -119,3 +120,36 @@ def op2(documents, folder):
 @query("op4_language_model")
 def op4(documents, folder):
     return score_texts(documents)
+
+
+@query(
+    "op11_filter_audit",
+    r"""WITH words AS (
+         SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+       marks AS (SELECT doc_id AS of, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+       failing AS (
+         SELECT part, (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT
+                + 4 * (100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 3 * length(t))::INT + 8 * regexp_matches(t, '[#$%&*|]')::INT
+                + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)::INT AS mask, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic
+         FROM words LEFT JOIN marks ON doc_id = of),
+       letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+       orders AS (
+         SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+         WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+       steps AS (
+         SELECT filter_order, step::INT AS step, 1 << (ascii(substr(filter_order, step, 1)) - 65) AS own,
+                list_sum(list_transform(string_split(substr(filter_order, 1, step - 1), ''), lambda x: CASE WHEN x = '' THEN 0 ELSE 1 << (ascii(x) - 65) END))::INT AS done
+         FROM orders, unnest([1, 2, 3, 4, 5]) AS s(step)),
+       told AS (
+         SELECT part, filter_order, step, own, count(*) FILTER (mask & (coalesce(done, 0) | own) = 0) AS kept,
+                count(*) FILTER (mask & own != 0 AND mask & coalesce(done, 0) = 0) AS removed,
+                count(*) FILTER (mask & own != 0 AND mask & coalesce(done, 0) != 0) AS redundant, count(*) FILTER (mask = own) AS unique_fails,
+                count(*) FILTER (mask & own != 0 AND mask & coalesce(done, 0) = 0 AND good = 1) AS good_lost,
+                count(*) FILTER (mask & own != 0 AND mask & coalesce(done, 0) = 0 AND toxic = 1) AS toxic_lost
+         FROM failing, steps GROUP BY part, filter_order, step, own)
+       SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+              (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
+       FROM told""",
+)
+def op11(documents, folder):
+    return audit(documents, documents.sparkSession.read.parquet(f"{folder}/labels.parquet"))
