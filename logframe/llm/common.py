@@ -11,7 +11,7 @@ import uuid
 import zipfile
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from logframe.session import scratch_dir
 
@@ -104,6 +104,28 @@ def _send_package(spark: SparkSession) -> None:
     _sent_to.add(context.applicationId)
 
 
+def send_package(spark: SparkSession) -> None:
+    _send_package(spark)
+
+
+def numbered(scratch: Scratch, df: DataFrame, order: list[str], within: list[str], name: str, total: str) -> DataFrame:
+    """``df`` with each row's number from 0 by ascending ``order`` among those equal in ``within``, and their ``total``.
+
+    ``order`` begins with ``within``, holds no nulls there, and decides ties. Rows are dealt by ranges of
+    ``order``, sorted and written with their place; the counts by partition, one row for each run of
+    ``within`` in it, then turn places into numbers. So a third of all rows under one key spreads over tasks.
+    """
+    by = [F.col(c).asc_nulls_first() for c in order]
+    put = {"_part": F.spark_partition_id(), "_place": F.monotonically_increasing_id()}
+    placed = scratch.save(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumns(put), "placed")
+    runs = placed.groupBy("_part", *within).agg(F.count("*").alias("_rows"), F.min("_place").alias("_first"))
+    every = Window.partitionBy(*within)
+    earlier = every.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = runs.select("_part", *within, "_first", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_start"), F.sum("_rows").over(every).alias(total))
+    out = placed.join(scratch.save(starts, "starts"), ["_part", *within])
+    return out.withColumn(name, F.col("_start") + F.col("_place") - F.col("_first")).drop("_part", "_place", "_first", "_start")
+
+
 def map_arrow(df: DataFrame, rows, schema: str) -> DataFrame:
     """``mapInArrow`` with batches bounded in bytes, as a few texts may be very long."""
     spark = df.sparkSession

@@ -20,6 +20,7 @@ from logframe.llm.near_dedup import near_dedup
 from logframe.llm.pii import find_pii
 from logframe.llm.lm import score_texts
 from logframe.llm.filter_audit import audit
+from logframe.llm.merkle import tamper_check
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -153,3 +154,51 @@ def op4(documents, folder):
 )
 def op11(documents, folder):
     return audit(documents, documents.sparkSession.read.parquet(f"{folder}/labels.parquet"))
+
+
+_FIELDS = " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars"))
+_CRC32 = """list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+              lambda crc, x: list_reduce([xor(crc, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END))"""
+
+
+@query(
+    "op12_merkle_manifest",
+    rf"""WITH RECURSIVE changed AS (
+         SELECT *, CASE WHEN xor({_CRC32}, 4294967295) % 3 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS other
+         FROM documents),
+       leaves AS (
+         SELECT doc_id, coalesce('=' || lang, '') AS g, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n,
+                sha256({_FIELDS} || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+                sha256({_FIELDS} || coalesce(strlen(other) || ':' || other, '-')) AS tampered
+         FROM changed),
+       low AS (
+         SELECT 0 AS level, g, i, n, leaf AS digest FROM leaves
+         UNION ALL
+         SELECT level + 1, g, i // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY i)) FROM low WHERE n > 1 GROUP BY level, g, i // 8, n),
+       subroots AS (SELECT g, digest AS subroot, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n, max(level) OVER () AS height FROM low WHERE n = 1),
+       high AS (
+         SELECT 0 AS level, i, n, subroot AS digest FROM subroots
+         UNION ALL
+         SELECT level + 1, i // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY i)) FROM high WHERE n > 1 GROUP BY level, i // 8, n),
+       nodes AS (
+         SELECT level, g, i, n, digest FROM low
+         UNION ALL SELECT height + 1 + level, '', h.i, h.n, h.digest FROM high h, (SELECT DISTINCT height FROM subroots)),
+       sides AS (
+         SELECT a.level, a.g, a.i, coalesce(string_agg(b.digest, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS lefts,
+                coalesce(string_agg(b.digest, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS rights
+         FROM nodes a JOIN nodes b ON a.level = b.level AND a.g = b.g AND a.i // 8 = b.i // 8 WHERE a.n > 1 GROUP BY a.level, a.g, a.i),
+       fold AS (
+         SELECT 0 AS level, doc_id, l.g, l.i, l.g AS own, tampered AS node, '' AS proof FROM leaves l
+         UNION ALL
+         SELECT CASE WHEN s.level IS NULL THEN r.height + 1 ELSE f.level + 1 END, doc_id, CASE WHEN s.level IS NULL THEN '' ELSE f.g END,
+                CASE WHEN s.level IS NULL THEN r.i ELSE f.i // 8 END, own,
+                CASE WHEN s.level IS NULL THEN node ELSE sha256(s.lefts || node || s.rights) END, proof || coalesce(s.lefts || s.rights, '')
+         FROM fold f LEFT JOIN sides s ON s.level = f.level AND s.g = f.g AND s.i = f.i JOIN subroots r ON r.g = f.own
+         WHERE s.level IS NOT NULL OR f.level <= r.height),
+       done AS (SELECT doc_id, own, node, proof FROM fold QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY level DESC) = 1)
+       SELECT d.doc_id, l.leaf, r.subroot, (SELECT digest FROM high WHERE n = 1) AS root, sha256(proof) AS proof_sha256, node AS folded_root,
+              node = (SELECT digest FROM high WHERE n = 1) AS verified
+       FROM done d JOIN leaves l ON l.doc_id = d.doc_id JOIN subroots r ON r.g = d.own""",
+)
+def op12(documents, folder):
+    return tamper_check(documents).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
