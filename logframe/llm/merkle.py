@@ -179,8 +179,8 @@ def manifest(df: DataFrame, id: str, part: str, fields: list[Column], changed: C
     kinds = dict(rows.dtypes)
     schema = "id string, part string, position long, leaf string, subroot string, root string, "
     schema += "proof array<string>, " * with_proof + "proof_sha256 string, folded_root string, verified boolean"
-    out = _exchange(levels[0], outer, _prove(with_proof), schema)
-    return out.select(*(F.col(c).cast(kinds[c]).alias({"id": id, "part": part}.get(c, c)) for c in out.columns))
+    out, given = _exchange(levels[0], outer, _prove(with_proof), schema), {"id": id, "part": part}
+    return out.select(*((F.col(c).cast(kinds[c]).alias(given[c]) if c in given else F.col(c)) for c in out.columns))
 
 
 def lowered_every_third(id: Column, text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import logframe as lf
 from logframe.llm.common import Scratch
@@ -21,6 +21,7 @@ from logframe.llm.pii import find_pii
 from logframe.llm.lm import score_texts
 from logframe.llm.filter_audit import audit
 from logframe.llm.merkle import tamper_check
+from logframe.llm.substring_dedup import substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -202,3 +203,21 @@ _CRC32 = """list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_s
 )
 def op12(documents, folder):
     return tamper_check(documents).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+@query(
+    "op13_substring_dedup",
+    r"""WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+       windows AS (
+         SELECT doc_id, s, array_to_string(w[s : s + 19], ' ') AS body FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS s FROM words WHERE len(w) >= 20)),
+       repeats AS (SELECT doc_id, s FROM windows QUALIFY row_number() OVER (PARTITION BY body ORDER BY doc_id, s) > 1),
+       gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS at FROM repeats),
+       single AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS at FROM words),
+       kept AS (
+         SELECT s.doc_id, string_agg(word, ' ' ORDER BY s.at) AS body, count(*) AS n
+         FROM single s LEFT JOIN gone g ON s.doc_id = g.doc_id AND s.at = g.at WHERE g.at IS NULL GROUP BY s.doc_id)
+       SELECT w.doc_id, len(w.w)::BIGINT AS n_words, (len(w.w) - coalesce(k.n, 0))::BIGINT AS n_removed, sha256(coalesce(k.body, '')) AS kept_sha256
+       FROM words w LEFT JOIN kept k ON w.doc_id = k.doc_id""",
+)
+def op13(documents, folder):
+    return substring_dedup(documents).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
