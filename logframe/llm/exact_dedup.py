@@ -35,7 +35,7 @@ def _digest(seed: int) -> Callable[[Column], Column]:
 
 
 def row_key() -> Column:
-    """A number for each row of a stored table: file splits and the order in them don't change."""
+    """A number for each row. It follows the splits of the scan, so it holds only where it is written with the rows."""
     return F.monotonically_increasing_id()
 
 
@@ -48,21 +48,22 @@ def _named(distinct: DataFrame, *keys: str) -> DataFrame:
     return distinct.sortWithinPartitions(*keys).withColumn("name", F.monotonically_increasing_id())
 
 
-def document_names(df: DataFrame, text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+def document_names(df: DataFrame, text: str = "text", block_chars: int = BLOCK_CHARS, key: str | None = None) -> DataFrame:
     """Every row of ``df`` without its text, with ``text_sha256`` and the identity of its text.
 
     Returns the given columns but ``text``, then ``text_sha256``, ``name_level``, ``name`` and
-    ``row_key`` (a number of the row). A null text counts as empty. Repeated rows stay.
+    ``row_key``, a number of the row: that in the column ``key``, else a new one. A null text counts
+    as empty. Repeated rows stay.
     """
     scratch = Scratch(df.sparkSession)
     body = F.coalesce(F.col(text), F.lit(""))
-    carried = [F.col(f"`{c}`") for c in df.columns if c != text]
+    carried = [F.col(f"`{c}`") for c in df.columns if c not in (text, key)]
     for seed in range(1, 100):
         base = scratch.save(
             df.select(
                 F.struct(*carried).alias("row"),
                 F.sha2(body.cast("binary"), 256).alias("sha"),
-                row_key().alias("row_key"),
+                (F.col(key) if key else row_key()).alias("row_key"),
                 F.transform(_blocks(body, block_chars), _digest(seed)).alias("digests"),
             ),
             "base",
@@ -104,15 +105,17 @@ def document_names(df: DataFrame, text: str = "text", block_chars: int = BLOCK_C
     )
 
 
-def exact_dedup(df: DataFrame, id: str = "doc_id", text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+def exact_dedup(df: DataFrame, id: str = "doc_id", text: str = "text", block_chars: int = BLOCK_CHARS, key: str | None = None) -> DataFrame:
     """Groups of equal texts; of each the row with the largest id stays.
 
     One row per row of ``df``: ``id``, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``,
     ``name_level``, ``name``, ``row_key``. Texts are compared unchanged, a null text counts as empty, and a null
-    id is smaller than any other. Of rows that repeat both id and text exactly one is kept. Other
-    columns are ignored, so their names can't clash; an empty table gives an empty result.
+    id is smaller than any other. Of rows that repeat both id and text exactly one is kept. ``key`` names
+    a column with the number of the row, if it has one. Other columns are ignored, so their names can't
+    clash; an empty table gives an empty result.
     """
-    named = document_names(df.select(F.col(id).alias("id"), F.col(text).alias("text")), "text", block_chars)
+    numbered = [F.col(key).alias("key")] if key else []
+    named = document_names(df.select(F.col(id).alias("id"), F.col(text).alias("text"), *numbered), "text", block_chars, "key" if key else None)
     groups = named.groupBy("name_level", "name").agg(F.count("*").alias("group_size"), F.max(F.struct("id", "row_key")).alias("keep"))
     groups = Scratch(df.sparkSession).save(groups, "groups")  # as a table of its own, so that a join on a hot name can be split
     return named.join(groups, ["name_level", "name"]).select(
@@ -128,6 +131,17 @@ def exact_dedup(df: DataFrame, id: str = "doc_id", text: str = "text", block_cha
 
 
 def drop_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of a stored table without those that ``exact_dedup`` does not keep."""
-    gone = exact_dedup(df, id, text).filter("NOT kept").select("row_key")
-    return df.withColumn("row_key", row_key()).join(gone, "row_key", "left_anti").drop("row_key")
+    """The rows of ``df``, with all their columns, without those that ``exact_dedup`` does not keep.
+
+    Rows are written once with their numbers, so that a number means the same row in every later scan,
+    however that is split.
+    """
+    rows = numbered_rows(df)
+    plain = rows.select(F.col(f"row.`{id}`").alias("id"), F.col(f"row.`{text}`").alias("text"), "key")
+    gone = exact_dedup(plain, "id", "text", key="key").filter("NOT kept").select("row_key")
+    return rows.join(gone, F.col("key") == F.col("row_key"), "left_anti").select("row.*")
+
+
+def numbered_rows(df: DataFrame) -> DataFrame:
+    """The rows as ``row``, each with a number ``key``, written: names of their columns can't clash with others."""
+    return Scratch(df.sparkSession).save(df.select(F.struct("*").alias("row"), row_key().alias("key")), "rows")

@@ -165,5 +165,6 @@ def identify(df: DataFrame, id: str = "doc_id", text: str = "text", lang: str =
 def reject_unknown(df: DataFrame, text: str = "text", id: str = "doc_id", lang: str = "lang", folds: int = 5, least: float = 0.3) -> DataFrame:
     """The rows of ``df`` whose text has a language: one with a letter, and a posterior of ``least`` at least."""
     model = fit(df.filter(~held_out(id, folds)), text, lang)
-    tagged = tag(df, model, text, "_lang_pred", "_lang_score")
-    return tagged.filter((F.col("_lang_pred") != UNDETERMINED) & (F.col("_lang_score") >= least)).drop("_lang_pred", "_lang_score")
+    pred, score = (name + "_" * (1 + max(map(len, df.columns))) for name in ("pred", "score"))  # longer than any name of df
+    tagged = tag(df, model, text, pred, score)
+    return tagged.filter((F.col(pred) != UNDETERMINED) & (F.col(score) >= least)).drop(pred, score)

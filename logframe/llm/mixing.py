@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from logframe.llm.common import WORD, Scratch
+from logframe.llm.exact_dedup import numbered_rows, row_key
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_EPOCHS = 3
@@ -58,9 +59,10 @@ def mix(
     weights: tuple[float, ...] = WEIGHTS,
     most: int = MOST_EPOCHS,
     seed: str = SEED,
+    key: str | None = None,
 ) -> DataFrame:
     """How often each document is taken: ``id``, ``source``, ``size``, ``source_size``, ``target``, ``copies``, ``taken``,
-    and ``row_key``, a number of the row of a stored table.
+    and ``row_key``, a number of the row: that in the column ``key``, else a new one.
 
     ``size`` is the number of words (null text: 0), ``taken`` is ``size`` times ``copies``. The document
     on which the budget ends is taken if at least half of it fits. A null source is a source of its own,
@@ -69,10 +71,11 @@ def mix(
     """
     scratch = Scratch(df.sparkSession)
     body = F.coalesce(F.col(text), F.lit(""))
-    key = -F.log(uniform(F.col(id), seed)) / quality_weight(body)
+    number = F.col(key) if key else row_key()
+    rank_key = -F.log(uniform(F.col(id), seed)) / quality_weight(body)
     place = F.least(F.floor(float(FANOUT * FANOUT) * (1 - F.exp(-F.col("key")))), F.lit(FANOUT * FANOUT - 1)).cast("long")
     sized = scratch.save(
-        df.select(F.col(id).alias("id"), F.col(source).alias("source"), F.regexp_count(body, F.lit(WORD)).cast("long").alias("size"), key.alias("key"), F.xxhash64(body).alias("tie"), F.monotonically_increasing_id().alias("row_key"))
+        df.select(F.col(id).alias("id"), F.col(source).alias("source"), F.regexp_count(body, F.lit(WORD)).cast("long").alias("size"), rank_key.alias("key"), F.xxhash64(body).alias("tie"), number.alias("row_key"))
         .withColumn("place", place),
         "sized",
     )
@@ -120,6 +123,13 @@ def mix(
 
 
 def take(df: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The rows of a stored table as often as ``mix`` takes them."""
-    copies = mix(df, id, text, source).filter("copies > 0").select("row_key", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
-    return df.withColumn("row_key", F.monotonically_increasing_id()).join(copies, "row_key").drop("row_key", "copy")
+    """The rows of ``df``, with all their columns, as often as ``mix`` takes them.
+
+    Rows are written once with their numbers, so that a number means the same row in every later scan,
+    however that is split.
+    """
+    rows = numbered_rows(df)
+    plain = rows.select(*(F.col(f"row.`{c}`").alias(name) for c, name in ((id, "id"), (text, "text"), (source, "source"))), "key")
+    taken = mix(plain, "id", "text", "source", key="key").filter("copies > 0")
+    copies = taken.select("row_key", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    return rows.join(copies, F.col("key") == F.col("row_key")).select("row.*")

@@ -286,6 +286,7 @@ def near_dedup(df: DataFrame, id: str = "doc_id", text: str = "text", percent: i
 
 
 def drop_near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", percent: int = SIMILARITY) -> DataFrame:
-    """The rows of ``df`` without those that ``near_dedup`` does not keep."""
+    """The rows of ``df``, with all their columns, without those that ``near_dedup`` does not keep."""
     gone = near_dedup(df, id, text, percent).filter("NOT kept").select(F.col(id).alias("gone")).distinct()
-    return df.join(gone, F.col(id) == F.col("gone"), "left_anti")
+    rows = df.select(F.struct("*").alias("row"), F.col(id).alias("key"))  # names of the row's columns can't clash
+    return rows.join(gone, F.col("key") == F.col("gone"), "left_anti").select("row.*")

@@ -405,3 +405,71 @@ def test_near_copies_at_80_percent_are_dropped_at_80(spark):
     assert [near_dedup.rows_for(p) for p in (80, 85)] == [5, 6]
     assert all(near_dedup.missed(p, near_dedup.rows_for(p)) < 1e-6 for p in range(50, 101))
     assert sorted(r["doc_id"] for r in near_dedup.drop_near_duplicates(df, percent=80).collect()) == list(range(0, 400, 2))
+
+
+@pytest.fixture(scope="module")
+def clashing(spark, documents, tmp_path_factory):
+    """Documents in six files, with columns named as the operators name theirs; some rows twice."""
+    own = {c: F.lit(c) for c in ("row_key", "key", "row", "copy", "gone", "_lang_pred", "_lang_score", "pred", "score")}
+    path = f"file://{tmp_path_factory.mktemp('clash')}/documents.parquet"
+    df = documents.withColumns(own)
+    df.union(df.filter("doc_id % 9 = 0")).repartition(6).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+STAGE_FUNCTIONS = {
+    "language_id": langid.reject_unknown,
+    "exact_dedup": exact_dedup.drop_duplicates,
+    "near_dedup": near_dedup.drop_near_duplicates,
+    "mixing": mixing.take,
+}
+
+
+@pytest.mark.parametrize("name", STAGE_FUNCTIONS)
+def test_stages_keep_columns_whose_names_clash(clashing, name):
+    got = STAGE_FUNCTIONS[name](clashing)
+    assert got.columns == clashing.columns
+    for r in got.limit(50).collect():
+        assert all(r[c] == c for c in clashing.columns[5:])
+
+
+@pytest.mark.parametrize("stage", ["exact_dedup", "mixing"])
+def test_rows_hold_when_splits_are_planned_anew(spark, clashing, stage):
+    """Spark cuts splits by the cores there are: with others at run time than when the plan was made, rows stay the same."""
+    cores = "spark.sql.leafNodeDefaultParallelism"
+    try:
+        spark.conf.set(cores, "1")
+        planned = STAGE_FUNCTIONS[stage](clashing)
+        spark.conf.set(cores, "8")
+        got = Counter(r["doc_id"] for r in planned.select("doc_id").collect())
+    finally:
+        spark.conf.unset(cores)
+    rows = [(r["doc_id"], r["text"] or "") for r in clashing.select("doc_id", "text").collect()]
+    if stage == "exact_dedup":
+        assert got == Counter({max(i for i, x in rows if x == t): 1 for _, t in set(rows)})
+    else:
+        copies = Counter()
+        for r in mixing.mix(clashing).collect():
+            copies[r["doc_id"]] += r["copies"]
+        assert got == +copies
+
+
+def test_pipeline_by_value(spark, documents):
+    """What the last two stages return: copies as the mix says, and all of their tokens in their places."""
+    docs = documents
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        docs = stage(spark, docs, FOLDER)
+    docs = spark.createDataFrame(docs.collect(), docs.schema)
+    copies = {r["doc_id"]: r["copies"] for r in mixing.mix(docs).collect()}
+    texts = dict(texts_of(docs))
+    want = Counter()
+    for i, n in copies.items():
+        ids = encoded(WORDS, texts[i], 0)
+        want.update({(i, k, at, len(ids[at : at + 2048]), crc(ids[at : at + 2048])): n for k, at in enumerate(range(0, len(ids), 2048))})
+    got = corpus_pipeline.run(spark, FOLDER).collect()
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == +want
+    at = Counter()
+    for r in sorted(got, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == at[r["sequence_id"]]
+        at[r["sequence_id"]] += r["length"]
+    assert max(at.values()) <= 2048
