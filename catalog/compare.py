@@ -64,6 +64,18 @@ def overlay_by_week(t):
     return lf.overlay({"orders": orders, "shipments": shipments}, "day", bucket="week", kind="line")
 
 
+@query(
+    "C3_overlay_every_category",
+    """SELECT name, cast(count(*) FILTER (f = 0) AS bigint) AS orders, cast(count(*) FILTER (f = 1) AS bigint) AS shipments FROM
+    (SELECT strftime(o_orderdate, '%Y-%m-%d') AS name, 0 AS f FROM orders
+     UNION ALL SELECT strftime(l_shipdate, '%Y-%m-%d'), 1 FROM lineitem) GROUP BY name""",
+)
+def overlay_every_category(t):
+    orders = t.orders.select(F.col("o_orderdate").alias("day"))
+    shipments = t.lineitem.select(F.col("l_shipdate").alias("day"))
+    return lf.overlay({"orders": orders, "shipments": shipments}, "day", bucket="day", kind="line", limit=None)
+
+
 @query(
     "C4_overlay_filtered",
     """SELECT event_type AS name, cast(count(*) FILTER (value >= 50) AS bigint) AS high, cast(count(*) FILTER (value < 50) AS bigint) AS low
@@ -115,6 +127,21 @@ def row_diff_repeated(t):
     return lf.row_diff(a, b, "key").select("key", "status", "duplicated")
 
 
+@query(
+    "C6_row_diff_unpositioned",
+    """WITH a AS (SELECT user_id AS key, min(event_type) AS kind, count(*) AS n FROM events GROUP BY 1),
+            b AS (SELECT user_id + 5 AS key, min(event_type) AS kind, count(*) AS n FROM events WHERE value > 1 GROUP BY 1)
+    SELECT cast(coalesce(a.key, b.key) AS varchar) AS key, CASE WHEN b.key IS NULL THEN 'removed' WHEN a.key IS NULL THEN 'added'
+           WHEN a.kind <> b.kind THEN 'changed' ELSE 'unchanged' END AS status, coalesce(a.n, 0) > 1 OR coalesce(b.n, 0) > 1 AS duplicated
+    FROM a FULL OUTER JOIN b ON a.key = b.key""",
+)
+def row_diff_unpositioned(t):
+    # Keys that many rows share, in tables without an order: the smallest row of a key counts.
+    a = t.events.select(F.col("user_id").alias("key"), F.col("event_type").alias("kind"))
+    b = t.events.filter("value > 1").select((F.col("user_id") + 5).alias("key"), F.col("event_type").alias("kind"))
+    return lf.row_diff(a, b, "key").select("key", "status", "duplicated")
+
+
 @query(
     "C7_changed_fields",
     f"""{_DIFF} SELECT cast(key AS varchar) AS key, 'status' AS field, s1 AS "from", s2 AS "to" FROM diff WHERE state = 'changed' AND s1 <> s2

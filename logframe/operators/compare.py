@@ -74,7 +74,7 @@ def overlay(
     ``filters`` holds each table's own conditions. A dimension or measure the tables do not share
     falls back to the first shared one. Ordered by the total over all tables (bar) or by name
     (line); ``limit=None`` keeps every category. All tables meet in one shuffle of partial
-    aggregates.
+    aggregates; categories that all tables store alike are named afterwards, once each.
     """
     if agg not in AGGREGATIONS:
         raise ValueError(f"unknown aggregation {agg!r}")
@@ -86,11 +86,15 @@ def overlay(
     dim = dim if dim in shared else shared[0]
     measure = None if agg == "count" else measure if measure in numeric else next(iter(numeric), None)
 
+    stored = {(field_of(t, dim).stored, field_of(t, dim).type) for t in frames}
+    named_later = len(stored) == 1
+    _, name_of = dimension(field_of(frames[0], dim), bucket)
+
     def tagged(i: int, name: str) -> DataFrame:
         t = filter_all(tables[name], (filters or {}).get(name, ()))
         key, label = dimension(field_of(t, dim), bucket)
         return t.select(
-            label(key).alias("name"),
+            (key if named_later else label(key)).alias("name"),
             measure_column(t, agg, measure).alias("m"),
             F.lit(i).alias("t"),
             (F.col(ROW_ID) if has_row_id(t) else F.lit(0)).cast("bigint").alias("r"),
@@ -108,6 +112,8 @@ def overlay(
         *(series(i).alias(f"_s{i}") for i in range(len(frames))),
         *(F.min(F.when(F.col("t") == i, F.col("r"))).alias(f"_f{i}") for i in range(len(frames))),
     )
+    if named_later:
+        grouped = grouped.withColumn("name", name_of(F.col("name")))
     if kind == "line":
         grouped = grouped.withColumn("_natural", values.natural_key(F.col("name")))
         order = [F.asc("_natural"), F.asc("name")]

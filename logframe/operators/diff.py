@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from logframe.functions import values
 from logframe.operators.compare import common_columns
 from logframe.schema import NUMBER, ROW_ID, Field, any_of, field_of, fields_of, has_row_id
+from logframe.session import materialize
 
 # Fixed value: rows listed per status.
 SAMPLE = 20
@@ -43,8 +44,10 @@ def row_diff(a: DataFrame, b: DataFrame, key: str | None = None) -> DataFrame |
     counts. Blank cells are equal to each other, and cells are compared as text. A key that is
     missing from either table gives None.
 
-    Repeated keys collapse in a map-side aggregate, so a hot key never meets in one task, and the
-    full outer join reuses the partitioning of the two aggregates.
+    Keys are counted first, in a hash aggregate over the key and the position alone. Only the keys
+    that a table repeats are kept, with the position of their first row; they are written, and each
+    row of such a key other than the first drops out before any row is moved. So a table is dealt by
+    key once, for the full outer join, and a hot key never meets in one task.
     """
     shared = common_columns([a, b])
     if key is None:
@@ -96,14 +99,28 @@ def _first_rows(df: DataFrame, key: Field, compared: list[Field], native: bool)
     """One row per key: the first by position, or the smallest when the table has no row order."""
     k = values.group_key(key)[0] if native else values.text(key)
     at = F.col(ROW_ID) if has_row_id(df) else F.lit(None).cast("bigint")
+    keyed = df.filter(~values.is_blank(key))
+    repeated = _repeated_keys(keyed.select(k.alias("k"), at.alias("at")))
     cells = [(values.text(f) if f.is_text else f.col).alias(f"c{i}") for i, f in enumerate(compared)]
-    row = F.struct(at.alias("_at"), *cells)
-    return (
-        df.filter(~values.is_blank(key))
-        .select(k.alias("k"), row.alias("row"))
-        .groupBy("k")
-        .agg(F.min("row").alias("row"), F.count("*").alias("n"))
-    )
+    rows = keyed.select(k.alias("k"), F.struct(at.alias("_at"), *cells).alias("row"))
+    if repeated is None:
+        return rows.withColumn("n", F.lit(1).cast("bigint"))
+    told = rows.join(repeated, F.col("k") == F.col("again"), "left")
+    kept = told.filter(F.col("first").isNull() | (F.col("row._at") == F.col("first")))
+    # What is left of a key without positions, or with a position twice: its smallest row. Each task passes on one.
+    place = F.row_number().over(W.partitionBy("k").orderBy("row"))
+    return kept.withColumn("place", place).filter("place = 1").select("k", "row", F.coalesce("n", F.lit(1).cast("bigint")).alias("n"))
+
+
+def _repeated_keys(keys: DataFrame) -> DataFrame | None:
+    """Keys that several rows share (``again``), with their number and first position; None if there are none.
+
+    A table of its own, so that the join with the rows knows its size: a small one is broadcast by
+    Spark, with a large one the rows of a hot key are split between tasks.
+    """
+    counted = keys.groupBy(F.col("k").alias("again")).agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    found = materialize(counted.filter("n > 1"))
+    return None if found.isEmpty() else found
 
 
 def _cell(side: str, i: int) -> Column:

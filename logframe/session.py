@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -59,13 +60,26 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/logframe/{uuid.uuid4().hex}"
 
 
+_written: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _delete_written() -> None:
+    for spark, path in _written:
+        with contextlib.suppress(Exception):  # the session may have ended already
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once to shared storage and read it back, cutting its lineage.
 
     Every later use reads the same files, so values that depend on the physical layout
-    (partition numbers, row positions) stay fixed even when an executor is lost.
+    (partition numbers, row positions) stay fixed even when an executor is lost. The files are
+    deleted when the session's Python process ends, as results may be read until then.
     """
     spark = df.sparkSession
     path = scratch_dir(spark)
+    _written.append((spark, path))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
