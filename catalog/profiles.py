@@ -146,6 +146,20 @@ def top_values(t):
     return lf.top_values(t.orders).withColumn("share", F.round("share", 4))
 
 
+@query(
+    "S4_top_values_skewed",
+    _top_sql("skewed", {"host": "v", "page": "v"}).replace("SELECT 'host'", """WITH skewed AS (
+      SELECT CASE WHEN l_orderkey % 2 = 0 THEN 'h' || cast(l_linenumber AS varchar) ELSE 'rare' || cast(l_orderkey AS varchar) || '-' || cast(l_partkey AS varchar) END AS host,
+             'p' || cast(l_orderkey AS varchar) AS page FROM lineitem) SELECT 'host'""", 1).replace("total, 4)", "total, 9)"),
+)
+def top_values_skewed(t):
+    # One column with few frequent values among very many rare ones, one with none that stands out.
+    rare = F.concat_ws("-", F.concat(F.lit("rare"), F.col("l_orderkey").cast("string")), F.col("l_partkey").cast("string"))
+    host = F.when(F.col("l_orderkey") % 2 == 0, F.concat(F.lit("h"), F.col("l_linenumber").cast("string"))).otherwise(rare)
+    rows = t.lineitem.select(host.alias("host"), F.concat(F.lit("p"), F.col("l_orderkey").cast("string")).alias("page"))
+    return lf.top_values(rows).withColumn("share", F.round("share", 9))
+
+
 @query(
     "S5_value_share",
     """SELECT lang AS value, cast(count(*) AS bigint) AS count, round(count(*) / (SELECT count(lang) FROM documents), 6) AS share

@@ -1,16 +1,16 @@
 """Column profiles: counts, distinct values, histograms and most frequent values.
 
-Each column is read and grouped on its own and the small results are united. A columnar source
-reads the same bytes as one pass would, every value groups in its native type, and no row is
-multiplied by the number of columns. Write text sources to a columnar table before profiling.
+However many columns a profile covers, the table is read in one pass (top values: two). Each row
+becomes its cells, as (column, value) in a common form, and a partial aggregate reduces these to the
+distinct values of the task before anything is moved. Counts, extremes and sums then come from the
+distinct values and their numbers.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from logframe.functions import values
 from logframe.schema import NUMBER, ROW_ID, Field, fields_of, has_row_id
@@ -20,6 +20,9 @@ BINS = 12
 TOP_VALUES = 5
 DISTINCT_FLOOR = 10_000
 
+#: Counters of a column's sketch of frequent values, and how many of the values it tracks it lists.
+SKETCH, LISTED = 8192, 1000
+
 
 def _chosen(df: DataFrame, keys: Iterable[str] | None, numeric: bool | None = None) -> list[Field]:
     wanted = None if keys is None else set(keys)
@@ -30,8 +33,77 @@ def _chosen(df: DataFrame, keys: Iterable[str] | None, numeric: bool | None = No
     ]
 
 
-def _union(parts: list[DataFrame], df: DataFrame, schema: str) -> DataFrame:
-    return reduce(DataFrame.union, parts) if parts else df.sparkSession.createDataFrame([], schema)
+#: The forms a cell's value takes: one of them is set, none of a blank cell.
+_FORMS = {"whole": "bigint", "real": "double", "word": "string"}
+
+
+def _form(f: Field) -> tuple[str, Column]:
+    """The common form of a cell with one value per distinct ``text(f)``, and in which of the three it is."""
+    c, _ = values.group_key(f)
+    if isinstance(f.stored, (T.IntegralType, T.BooleanType)):
+        return "whole", c.cast("bigint")
+    if isinstance(f.stored, T.DateType):
+        return "whole", F.unix_date(c).cast("bigint")
+    if isinstance(f.stored, T.TimestampType):
+        return "whole", F.unix_micros(c)
+    if isinstance(f.stored, (T.DoubleType, T.FloatType)):
+        return "real", c.cast("double")
+    return "word", c if f.is_text else c.cast("string")
+
+
+def _original(f: Field) -> Column:
+    """A value in its common form as the column's own type."""
+    if isinstance(f.stored, T.DateType):
+        return F.date_from_unix_date(F.col("whole").cast("int"))
+    if isinstance(f.stored, T.TimestampType):
+        return F.timestamp_micros("whole")
+    return F.col(_form(f)[0]).cast(f.stored)
+
+
+def _number(f: Field) -> Column:
+    """A value in its common form as a number; NULL if it is none."""
+    if f.is_text:
+        return values.parse_number(F.col("word"))
+    return F.nullif(F.col(_form(f)[0]).cast("double"), F.lit(float("nan")))
+
+
+def _cells(df: DataFrame, chosen: list[Field], *also: str, only: dict[int, list] | None = None) -> DataFrame:
+    """One row per cell: ``slot`` (the column's place in ``chosen``), its value in one of three forms, and ``also``.
+
+    Of the columns in ``only`` the other values than those named are left blank.
+    """
+
+    def cell(slot: int, f: Field) -> Column:
+        form, value = _form(f)
+        if only and slot in only:
+            value = F.when(value.isin(*only[slot]), value)
+        return F.struct(F.lit(slot).alias("slot"), *((value if name == form else F.lit(None)).cast(kind).alias(name) for name, kind in _FORMS.items()))
+
+    return df.select(*also, F.inline(F.array(*(cell(i, f) for i, f in enumerate(chosen)))))
+
+
+def _by_slot(chosen: list[Field], build) -> Column:
+    """``build(field)`` of the row's column; None stands for NULL. Columns with the same expression share a branch."""
+    branches: dict[str, tuple[Column, list[int]]] = {}
+    for i, f in enumerate(chosen):
+        made = build(f)
+        if made is not None:
+            branches.setdefault(str(made), (made, []))[1].append(i)
+    out = None
+    for made, slots in branches.values():
+        here = F.col("slot").isin(*slots)
+        out = F.when(here, made) if out is None else out.when(here, made)
+    return F.lit(None) if out is None else out
+
+
+def _is_filled() -> Column:
+    return F.col("whole").isNotNull() | F.col("real").isNotNull() | F.col("word").isNotNull()
+
+
+def _labelled(df: DataFrame, chosen: list[Field], measured: DataFrame) -> DataFrame:
+    """The columns with what was measured of each, one row a column at most, in the table's order."""
+    labels = df.sparkSession.createDataFrame([(i, f.key, f.type) for i, f in enumerate(chosen)], "slot int, key string, type string")
+    return labels.join(F.broadcast(measured), "slot", "left")
 
 
 _STATS_SCHEMA = (
@@ -43,78 +115,62 @@ _STATS_SCHEMA = (
 def column_stats(df: DataFrame, keys: Iterable[str] | None = None, approximate: bool = False) -> DataFrame:
     """One row per column: filled, blank and distinct cells, and for numbers min, max, mean, sum.
 
-    Distinct counts are exact; ``approximate=True`` trades that for a single pass without a shuffle
-    of the values.
+    Distinct counts are exact; ``approximate=True`` trades that for a pass without a shuffle of the
+    values.
     """
-    build = _approximate_stats if approximate else _exact_stats
-    return _union([build(df, f) for f in _chosen(df, keys)], df, _STATS_SCHEMA)
-
-
-def _numeric_of(f: Field, key: Column) -> Column:
-    """Number of a group key; the key of a raw column is its text."""
-    if f.type != NUMBER:
-        return F.lit(None).cast("double")
-    if f.is_text:
-        return values.parse_number(key)
-    return F.nullif(key.cast("double"), F.lit(float("nan")))
-
+    chosen = _chosen(df, keys)
+    if not chosen:
+        return df.sparkSession.createDataFrame([], _STATS_SCHEMA)
+    return (_approximate_stats if approximate else _exact_stats)(df, chosen)
 
-def _present(f: Field) -> Column:
-    """The cell, NULL when blank, in the cheapest form with one value per distinct text."""
-    key, _ = values.group_key(f)
-    return key
 
+def _exact_stats(df: DataFrame, chosen: list[Field]) -> DataFrame:
+    x = _by_slot(chosen, lambda f: _number(f) if f.type == NUMBER else None).cast("double")
+    groups = _distinct(df, chosen).withColumns({"x": x, "filled": _is_filled()})
+    n, x, filled = F.col("n"), F.col("x"), F.col("filled")
+    count = lambda which: F.coalesce(F.sum(F.when(which, n)), F.lit(0)).cast("bigint")
+    total = F.sum(x * n)
+    measured = groups.groupBy("slot").agg(
+        count(filled).alias("count"),
+        count(~filled).alias("null_count"),
+        F.count_if(filled).alias("distinct_count"),
+        F.min(x).alias("min"),
+        F.max(x).alias("max"),
+        (total / F.sum(F.when(x.isNotNull(), n))).alias("mean"),
+        total.alias("sum"),
+    )
+    none = {c: F.coalesce(c, F.lit(0).cast("bigint")) for c in ("count", "null_count", "distinct_count")}
+    return _labelled(df, chosen, measured).withColumns(none).drop("slot")
 
-def _stats_row(f: Field, count: Column, nulls: Column, distinct: Column, numbers: list[Column]) -> list[Column]:
-    names = ("min", "max", "mean", "sum")
-    return [
-        count.cast("bigint").alias("count"),
-        nulls.cast("bigint").alias("null_count"),
-        distinct.cast("bigint").alias("distinct_count"),
-        *(n.alias(name) for n, name in zip(numbers, names)),
-    ]
 
+def _distinct(df: DataFrame, chosen: list[Field]) -> DataFrame:
+    """Distinct values by column with their number of cells ``n``."""
+    return _cells(df, chosen).groupBy("slot", *_FORMS).agg(F.count("*").alias("n"))
 
-def _labelled(row: DataFrame, f: Field) -> DataFrame:
-    return row.select(F.lit(f.key).alias("key"), F.lit(f.type).alias("type"), "*")
 
+def _approximate_stats(df: DataFrame, chosen: list[Field]) -> DataFrame:
+    def of(f: Field, i: int) -> list[Column]:
+        v = values.group_key(f)[0]
+        x = values.parse_number(v) if f.is_text else F.nullif(v.cast("double"), F.lit(float("nan")))
+        numbers = [F.min(x), F.max(x), F.avg(x), F.sum(x)] if f.type == NUMBER else [F.lit(None).cast("double")] * 4
+        parts = [F.count(v), F.count_if(v.isNull()), F.approx_count_distinct(v), *numbers]
+        names = ("count", "null_count", "distinct_count", "min", "max", "mean", "sum")
+        return F.struct(F.lit(f.key).alias("key"), F.lit(f.type).alias("type"), *(p.alias(name) for p, name in zip(parts, names)))
 
-def _exact_stats(df: DataFrame, f: Field) -> DataFrame:
-    groups = df.groupBy(_present(f).alias("v")).agg(F.count("*").alias("n"))
-    v, n = F.col("v"), F.col("n")
-    filled = F.coalesce(F.sum(F.when(v.isNotNull(), n)), F.lit(0))
-    blank = F.coalesce(F.sum(F.when(v.isNull(), n)), F.lit(0))
-    x = _numeric_of(f, v)
-    total = F.sum(x * n)
-    numbers = [F.min(x), F.max(x), total / F.sum(F.when(x.isNotNull(), n)), total]
-    return _labelled(groups.agg(*_stats_row(f, filled, blank, F.count(v), numbers)), f)
-
-
-def _approximate_stats(df: DataFrame, f: Field) -> DataFrame:
-    v = F.col("v")
-    x = _numeric_of(f, v)
-    row = _stats_row(
-        f,
-        F.count(v),
-        F.count_if(v.isNull()),
-        F.approx_count_distinct(v),
-        [F.min(x), F.max(x), F.avg(x), F.sum(x)],
-    )
-    return _labelled(df.select(_present(f).alias("v")).agg(*row), f)
+    return df.agg(F.array(*(of(f, i) for i, f in enumerate(chosen))).alias("rows")).select(F.inline("rows"))
 
 
 def distinct_counts(df: DataFrame, keys: Iterable[str] | None = None) -> DataFrame:
     """Distinct cells per column, and the bounded form shown as "10,000+"."""
-    parts = []
-    for f in _chosen(df, keys):
-        n = df.select(_present(f).alias("v")).distinct().agg(F.count("v").alias("distinct_count"))
-        parts.append(n.select(F.lit(f.key).alias("key"), "distinct_count"))
-    counts = _union(parts, df, "key string, distinct_count bigint")
-    n = F.col("distinct_count")
-    return counts.select(
+    chosen = _chosen(df, keys)
+    if not chosen:
+        return df.sparkSession.createDataFrame([], "key string, distinct_count bigint, shown_count bigint, capped boolean")
+    measured = _distinct(df, chosen).groupBy("slot").agg(F.count_if(_is_filled()).alias("distinct_count"))
+    n = F.coalesce("distinct_count", F.lit(0).cast("bigint"))
+    return _labelled(df, chosen, measured).select(
         "key",
-        "distinct_count",
-        F.least(n, F.lit(DISTINCT_FLOOR)).alias("shown_count"),
+        n.alias("distinct_count"),
+        F.least(n, F.lit(DISTINCT_FLOOR).cast("bigint")).alias("shown_count"),
         (n > DISTINCT_FLOOR).alias("capped"),
     )
 
@@ -178,42 +234,64 @@ def bin_bounds(low: float, high: float, index: int, bins: int = BINS) -> tuple[f
     return low + index * width, high if index == bins - 1 else low + (index + 1) * width
 
 
+_TOP_SCHEMA = "key string, value string, count bigint, share double, total bigint, others_count bigint"
+
+
 def top_values(df: DataFrame, keys: Iterable[str] | None = None, n: int | None = TOP_VALUES) -> DataFrame:
     """Most frequent values of each non-numeric column, with their share and the rest's count; all with ``n=None``.
 
     Equal counts keep the order of first appearance (``_row_id``), or of the values without one.
+
+    The table is read twice. The first pass counts filled cells and sketches each column's frequent
+    values. Where the sketch's error bound proves which values can be among the first ``n``, the
+    second pass counts only these, so that nothing else of the column is moved; of the other columns
+    it counts every value. Counts are exact either way. The first pass runs at once.
     """
     chosen = _chosen(df, keys, numeric=False)
     if not chosen:
-        return df.sparkSession.createDataFrame(
-            [], "key string, value string, count bigint, share double, total bigint, others_count bigint"
-        )
-    # Totals need no grouping: one pass that counts filled cells.
-    totals = df.agg(F.struct(*(F.count(values.blank_to_null(f.col) if f.is_text else f.col).alias(f"t{i}") for i, f in enumerate(chosen)))).scalar()
-    parts = []
-    for i, f in enumerate(chosen):
-        first = F.min(ROW_ID) if has_row_id(df) else F.lit(0)
-        groups = df.groupBy(_present(f).alias("v")).agg(F.count("*").alias("count"), first.alias("_first"))
-        filled = groups.filter(F.col("v").isNotNull())
-        printed = F.col("v") if f.is_text else values.native_text(F.col("v"), f.stored)
-        if n is None:
-            share = (F.col("count") / totals[f"t{i}"]).alias("share")
-            total = F.lit(totals[f"t{i}"])
-            parts.append(filled.select(F.lit(f.key).alias("key"), printed.alias("value"), "count", share, total.alias("total"), F.lit(0).cast("long").alias("others_count")))
-            continue
-        top = filled.orderBy(F.desc("count"), "_first", "v").limit(n)
-        kept = top.agg(F.sum("count").alias("kept"), F.collect_list(F.struct(printed.alias("value"), "count")).alias("rows"))
-        parts.append(
-            kept.select(F.inline("rows"), "kept").select(
-                F.lit(f.key).alias("key"),
-                "value",
-                "count",
-                (F.col("count") / totals[f"t{i}"]).alias("share"),
-                totals[f"t{i}"].alias("total"),
-                (totals[f"t{i}"] - F.col("kept")).alias("others_count"),
-            )
-        )
-    return reduce(DataFrame.union, parts)
+        return df.sparkSession.createDataFrame([], _TOP_SCHEMA)
+    totals, only = _frequent(df, chosen, n)
+    also = [ROW_ID] if has_row_id(df) else []
+    first = F.min(ROW_ID) if also else F.lit(0).cast("bigint")
+    groups = _cells(df, chosen, *also, only=only).filter(_is_filled()).groupBy("slot", *_FORMS).agg(F.count("*").alias("count"), first.alias("_first"))
+    total = _by_slot(chosen, lambda f: F.lit(totals[f.key]).cast("bigint"))
+    shown = _by_slot(chosen, lambda f: F.col("word") if f.is_text else values.native_text(_original(f), f.stored))
+    key = F.get(F.array(*(F.lit(f.key) for f in chosen)), F.col("slot"))
+    count = F.col("count")
+    if n is None:
+        rest = F.lit(0).cast("bigint")
+        return groups.select(key.alias("key"), shown.alias("value"), "count", (count / total).alias("share"), total.alias("total"), rest.alias("others_count"))
+    # Each task passes on the first n of a column, so no column is gathered.
+    order = W.partitionBy("slot").orderBy(F.desc("count"), "_first", "whole", "word")
+    top = groups.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= n)
+    rest = total - F.sum("count").over(W.partitionBy("slot"))
+    named = top.select("slot", "place", key.alias("key"), shown.alias("value"), "count", (count / total).alias("share"), total.alias("total"), rest.alias("others_count"))
+    return named.orderBy("slot", "place").drop("slot", "place")
+
+
+def _frequent(df: DataFrame, chosen: list[Field], n: int | None) -> tuple[dict[str, int], dict[int, list]]:
+    """Filled cells of each column, and for each column where that is proven the values that may be among the first n.
+
+    A sketch of S counters has no count too low and none too high by more than 3.5 / S of the rows it
+    has seen, merged sketches included; a value it does not list occurs no more often than that. With
+    e for this error, the n-th count listed less e is a floor: n values occur that often at least. If
+    the floor is above e, values that are not listed lie below it, and so do those listed below it.
+    """
+    sketch = lambda c: F.call_function("approx_top_k", c, F.lit(LISTED), F.lit(SKETCH * 3 // 4))
+    forms = [_form(f)[1] for f in chosen]
+    passed = [F.count(c).alias(f"t{i}") for i, c in enumerate(forms)]
+    if n is not None:
+        passed += [sketch(c).alias(f"s{i}") for i, c in enumerate(forms)]
+    row = df.agg(F.count("*").alias("rows"), *passed).first()
+    error = 3.5 / SKETCH * row["rows"]
+    only = {}
+    for i in range(len(chosen)) if n else ():
+        listed = [(x["item"], x["count"]) for x in row[f"s{i}"]]
+        seen = [c for v, c in listed if v is not None]
+        floor = seen[n - 1] - error if len(seen) >= n else 0
+        if floor > error and (len(listed) < LISTED or listed[-1][1] < floor):
+            only[i] = [v for v, c in listed if v is not None and c >= floor]
+    return {f.key: row[f"t{i}"] for i, f in enumerate(chosen)}, only
 
 
 def column_kinds(df: DataFrame) -> DataFrame:
