@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 import logframe as lf
 from catalog.registry import query
 from catalog.tables import SPARSE_SQL, sparse_events
@@ -72,3 +74,25 @@ def page(t):
 )
 def deep_page(t):
     return lf.page(lf.with_row_id(t.orders, "o_orderkey"), [("o_totalprice", "asc")], 12_000, 50).select("o_orderkey", "o_totalprice")
+
+
+@query(
+    "O1_sort_text",
+    "SELECT event_id, event_type, row_number() OVER (ORDER BY event_type DESC, event_id) - 1 AS position FROM events",
+)
+def sort_text(t):
+    # The sort of a text column by its dictionary, numbered as sorted.
+    rows = lf.multi_sort(lf.with_row_id(t.events, "event_id"), [("event_type", "desc")]).select("event_id", "event_type")
+    place = rows.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"))
+    return lf.with_position(place, [(F.col("part"), "asc"), (F.col("at"), "asc")]).select("event_id", "event_type", "position")
+
+
+@query(
+    "O4_page_without_positions",
+    """SELECT l_orderkey, l_partkey, l_quantity, l_shipdate FROM lineitem
+    ORDER BY l_shipdate DESC, l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus
+    LIMIT 100 OFFSET 30000""",
+)
+def page_without_positions(t):
+    # Ties of the ship date fall to the values of all columns.
+    return lf.page(t.lineitem, [("l_shipdate", "desc")], 30_000, 100).select("l_orderkey", "l_partkey", "l_quantity", "l_shipdate")
