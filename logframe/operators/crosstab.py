@@ -10,6 +10,7 @@ from logframe.functions import values
 from logframe.functions.ranges import Ranges, readable_ranges
 from logframe.operators.aggregate import measure_column
 from logframe.schema import NUMBER, Field, field_of, fields_of
+from logframe.session import materialize
 
 # Distinct values per axis, and the name of the group that takes the rest.
 AXIS_LIMIT = 20
@@ -41,7 +42,10 @@ def crosstab(
     Rows with a blank in either column are left out; empty cells are 0. Totals come from the rows,
     so an average total is a true average. An unknown column gives None.
 
-    The axes, 20 entries each at most, are looked up first, as ``DataFrame.pivot`` does.
+    The rows are read once: they are reduced to one row per pair of values, with its count, sum and
+    number of measured cells, and written. The axes, 20 entries each at most, are looked up in these
+    pairs, as ``DataFrame.pivot`` does with its values; cells, totals and the collected rest add them
+    up.
     """
     if agg not in ("count", "sum", "avg"):
         raise ValueError(f"unknown aggregation {agg!r}")
@@ -60,15 +64,13 @@ def crosstab(
         ),
         measure_column(df, agg, measure).alias("m"),
     )
-    axes = _axes(keyed, fields, ranged)
+    pairs = materialize(keyed.groupBy("row", "col").agg(F.count("*").alias("n"), F.sum("m").alias("s"), F.count("m").alias("k")))
+    axes = _axes(pairs, fields, ranged)
 
-    placed = keyed
+    placed = pairs
     for axis in axes.values():
         placed = axis.place(placed)
-    # At most 20 x 20 groups leave the scan; totals add these up, never the rows again.
-    cells = placed.groupBy("row_at", "col_at").agg(
-        F.count("*").alias("n"), F.sum("m").alias("s"), F.count("m").alias("k")
-    )
+    cells = placed.groupBy("row_at", "col_at").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("k").alias("k"))
     totals = cells.cube("row_at", "col_at").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("k").alias("k"))
     value = {
         "count": F.col("n").cast("double"),
@@ -117,12 +119,12 @@ class _Axis:
         return joined.fillna(len(self.kept), [at]) if self.others else joined
 
 
-def _axes(keyed: DataFrame, fields: dict[str, Field], ranged: dict[str, bool]) -> dict[str, _Axis]:
+def _axes(pairs: DataFrame, fields: dict[str, Field], ranged: dict[str, bool]) -> dict[str, _Axis]:
     """Both axes in one job: the two lookups are subqueries of a single row."""
     lookups = {
-        side: _span(keyed, side) if ranged[side] else _frequent(keyed, side, fields[side]) for side in fields
+        side: _span(pairs, side) if ranged[side] else _frequent(pairs, side, fields[side]) for side in fields
     }
-    found = keyed.sparkSession.range(0, 1, 1, 1).select(*(q.alias(side) for side, q in lookups.items())).first()
+    found = pairs.sparkSession.range(0, 1, 1, 1).select(*(q.alias(side) for side, q in lookups.items())).first()
     out = {}
     for side, f in fields.items():
         stored = T.StringType() if f.is_text else f.stored
@@ -137,12 +139,12 @@ def _axes(keyed: DataFrame, fields: dict[str, Field], ranged: dict[str, bool]) -
     return out
 
 
-def _frequent(keyed: DataFrame, side: str, f: Field) -> Column:
+def _frequent(pairs: DataFrame, side: str, f: Field) -> Column:
     """The most frequent values, one more than an axis holds, as a small array."""
     text = F.col("v") if f.is_text else values.native_text(F.col("v"), f.stored)
     top = (
-        keyed.groupBy(F.col(side).alias("v"))
-        .agg(F.count("*").alias("n"))
+        pairs.groupBy(F.col(side).alias("v"))
+        .agg(F.sum("n").alias("n"))
         .select("v", (-F.col("n")).alias("n"), text.alias("text"))
         .withColumn("natural", values.natural_key(F.col("text")))
         .orderBy("n", "natural", "text")
@@ -151,11 +153,11 @@ def _frequent(keyed: DataFrame, side: str, f: Field) -> Column:
     return top.agg(F.array_sort(F.collect_list(F.struct("n", "natural", "text", "v")))).scalar()
 
 
-def _span(keyed: DataFrame, side: str) -> Column:
+def _span(pairs: DataFrame, side: str) -> Column:
     """Smallest and largest finite number."""
     c = F.col(side)
     finite = F.when(F.abs(c) < _INFINITY, c)
-    return keyed.agg(F.struct(F.min(finite).alias("low"), F.max(finite).alias("high"))).scalar()
+    return pairs.agg(F.struct(F.min(finite).alias("low"), F.max(finite).alias("high"))).scalar()
 
 
 _COLUMNS = [
