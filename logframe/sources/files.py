@@ -12,7 +12,7 @@ import re
 from collections.abc import Iterable, Iterator, Sequence
 from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 # Accepted file name endings and delimiters tried.
 EXTENSIONS = (".csv", ".tsv", ".log", ".txt")
@@ -71,11 +71,15 @@ def lines_of(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
 def detect(lines: DataFrame) -> DataFrame:
     """Per file: ``file``, ``name``, ``size``, ``encoding``, ``multi_line``, ``delimiter``; every line counts.
 
-    One hash aggregate, as all its columns have fixed width. A byte-order mark decides the encoding,
-    else whether the bytes are valid UTF-8; windows-1252 is what remains. A file is multi-line if a
-    cell that opens with a quote is still open at the end of some line. The delimiter is the one that
-    cuts the lines most evenly (least variance of the field counts, then most fields); one that gives
-    fewer than two fields on average is no candidate, and with none left it is the comma.
+    A byte-order mark decides the encoding, else whether the bytes are valid UTF-8; windows-1252 is
+    what remains. A file is multi-line if a cell that opens with a quote is still open at the end of
+    some line. The delimiter is the one under which most lines have as many fields as the header, the
+    first line with a visible cell; of equals the one whose most frequent field count has most lines,
+    then the one that gives the header most fields. One that does not cut the header is no candidate;
+    with none left it is the comma.
+
+    Lines are reduced to one row per file and combination of field counts first, so a long file
+    moves as little as a short one; all columns have fixed width.
     """
     start = F.hex(F.substring(F.col("value").cast("binary"), 1, 2))
     place = F.when(F.col("block") == 0, F.col("place"))
@@ -86,19 +90,33 @@ def detect(lines: DataFrame) -> DataFrame:
     single = F.replace("line", F.lit('""'), F.lit(""))
     left_open = F.contains("line", F.lit('"')) & single.rlike(r'(?:^|[,\t|;]) *"[^"]*$') & (_count(single, '"') % 2 == 1)
     bare = F.when(F.contains("line", F.lit('"')), F.regexp_replace("line", '"[^"]*"', "")).otherwise(F.col("line"))
-    cut = seen.select("*", left_open.alias("open"), F.when(F.trim("line") != "", bare).alias("bare")).select(
-        "*", *((_count(F.col("bare"), d) + 1).cast("double").alias(f"n{i}") for i, d in enumerate(DELIMITERS))
+    filled = F.regexp_like("line", F.lit(r'[^\s,\t|;"]'))
+    counts = [f"n{i}" for i in range(len(DELIMITERS))]
+    cut = seen.select("*", left_open.alias("open"), F.when(filled, F.col("place")).alias("heads"), F.when(F.trim("line") != "", bare).alias("bare")).select(
+        "*", *((_count(F.col("bare"), d) + 1).alias(n) for n, d in zip(counts, DELIMITERS))
     )
-    facts = cut.groupBy("file", "name", "size").agg(
+    shapes = cut.groupBy("file", "name", "size", *counts).agg(
         # A mark counts in the first line only. The line reader drops the mark of UTF-8.
         F.min("place").alias("first"),
         F.min(F.when(F.col("start") == "FFFE", F.col("place"))).alias("little"),
         F.min(F.when(F.col("start") == "FEFF", F.col("place"))).alias("big"),
         F.bool_and("valid").alias("utf8"),
         F.bool_or("open").alias("multi_line"),
-        *(F.avg(f"n{i}").alias(f"mean{i}") for i in range(len(DELIMITERS))),
-        *(F.avg(F.col(f"n{i}") * F.col(f"n{i}")).alias(f"square{i}") for i in range(len(DELIMITERS))),
+        F.min("heads").alias("heads"),
+        F.count("bare").alias("lines"),
     )
+    facts = ("first", "little", "big", "utf8", "multi_line")
+    cases = F.inline(F.array(*(F.struct(F.lit(i).alias("rank"), F.col(n).alias("fields")) for i, n in enumerate(counts))))
+    merged = {"first": F.min, "little": F.min, "big": F.min, "utf8": F.bool_and, "multi_line": F.bool_or}
+    again = [merge(c).alias(c) for c, merge in merged.items()]
+    by_count = shapes.select("file", "name", "size", *facts, "heads", "lines", cases).groupBy("file", "name", "size", "rank", "fields")
+    counted = by_count.agg(*again, F.min("heads").alias("heads"), F.sum("lines").alias("lines"))
+    # One row per field count of a file's delimiter; the header is in the one with the first visible line.
+    header = F.first("fields").over(W.partitionBy("file", "rank").orderBy(F.col("heads").asc_nulls_last()))
+    agreed = F.sum(F.when(F.col("fields") == F.col("header"), F.col("lines")))
+    scored = counted.withColumn("header", header).groupBy("file", "name", "size", "rank").agg(*again, F.max("header").alias("header"), agreed.alias("agreed"), F.max("lines").alias("mode"))
+    one = lambda c, i: F.max(F.when(F.col("rank") == i, F.col(c))).alias(f"{c}{i}")
+    wide = scored.groupBy("file", "name", "size").agg(*again, *(one(c, i) for c in ("header", "agreed", "mode") for i in range(len(DELIMITERS))))
     encoding = (
         F.when(F.col("little") == F.col("first"), "utf-16le")
         .when(F.col("big") == F.col("first"), "utf-16be")
@@ -107,12 +125,11 @@ def detect(lines: DataFrame) -> DataFrame:
     )
 
     def score(i: int, delimiter: str) -> Column:
-        mean = F.col(f"mean{i}")
-        uneven = F.col(f"square{i}") - mean * mean
-        return F.when(mean > 1.99, F.struct(uneven.alias("uneven"), (-mean).alias("narrow"), F.lit(i).alias("rank"), F.lit(delimiter).alias("delimiter")))
+        order = [F.col(f"{c}{i}").alias(c) for c in ("agreed", "mode", "header")]
+        return F.when(F.col(f"header{i}") > 1, F.struct(*order, F.lit(-i).alias("rank"), F.lit(delimiter).alias("delimiter")))
 
-    best = F.least(*(score(i, d) for i, d in enumerate(DELIMITERS)))["delimiter"]
-    return facts.select("file", "name", "size", encoding.alias("encoding"), "multi_line", F.coalesce(best, F.lit(DEFAULT_DELIMITER)).alias("delimiter"))
+    best = F.greatest(*(score(i, d) for i, d in enumerate(DELIMITERS)))["delimiter"]
+    return wide.select("file", "name", "size", encoding.alias("encoding"), "multi_line", F.coalesce(best, F.lit(DEFAULT_DELIMITER)).alias("delimiter"))
 
 
 def _count(text: Column, mark: str) -> Column:
