@@ -196,6 +196,37 @@ def bucket_counts_month(t):
     return days.groupBy("name").agg(F.sum("value").alias("value"))
 
 
+@query(
+    "A14_month_counts",
+    """SELECT strftime(date_trunc('month', o_orderdate), '%Y-%m') AS name, cast(count(*) AS bigint) AS value FROM orders GROUP BY date_trunc('month', o_orderdate)
+    HAVING date_trunc('month', o_orderdate) + INTERVAL 1 MONTH <= (SELECT max(o_orderdate) FROM orders) - INTERVAL 1 HOUR""",
+)
+def month_counts(t):
+    # One row for each month that the watermark has passed.
+    path = lf.scratch_dir(t.spark)
+    t.orders.select(F.concat_ws(" ", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"), F.lit("INFO order"), "o_orderkey")).write.text(path)
+    return _streamed(t, lf.month_counts(lf.ingest_stream(t.spark, path, "app", {"time": "date"}), "time", late="1 hour"))
+
+
+@query(
+    "A14_stream_unlike_headers",
+    """SELECT cast(c_custkey AS double) AS id, c_name AS name, c_acctbal AS balance FROM customer
+    UNION ALL SELECT cast(s_suppkey AS double), s_name || ' é', s_acctbal FROM supplier
+    UNION ALL SELECT cast(n_nationkey AS double), n_name, NULL FROM nation""",
+)
+def stream_unlike_headers(t):
+    # Files of three kinds arrive in one folder: other delimiters, encodings, column orders, a column missing, one too many.
+    folder, path = lf.scratch_dir(t.spark), lf.scratch_dir(t.spark)
+    _written(t.customer.selectExpr("c_custkey AS Id", "c_name AS Name", "c_acctbal AS Balance"), f"{folder}/a")
+    named = t.supplier.select(F.col("s_acctbal").alias("Balance"), F.concat("s_name", F.lit(" é")).alias("Name"), F.col("s_suppkey").alias("Id"))
+    _written(named, f"{folder}/b", sep=";", encoding="ISO-8859-1")
+    _written(t.nation.selectExpr("n_regionkey AS region", "n_name AS name", "n_nationkey AS id"), f"{folder}/c", sep="\t")
+    types = {"id": "number", "balance": "number"}
+    stream = lf.append_delimited(t.spark, f"{folder}/*", path, lf.scratch_dir(t.spark), ["Id", "Name", "Balance"], types, files_per_batch=2)
+    stream.trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.parquet(path).select("id", "name", "balance")
+
+
 @query("A14_stream_delimited", "SELECT cast(event_id AS double) AS id, event_type AS kind, value AS amount FROM events")
 def stream_delimited(t):
     path = _written(t.events.selectExpr("event_id AS ID", "event_type AS Kind", "value AS Amount"), lf.scratch_dir(t.spark), sep="|")
@@ -254,6 +285,20 @@ def detect_delimiter_many(t):
     return found.groupBy(folder.alias("folder"), "delimiter").agg(F.count("*").alias("files"))
 
 
+@query(
+    "A2_ragged_decimal_commas",
+    "SELECT ';' AS delimiter, cast(count(*) AS bigint) AS row_count FROM orders",
+)
+def ragged_decimal_commas(t):
+    # Every line has one comma more than separators would need, and one line of a file is ragged.
+    amount = F.translate(F.col("o_totalprice").cast("string"), ".", ",")
+    cells = [F.col("o_orderkey").cast("string"), F.when(F.col("o_orderkey") % 997 == 5, F.concat(amount, F.lit(";;"))).otherwise(amount), F.col("o_orderstatus")]
+    path = lf.scratch_dir(t.spark)
+    t.orders.select(F.concat_ws(";", *cells).alias("order;amount;status")).write.options(header=True, quote="").csv(path)
+    per_file = lf.dataset_summary(t.spark, path)
+    return per_file.groupBy("delimiter").agg(F.sum("row_count").alias("row_count"))
+
+
 @query(
     "A5_infer_types_default",
     """SELECT 'id' AS key, 'number' AS type, cast(count(*) AS bigint) AS number, cast(0 AS bigint) AS string FROM events

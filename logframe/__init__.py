@@ -28,6 +28,6 @@ from logframe.sources.headers import column_keys
 from logframe.sources.inference import coerce, infer_types, retype, to_typed, type_votes
 from logframe.sources.logs import SNIPPETS, TEMPLATES, NoMatch, compile_pattern, parse_log, parse_log_report, read_lines
 from logframe.sources.sinks import write_csv, write_json
-from logframe.streaming.ingest import append_rows, bucket_counts, ingest_delimited_stream, ingest_stream
+from logframe.streaming.ingest import append_delimited, append_rows, bucket_counts, ingest_delimited_stream, ingest_stream, month_counts
 
 __all__ = [name for name in dir() if not name.startswith("_")]
