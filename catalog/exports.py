@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logframe as lf
 from catalog.registry import query
+from catalog.tables import DEVICES_SQL, devices
 
 _P = {k: f"(?i){v}" for k, v in lf.NAMED_PATTERNS.items()}
 
@@ -24,9 +25,9 @@ def redact_pages(t):
     return lf.redact(t.pages)
 
 
-def _consistent_sql(steps: list[tuple[str, str]]) -> str:
+def _consistent_sql(steps: list[tuple[str, str]], first: str = "t0 AS (SELECT doc_id, text FROM documents)") -> str:
     """Class after class: list the matches, number them by first appearance, weave the text anew."""
-    ctes = ["t0 AS (SELECT doc_id, text FROM documents)"]
+    ctes = [first]
     for i, (id, token) in enumerate(steps):
         ctes += [
             f"m{i} AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_P[id]}', 0)) AS v, "
@@ -45,6 +46,20 @@ def redact_consistent(t):
     return lf.redact(rows, mode="consistent").select("doc_id", "text")
 
 
+@query("E1_redact_devices", f"WITH {DEVICES_SQL} SELECT host, {_redacted('note')} AS note FROM devices")
+def redact_devices(t):
+    return lf.redact(devices(t))
+
+
+@query(
+    "E2_redact_devices",
+    _consistent_sql([("email", "EMAIL"), ("mac", "MAC"), ("ipv6", "IP6"), ("ipv4", "IP")], f"{DEVICES_SQL}, t0 AS (SELECT host AS doc_id, note AS text FROM devices)")
+    .replace("SELECT doc_id, text FROM t4", "SELECT doc_id AS host, text AS note FROM t4"),
+)
+def redact_devices_consistently(t):
+    return lf.redact(lf.with_row_id(devices(t), "host"), mode="consistent").select("host", "note")
+
+
 _VALUE = """CASE WHEN value = floor(value) THEN cast(cast(value AS bigint) AS varchar) ELSE cast(value AS varchar) END"""
 
 

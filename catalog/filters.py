@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import logframe as lf
 from catalog.registry import query
-from catalog.tables import RAW_SQL, SPARSE_SQL, raw_events, sparse_events
+from catalog.tables import DEVICES_SQL, RAW_SQL, SPARSE_SQL, devices, raw_events, sparse_events
 
 COLS = ["event_id", "event_type", "value"]
 
@@ -122,6 +122,26 @@ for _id, _source in lf.NAMED_PATTERNS.items():
         _pattern(_id, _source)
 
 
+def _device_pattern(id: str) -> None:
+    source = lf.NAMED_PATTERNS[id]
+
+    @query(f"F19_devices_{id}", f"WITH {DEVICES_SQL} SELECT host, note FROM devices WHERE regexp_matches(note, '(?i){source}')")
+    def build(t):
+        return lf.quick_pattern(devices(t), id)
+
+    @query(
+        f"F20_devices_{id}",
+        f"""WITH {DEVICES_SQL} SELECT value, cast(count(*) AS bigint) AS count FROM
+        (SELECT unnest(regexp_extract_all(note, '(?i){source}', 0)) AS value FROM devices) GROUP BY value""",
+    )
+    def extract(t):
+        return lf.extract_matches(devices(t), id)
+
+
+for _id in ("ipv6", "mac", "uuid"):
+    _device_pattern(_id)
+
+
 @query(
     "F19_quick_pattern_http_err",
     r"""SELECT page_id, url FROM pages WHERE regexp_matches(url, '\b[45]\d{2}\b') OR regexp_matches(html, '\b[45]\d{2}\b')
@@ -172,3 +192,30 @@ def drill_cell(t):
     cell = lf.crosstab(t.orders, "o_orderstatus", "o_orderpriority").filter("row_at = 0 and col_at = 0").first()
     conditions = lf.from_cell(cell, "o_orderstatus", "string", "o_orderpriority", "string")
     return lf.filter_groups(t.orders, lf.narrow([], conditions)).select("o_orderkey", "o_orderstatus", "o_orderpriority")
+
+
+@query(
+    "F21_drill_category",
+    """SELECT event_id, event_type FROM events
+    WHERE event_type = (SELECT event_type FROM events GROUP BY 1 ORDER BY avg(value) DESC, event_type LIMIT 1)""",
+)
+def drill_category(t):
+    bar = lf.chart_series(t.events, "event_type", "avg", "value").first()
+    return lf.filter_all(t.events, [lf.from_category("event_type", "string", bar["name"])]).select("event_id", "event_type")
+
+
+@query("F21_drill_boolean", f"WITH {RAW_SQL} SELECT event_id, kind FROM raw WHERE lower(flag) IN ('no', 'false')")
+def drill_boolean(t):
+    # The click is on the "false" slice of the flags, however they are spelled.
+    table = raw_events(t)
+    slice_ = lf.chart_series(table, "flag", kind="pie").filter("name = 'false'").first()
+    return lf.filter_all(table, [lf.from_category("flag", "boolean", slice_["name"])]).select("event_id", "kind")
+
+
+@query("F21_drill_blank_field", f"WITH {SPARSE_SQL} SELECT event_id, value FROM sparse WHERE event_type IS NULL AND value = (SELECT value FROM sparse WHERE event_type IS NULL AND value IS NOT NULL ORDER BY event_id LIMIT 1)")
+def drill_blank_field(t):
+    # Two fields of one row: a blank one and a number.
+    table = sparse_events(t)
+    row = lf.top_k(lf.with_row_id(lf.filter_all(table, [("event_type", "isEmpty"), ("value", "isNotEmpty")]), "event_id"), [("event_id", "asc")], 1).first()
+    conditions = [lf.from_field("event_type", "string", row["event_type"]), lf.from_field("value", "number", repr(row["value"]))]
+    return lf.filter_all(table, conditions).select("event_id", "value")

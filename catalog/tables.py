@@ -73,3 +73,21 @@ ACCESS_SQL = """parsed AS (
          CASE WHEN event_type <> 'click' THEN '-' END AS referer,
          CASE WHEN event_type <> 'click' THEN 'agent ' || cast(user_id AS varchar) END AS agent
   FROM events WHERE event_type <> 'signup')"""
+
+
+# Notes on network devices: IPv6 and MAC addresses and UUIDs made of a digest of the customer's number.
+_HEX = "md5('net-' || cast(c_custkey AS varchar))"
+_CUT = {
+    "ipv6": "(" + " || ':' || ".join(f"substr(h, {1 + 4 * k}, 4)" for k in range(8)) + ")",
+    "mac": "(" + " || sep || ".join(f"substr(h, {1 + 2 * k}, 2)" for k in range(6)) + ")",
+    "uuid": "(substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12))",
+}
+_NOTE = f"""CASE c_custkey % 5 WHEN 0 THEN 'peer ' || {_CUT['ipv6']} || ' is up' WHEN 1 THEN 'nic=' || upper({_CUT['mac']}) || ', fallback 10.0.0.' || cast(c_custkey % 7 AS varchar)
+  WHEN 2 THEN 'trace ' || {_CUT['uuid']} || '; again ' || {_CUT['uuid']} WHEN 3 THEN 'at 10:45:30 ' || {_CUT['mac']} || ' met ' || {_CUT['ipv6']} ELSE c_name END"""
+_DEVICES = f"""SELECT c_custkey AS host, {_NOTE} AS note FROM
+  (SELECT c_custkey, c_name, {_HEX} AS h, CASE WHEN c_custkey % 2 = 0 THEN ':' ELSE '-' END AS sep FROM customer)"""
+DEVICES_SQL = f"devices AS ({_DEVICES})"
+
+
+def devices(t) -> DataFrame:
+    return t.spark.sql(_DEVICES.replace("varchar", "string").replace("FROM customer", "FROM {customer}"), customer=t.customer)

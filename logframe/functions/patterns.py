@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from dataclasses import dataclass
 
@@ -18,8 +19,8 @@ NAMED_PATTERNS = {
     "uuid": r"\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b",
 }
 
-# A character every match of a pattern holds; a cell without it is not searched.
-_REQUIRED = {"ipv4": ".", "ipv6": ":", "email": "@", "uuid": "-"}
+# Characters of which every match of a pattern holds one; a cell without any is not searched.
+_REQUIRED = {"ipv4": ".", "ipv6": ":", "mac": ":-", "email": "@", "uuid": "-"}
 
 # Patterns that start and end in a word character.
 _WORD_TO_WORD = frozenset({"ipv4", "ipv6", "mac", "http-err", "uuid"})
@@ -183,18 +184,23 @@ def named(id: str) -> str:
     return "(?i)" + translate(source).java
 
 
+def _may_match(c: Column, id: str) -> Column:
+    held = [F.contains(c, F.lit(sign)) for sign in _REQUIRED[id]]
+    return functools.reduce(Column.__or__, held)
+
+
 def has_match(c: Column, id: str) -> Column:
     """Whether a named pattern occurs in a cell; false for a missing one."""
     found = c.rlike(named(id))
     if id in _REQUIRED:
-        found = F.contains(c, F.lit(_REQUIRED[id])) & found
+        found = _may_match(c, id) & found
     return F.coalesce(found, F.lit(False))
 
 
 def replaced(c: Column, id: str, by: str) -> Column:
     """Every occurrence of a named pattern replaced."""
     out = F.regexp_replace(c, named(id), by)
-    return F.when(F.contains(c, F.lit(_REQUIRED[id])), out).otherwise(c) if id in _REQUIRED else out
+    return F.when(_may_match(c, id), out).otherwise(c) if id in _REQUIRED else out
 
 
 def matches(c: Column, java: str, id: str | None = None) -> Column:
@@ -202,5 +208,5 @@ def matches(c: Column, java: str, id: str | None = None) -> Column:
     found = F.regexp_extract_all(c, F.lit(java), F.lit(0))
     none = F.array().cast("array<string>")
     if id in _REQUIRED:
-        return F.when(F.contains(c, F.lit(_REQUIRED[id])), found).otherwise(none)
+        return F.when(_may_match(c, id), found).otherwise(none)
     return F.coalesce(found, none)
