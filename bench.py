@@ -3,7 +3,8 @@
     BENCH_SF_DIR=/root/testdata/sf0.1 BENCH_CPUS=8 python bench.py
 
 Eight stages (filter, search, two sorts, column statistics, distributions, cross table, chart) on
-``events`` and ``lineitem``, then row diff, overlay, extraction, redaction and log parsing. Every
+``events`` and ``lineitem``, then row diff, overlay, extraction, redaction and log parsing, then a
+deep page, top values, and profiles and a cross table over the orders as a CSV file. Every
 stage is forced in full with the ``noop`` sink: one warm-up, then the median of ``BENCH_RUNS``.
 """
 
@@ -35,8 +36,14 @@ def distributions(df):
     return bins.union(lf.top_values(df).select("key", "value", "count"))
 
 
+def orders_csv(t: Tables):
+    path = lf.scratch_dir(t.spark)
+    t.orders.repartition(int(CPUS)).write.options(header=True).csv(path)
+    return lf.with_types(lf.read_delimited(t.spark, path, ",", "utf-8", False, infer=False), {"o_totalprice": "number", "o_custkey": "number"})
+
+
 def stages(t: Tables):
-    events, lineitem = t.events, t.lineitem
+    events, lineitem, csv = t.events, t.lineitem, orders_csv(t)
     return {
         "filter_events": lambda: lf.filter_all(events, [("value", "gte", "50")]),
         "filter_lineitem": lambda: lf.filter_all(lineitem, [("l_quantity", "gte", "25")]),
@@ -63,6 +70,10 @@ def stages(t: Tables):
         "extract_email_documents": lambda: lf.extract_matches(t.documents, "email"),
         "redact_token_documents": lambda: lf.redact(t.documents),
         "parse_log_events": lambda: lf.parse_log(access_lines(t), "access"),
+        "deep_page_lineitem": lambda: lf.page(lineitem, [("l_extendedprice", "desc")], 400_000, 50),
+        "top_values_orders": lambda: lf.top_values(t.orders),
+        "stats_csv_orders": lambda: lf.column_stats(csv),
+        "pivot_avg_csv_orders": lambda: lf.crosstab(csv, "o_orderstatus", "o_orderpriority", "avg", "o_totalprice"),
     }
 
 

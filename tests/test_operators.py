@@ -37,11 +37,12 @@ def test_search_reads_only_columns_that_can_match(spark, tmp_path):
 
 
 def test_extract(table):
-    t = table("msg:string ip:string", [("login from 10.0.0.4", "10.0.0.4"), ("login from 10.0.0.9", "10.0.0.9"), ("retry 10.0.0.4", "10.0.0.4"), (None, "")])
-    assert rows(lf.extract_matches(t, "ipv4")) == [("10.0.0.4", 4), ("10.0.0.9", 2)]
-    assert rows(lf.extract_matches(t, r"LOGIN|retry")) == [("login", 2), ("retry", 1)]
-    assert rows(lf.extract_matches(t, "(")) == [] and rows(lf.extract_matches(t, "ipv4", limit=1)) == [("10.0.0.4", 4)]
-    assert ids(lf.quick_pattern(t, "ipv4")) == [0, 1, 2]
+    data = [("dock 198.51.100.7 opened; dock 198.51.100.7 shut", "203.0.113.20"), (None, "198.51.100.7"), ("version 1.2.3", ""), ("bridge 203.0.113.20 -> 192.0.2.55", None)]
+    t = table("note:string peer:string", data)
+    assert rows(lf.extract_matches(t, "ipv4")) == [("198.51.100.7", 3), ("203.0.113.20", 2), ("192.0.2.55", 1)]
+    assert rows(lf.extract_matches(t, r"DOCK|bridge")) == [("dock", 2), ("bridge", 1)]
+    assert rows(lf.extract_matches(t, "[")) == [] and rows(lf.extract_matches(t, "ipv4", limit=2)) == [("198.51.100.7", 3), ("203.0.113.20", 2)]
+    assert ids(lf.quick_pattern(t, "ipv4")) == [0, 1, 3]
 
 
 # --- order ----------------------------------------------------------------------------------
@@ -95,7 +96,7 @@ def test_sort_against_brute_force(spark, table):
 
 
 def test_deep_page(spark, monkeypatch):
-    monkeypatch.setattr("logframe.operators.ordering.SHALLOW", 10)
+    monkeypatch.setattr("logframe.operators.ordering.RANGE_ROWS", 10)
     df = lf.with_row_id(spark.range(500).selectExpr("id", "id % 3 AS k").repartition(7), "id")
     expected = sorted(range(500), key=lambda i: (-(i % 3), i))
     assert [r["id"] for r in lf.page(df, [("k", "desc")], 340, 20).collect()] == expected[340:360]
