@@ -27,6 +27,7 @@ their first place by a partial aggregate, and places are joined with it.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from hashlib import blake2b
 
 import numpy as np
@@ -40,6 +41,8 @@ WINDOW, GRAM = 20, 8
 ROOM = 4
 #: A document is numbered in pieces of 2^PIECE words, so that a place is one number.
 PIECE = 16
+#: Places are grouped in so many shares of their digests, one after the other, so that only a share is shuffled at a time.
+SHARES = 4
 
 _SEGMENT, _LONG_WORD = 1 << 20, 1 << 16
 _SPACE = np.zeros(256, bool)
@@ -305,10 +308,22 @@ def _same(left: str, right: str) -> Column:
     return one("id") & one("ta") & one("tb")
 
 
+def _later(scratch: Scratch, places: DataFrame) -> DataFrame:
+    """Of places (a, b, at) those that are not the first of their digest (a, b), as ``starts`` by piece ``num``."""
+    groups = places.groupBy("a", "b").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    firsts = scratch.save(groups.filter("last > first").select("a", "b", "first"), "firsts")
+    later = places.join(firsts, ["a", "b"]).filter(F.col("at") > F.col("first"))
+    start = F.col("at").bitwiseAND(F.lit((1 << PIECE) - 1)).cast("int")
+    out = scratch.save(later.groupBy(F.shiftright("at", PIECE).alias("num")).agg(F.collect_list(start).alias("starts")), "later")
+    scratch.drop(firsts)
+    return out
+
+
 def repeated_windows(df: DataFrame, id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """Windows that also start earlier, by document: ``id``, ``ta``, ``tb`` and ``repeats``, an array of (piece, starts).
 
-    A start counts from the first word of its piece of 2^16 words. Documents without such a window have no row.
+    A start counts from the first word of its piece of 2^16 words; a piece may be named more than once.
+    Documents without such a window have no row.
     """
     spark = df.sparkSession
     scratch = Scratch(spark)
@@ -330,15 +345,14 @@ def repeated_windows(df: DataFrame, id: str = "doc_id", text: str = "text", wind
     scratch.drop(counts, found)
 
     look = texts.alias("t").join(marked.alias("m"), _same("t", "m")).select("t.body", "m.num", "m.marks")
-    places = scratch.save(map_arrow(look, _place_pass(window, gram), "a long, b long, at long"), "places")
+    found = map_arrow(look, _place_pass(window, gram), "a long, b long, at long")
+    places = scratch.save(found.withColumn("share", F.pmod("a", F.lit(SHARES)).cast("int")), "places", partition_by="share")
     scratch.drop(marked)
-    groups = places.groupBy("a", "b").agg(F.min("at").alias("first"), F.max("at").alias("last"))
-    firsts = scratch.save(groups.filter("last > first").select("a", "b", "first"), "firsts")
-    later = places.join(firsts, ["a", "b"]).filter(F.col("at") > F.col("first"))
-    by_piece = later.groupBy(F.shiftright("at", PIECE).alias("num")).agg(F.collect_list(F.col("at").bitwiseAND(F.lit((1 << PIECE) - 1)).cast("int")).alias("starts"))
-    repeats = by_piece.join(ordered.select("num", "id", "ta", "tb", "piece"), "num").groupBy("id", "ta", "tb").agg(F.collect_list(F.struct("piece", "starts")).alias("repeats"))
+    by_piece = [_later(scratch, places.filter(F.col("share") == k)) for k in range(SHARES)]
+    scratch.drop(places)
+    repeats = reduce(DataFrame.union, by_piece).join(ordered.select("num", "id", "ta", "tb", "piece"), "num").groupBy("id", "ta", "tb").agg(F.collect_list(F.struct("piece", "starts")).alias("repeats"))
     out = scratch.save(repeats, "repeats")
-    scratch.drop(places, firsts)
+    scratch.drop(*by_piece)
     return out
 
 
