@@ -160,7 +160,7 @@ def manifest(df: DataFrame, id: str, part: str, fields: list[Column], changed: C
     scratch = Scratch(spark)
     changed = F.lit(None).cast("string") if changed is None else changed
     tree = F.when(F.col(part).isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col(part).cast("string")))
-    rows = df.select(tree.alias("tree"), F.col(id).alias("id"), F.col(part).alias("part"), leaf(fields).alias("digest"), changed.alias("changed"))
+    rows = scratch.save(df.select(tree.alias("tree"), F.col(id).alias("id"), F.col(part).alias("part"), leaf(fields).alias("digest"), changed.alias("changed")), "rows")
     leaves = numbered(scratch, rows, ["tree", "id", "digest", "changed"], ["tree"], "i", "n")
     opaque = {c: F.col(c).cast("string") for c in ("id", "part")}  # pandas would turn whole numbers with nulls into floats
     levels = _rounds(scratch, scratch.save(leaves.withColumns(opaque), "leaves"))
