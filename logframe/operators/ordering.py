@@ -14,7 +14,7 @@ from logframe.session import materialize
 DICTIONARY, DICTIONARY_CHARS = 20_000, 2_000_000
 
 #: The keyset index of a page: ranges of one step, rows sampled for their bounds, and rows that are sorted in the end.
-RANGES, SAMPLED, RANGE_ROWS = 64, 2048, 100_000
+RANGES, SAMPLED, RANGE_ROWS = 12, 1024, 100_000
 
 
 def sort_columns(f: Field) -> list[Column]:
@@ -125,24 +125,26 @@ def page(df: DataFrame, keys: Sequence, offset: int, n: int) -> DataFrame:
     """
     if n <= 0:
         return df.limit(0)
-    order, enough = _total_order(df, keys)
+    order, few = _total_order(df, keys)
     names = [f"_key{i}" for i in range(len(order))]
-    bare = df.select(*(c.alias(k) for k, (c, _) in zip(names, order[:enough])))
-    ranges, before = _place(bare, order[:enough], names[:enough], offset, offset + n)
+    bare = df.select(*(c.alias(k) for k, (c, _) in zip(names, order)))
+    ranges, before, held = None, 0, bare.count()
+    for depth in dict.fromkeys((few, len(order))):  # all columns only where many rows share the given keys
+        ranges, before, held = _place(bare, order[:depth], names[:depth], offset, offset + n, ranges, before, held)
     rows = df.withColumns(dict(zip(names, (c for c, _ in order))))
     chosen = rows if ranges is None else rows.filter(ranges)
     return chosen.orderBy(*_turns(order, names)).offset(offset - before).limit(n).select(*df.columns)
 
 
 def _total_order(df: DataFrame, keys: Sequence) -> tuple[list[tuple[Column, str]], int]:
-    """Sort columns that leave only equal rows tied, and how many of them place a row: up to its position if it has one."""
+    """Sort columns that leave only equal rows tied, and how many of them are the given keys and the row position."""
     known = {f.key: f for f in fields_of(df)}
     pairs = [(spec["columnKey"], spec["direction"]) if isinstance(spec, Mapping) else spec for spec in keys]
     order = [(c, direction) for key, direction in pairs if key in known for c in sort_columns(known[key])]
     if has_row_id(df):
         order.append((F.col(ROW_ID), "asc"))
     every = order + [(f.col, "asc") for f in known.values()]
-    return every, len(order) if has_row_id(df) else len(every)
+    return every, len(order)
 
 
 def _turns(order: Sequence[tuple[Column, str]], names: Sequence[str]) -> list[Column]:
@@ -188,18 +190,22 @@ class _Bound:
         return all_of(c.isNull() if v is None else F.coalesce(c == v, F.lit(False)) for c, v, _ in self.parts)
 
 
-def _place(bare: DataFrame, order: Sequence[tuple[Column, str]], names: Sequence[str], start: int, end: int) -> tuple[Column | None, int]:
-    """Which rows hold the places from ``start`` to ``end`` of the order, few of them, and how many come before these."""
-    kinds = [f.dataType for f in bare.schema.fields]
-    inside, before, rows = None, 0, bare.count()
-    while rows > max(RANGE_ROWS, 2 * (end - start)):
+def _place(
+    bare: DataFrame, order: Sequence[tuple[Column, str]], names: Sequence[str], start: int, end: int, inside: Column | None, before: int, rows: int
+) -> tuple[Column | None, int, int]:
+    """Which rows hold the places from ``start`` to ``end`` of the order, how many come before these, and how many they are.
+
+    Begins with the ``rows`` rows ``inside`` and ends with few of them, or with rows equal in ``order``.
+    """
+    kinds = [bare.schema[k].dataType for k in names]
+    while order and rows > max(RANGE_ROWS, 2 * (end - start)):
         held = bare if inside is None else bare.filter(inside)
         sample = held.sample(min(1.0, SAMPLED / rows), seed=7).orderBy(*_turns(order, names))
         taken = [tuple(r) for r in sample.select(*(_carried(F.col(k), kind) for k, kind in zip(names, kinds))).collect()]
         cut = sorted({len(taken) * k // RANGES for k in range(1, RANGES)}) if taken else []
         bounds = [_Bound(v, kinds, order, names) for v in dict.fromkeys(taken[i] for i in cut)]
         if not bounds:
-            return inside, before
+            return inside, before, rows
         # Ranges by number: 2 i before the i-th bound, 2 i + 1 at it, 2 * len(bounds) after the last.
         counts = dict(held.groupBy(_range_of(bounds, 0, len(bounds)).alias("r")).agg(F.count("*").alias("n")).collect())
         first = last = None
@@ -211,14 +217,15 @@ def _place(bare: DataFrame, order: Sequence[tuple[Column, str]], names: Sequence
                 last = r
             seen += here
         if first is None:  # beyond the end of the table
-            return F.lit(False), start
+            return F.lit(False), start, 0
         narrowed = all_of(x for x in (inside, _from(bounds, first), _to(bounds, last)) if x is not None)
         held_rows = sum(counts.get(r, 0) for r in range(first, last + 1))
         inside, before = narrowed, low
-        if held_rows == rows or (first == last and first % 2):  # rows equal in every key, or no narrower range
-            break
+        stuck = held_rows == rows or (first == last and first % 2)  # no narrower range, or rows equal in every key
         rows = held_rows
-    return inside, before
+        if stuck:
+            break
+    return inside, before, rows
 
 
 def _range_of(bounds: Sequence[_Bound], low: int, high: int) -> Column:

@@ -22,6 +22,8 @@ DISTINCT_FLOOR = 10_000
 
 #: Counters of a column's sketch of frequent values, and how many of the values it tracks it lists.
 SKETCH, LISTED = 8192, 1000
+#: Distinct values, as estimated, up to which a column is counted without a sketch: a partial aggregate reduces it enough.
+MANY = 10_000
 
 
 def _chosen(df: DataFrame, keys: Iterable[str] | None, numeric: bool | None = None) -> list[Field]:
@@ -242,10 +244,11 @@ def top_values(df: DataFrame, keys: Iterable[str] | None = None, n: int | None =
 
     Equal counts keep the order of first appearance (``_row_id``), or of the values without one.
 
-    The table is read twice. The first pass counts filled cells and sketches each column's frequent
-    values. Where the sketch's error bound proves which values can be among the first ``n``, the
-    second pass counts only these, so that nothing else of the column is moved; of the other columns
-    it counts every value. Counts are exact either way. The first pass runs at once.
+    The table is read twice, and a third time if a column has many values. The first pass counts
+    filled cells and estimates distinct ones; the next sketches the frequent values of the columns
+    with many. Where the sketch's error bound proves which values can be among the first ``n``, the
+    last pass counts only these, so that nothing else of the column is moved; of the other columns
+    it counts every value. Counts are exact either way. All but the last pass run at once.
     """
     chosen = _chosen(df, keys, numeric=False)
     if not chosen:
@@ -280,13 +283,14 @@ def _frequent(df: DataFrame, chosen: list[Field], n: int | None) -> tuple[dict[s
     sketch = lambda c: F.call_function("approx_top_k", c, F.lit(LISTED), F.lit(SKETCH * 3 // 4))
     forms = [_form(f)[1] for f in chosen]
     passed = [F.count(c).alias(f"t{i}") for i, c in enumerate(forms)]
-    if n is not None:
-        passed += [sketch(c).alias(f"s{i}") for i, c in enumerate(forms)]
+    passed += [F.approx_count_distinct(c, 0.1).alias(f"d{i}") for i, c in enumerate(forms)]
     row = df.agg(F.count("*").alias("rows"), *passed).first()
+    many = [i for i in range(len(chosen)) if n and row[f"d{i}"] > MANY]
+    sketches = df.agg(*(sketch(forms[i]).alias(f"s{i}") for i in many)).first() if many else None
     error = 3.5 / SKETCH * row["rows"]
     only = {}
-    for i in range(len(chosen)) if n else ():
-        listed = [(x["item"], x["count"]) for x in row[f"s{i}"]]
+    for i in many:
+        listed = [(x["item"], x["count"]) for x in sketches[f"s{i}"]]
         seen = [c for v, c in listed if v is not None]
         floor = seen[n - 1] - error if len(seen) >= n else 0
         if floor > error and (len(listed) < LISTED or listed[-1][1] < floor):

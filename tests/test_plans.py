@@ -126,6 +126,7 @@ def test_top_values_by_sketch_and_by_full_count(spark, monkeypatch, kind):
     rng.shuffle(data)
     monkeypatch.setattr(profile, "SKETCH", 256)
     monkeypatch.setattr(profile, "LISTED", 40)
+    monkeypatch.setattr(profile, "MANY", 0)
     df = spark.createDataFrame(list(enumerate(data)), "_row_id long, v string").repartition(6)
     _, only = profile._frequent(df, profile._chosen(df, None, numeric=False), 5)
     assert (0 in only) == (kind != "flat")
