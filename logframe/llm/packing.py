@@ -18,12 +18,11 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from logframe.llm.common import Scratch, map_arrow, slices
+from logframe.llm.common import Scratch, map_arrow
 from logframe.llm.tokens import word_cache
 
 CAPACITY = 2048
 END_ID = 0
-BATCH_CHARS = 1 << 20
 
 
 def pieces(df: DataFrame, tokenizer: str, id: str, text: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -32,22 +31,21 @@ def pieces(df: DataFrame, tokenizer: str, id: str, text: str, capacity: int = CA
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_cache(tokenizer, leading_space=False)
-        task, met = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        end, task, met = np.array([end_id], "<u4"), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for rows in batches:
             row, piece, start, length, crc, local = [], [], [], [], [], []
-            texts = [t or "" for t in rows.column(1).to_pylist()]
-            for batch in slices(texts, max(BATCH_CHARS, max(map(len, texts), default=0) + 1)):
-                for (i, _), found in zip(batch, encoder.ids([t for _, t in batch])):
-                    ids = np.append(found, np.uint32(end_id)).astype("<u4")
-                    for k, at in enumerate(range(0, len(ids), capacity)):
-                        part = ids[at : at + capacity]
-                        row.append(i)
-                        piece.append(k)
-                        start.append(at)
-                        length.append(len(part))
-                        crc.append(zlib.crc32(part.tobytes()))
-                        local.append(met[len(part)])
-                        met[len(part)] += 1
+            found, counts = encoder.encode(rows.column(1))
+            for i, ids in zip(range(len(counts)), np.split(found.astype("<u4"), np.cumsum(counts)[:-1])):
+                ids = np.append(ids, end)
+                for k, at in enumerate(range(0, len(ids), capacity)):
+                    part = ids[at : at + capacity]
+                    row.append(i)
+                    piece.append(k)
+                    start.append(at)
+                    length.append(len(part))
+                    crc.append(zlib.crc32(part))
+                    local.append(met[len(part)])
+                    met[len(part)] += 1
             yield pa.record_batch(
                 [rows.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32())]
                 + [pa.array(c, pa.int64()) for c in (start, length, crc, local)]

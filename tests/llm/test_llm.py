@@ -10,12 +10,13 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from logframe.llm import exact_dedup, langid, lm, mixing, near_dedup, packing, pii, quality_classifier, quality_rules, token_output
+from logframe.llm import exact_dedup, langid, lm, mixing, near_dedup, packing, pii, quality_classifier, quality_rules, token_output, tokens
 from logframe.llm.tokens import WordCache, word_cache
 
 FOLDER = "/root/testdata/sf0.001"
@@ -83,6 +84,57 @@ def test_word_cache_equals_library(path, space):
     assert [x.tolist() for x in WordCache(path, space).ids(texts)] == want
 
 
+@pytest.mark.parametrize("path,space", [(BYTES, True), (WORDS, False)])
+def test_word_cache_at_every_cut(path, space, monkeypatch):
+    """Runs of blanks, signs and accents, small groups, and a memory that fills up, against the library."""
+    monkeypatch.setattr(tokens, "GROUP", 300)
+    monkeypatch.setattr(tokens, "MEMORY", 60)
+    rng = random.Random(9)
+    signs = [*"aBJéÉßĲя中½²µª×÷'.-_#5٣\t\r\n\v\f\x00\x1c\x85\xa0\u1680\u2003\u2028\u202f\u205f\u3000\u200b“\u0301\u030c\u0338K😀", "'S", "'ll", "  ", ".\n", "\n\n", " \n", *"    ", *"\n\n", "the", "The"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 14))) for _ in range(6000)]
+    library = Tokenizer.from_file(path)
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    cache = WordCache(path, space, added=True)
+    assert [x.tolist() for x in cache.ids(texts)] == want
+    ids, counts = cache.encode(pa.array([*texts[:50], None], pa.string()).slice(7))
+    assert ids.tolist() == sum(want[7:50], []) and counts.tolist() == [*map(len, want[7:50]), 0]
+    assert cache.ids([]) == []
+
+
+@pytest.mark.parametrize("path,space", [(BYTES, True), (WORDS, False)])
+def test_a_word_beside_many_signs_is_encoded_once(path, space):
+    """Before, the library got every word again for each sign behind it."""
+    words = ["".join(chr(97 + (k // 26**j) % 26) for j in range(3)) for k in range(200)]
+    ends = ["", ".", "***", "%%%", "&&", "-", "()", "'", "\"", "#", "\nand"]
+    texts = [" ".join(w + end for w in words) for end in ends]
+    cache, given = WordCache(path, space), []
+
+    class Counted:
+        def __init__(self, of):
+            self.of = of
+
+        def tokenize(self, word):
+            given.append(word)
+            return self.of.tokenize(word)
+
+        def encode_batch(self, pieces, **options):
+            given.extend(pieces)
+            return self.of.encode_batch(pieces, **options)
+
+    cache.model, cache.tokenizer = Counted(cache.model), Counted(cache.tokenizer)
+    got = [x.tolist() for x in cache.ids(texts)]
+    assert got == [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(given) < 250
+
+
+def test_long_texts_do_not_fill_the_memory(monkeypatch):
+    monkeypatch.setattr(tokens, "MEMORY_SIZE", 20_000)
+    cache = WordCache(BYTES, True)
+    for k in range(30):
+        cache.ids(["中" * (1000 + k), "some words"])
+    assert cache.size < 30_000 and len(cache.number) < 20
+
+
 def test_coding_round_trip():
     rng = np.random.default_rng(1)
     for n in (0, 1, 3, 4, 5, 1000):
