@@ -61,26 +61,20 @@ def _stage(tokenizer: str, end_id: int):
         encoder = word_cache(tokenizer, leading_space=True)
         part, number, offset = TaskContext.get().partitionId(), 0, 0
         for rows in batches:
-            out, ids, docs, size = [], [], [], 0
-            names, texts = rows.column(0), [t or "" for t in rows.column(1).to_pylist()]
-
-            def close():
-                nonlocal number, offset, size
-                name = names.take(pa.array(docs, pa.int64())).to_pylist()
-                out.append((number, offset, name, [len(x) + 1 for x in ids], b"".join(x.tobytes() + np.uint32(end_id).tobytes() for x in ids)))
-                number, offset, size = number + 1, offset + size, 0
-                ids.clear()
-                docs.clear()
-
-            for k in range(0, len(texts), 256):
-                for i, found in enumerate(encoder.ids(texts[k : k + 256]), k):
-                    ids.append(found)
-                    docs.append(i)
-                    size += len(found) + 1
-                    if size >= BLOCK_TOKENS:
-                        close()
-            if docs:
-                close()
+            names = rows.column(0)
+            found, counts = encoder.encode(rows.column(1))
+            counts += 1
+            ends = np.cumsum(counts)
+            ids = np.full(len(found) + len(counts), end_id, "<u4")
+            inner = np.ones(len(ids), bool)
+            inner[ends - 1] = False
+            ids[inner] = found
+            out, a, at = [], 0, 0
+            while a < len(counts):
+                b = min(int(np.searchsorted(ends, at + BLOCK_TOKENS)) + 1, len(counts))
+                until = int(ends[b - 1])
+                out.append((number, offset, names.slice(a, b - a).to_pylist(), counts[a:b].tolist(), ids[at:until].tobytes()))
+                number, offset, a, at = number + 1, offset + until - at, b, until
             yield pa.record_batch(
                 [
                     pa.array([part] * len(out), pa.int32()),
